@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convlens.plans import segments
+from convlens.plans import quality, segments
 
-_MODULES = [segments]
+_MODULES = [segments, quality]
 
 
 def queries():

@@ -14,6 +14,8 @@ from convlens.sources.contacts import CONTACTS_SQL, contacts, read
 TIERS = [(20, "HIGH"), (10, "AVERAGE")]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
+AGE_EDGES = [17, 25, 35, 45, 55, 65, 100]
+AGE_LABELS = ["18-25", "26-35", "36-45", "46-55", "56-65", "66+"]
 MIN_SEGMENT = 30
 TOP_SEGMENTS = 20
 
