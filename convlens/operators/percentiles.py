@@ -91,6 +91,28 @@ def percentiles(
     }
 
 
+def order_statistic(
+    t: DataFrame, col: str, rank: int, values_per_slice: int = VALUES_PER_SLICE
+) -> float | None:
+    """The value at a zero-based rank of the sorted column, None beyond its end."""
+    values = t.select(_value(col).alias("v0"))
+    rows = values.agg(F.count("v0")).first()[0]
+    if not 0 <= rank < rows:
+        return None
+    share, margin = rank / rows, 2.0 / SKETCH
+    edges = values.agg(
+        F.percentile_approx("v0", [max(0.0, share - margin), min(1.0, share + margin)], SKETCH)
+    ).first()[0]
+    low = -math.inf if share <= margin else edges[0]
+    high = math.inf if share >= 1.0 - margin else edges[1]
+    wanted = _Wanted("v0", 0.0, rank, rank, 0.0, low, high)
+    found = _select(values, [wanted], values_per_slice)
+    if not found:
+        wanted.low, wanted.high = -math.inf, math.inf
+        found = _select(values, [wanted], values_per_slice)
+    return found["v0", 0.0]
+
+
 def _select(
     values: DataFrame, wanted: Sequence[_Wanted], values_per_slice: int
 ) -> dict[tuple[str, float], float]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.functions.columns import flag, key_hash, ratio
-from convlens.operators.percentiles import percentiles
+from convlens.operators.percentiles import order_statistic
 
 SEED = 42
 
@@ -45,10 +45,8 @@ def stratified_split(
         if quota == 0:
             continue
         same = F.col(y).eqNullSafe(F.lit(label))
-        # the value at rank quota - 1 of n is the percentile (quota - 1) / (n - 1)
-        at = (quota - 1) / (n - 1) if n > 1 else 0.0
-        last = percentiles(t.where(same), ["_hash"], [at])["_hash"][0]
-        test = test | (same & (F.col("_hash") <= F.lit(math.floor(last + 0.5))))
+        last = order_statistic(t.where(same), "_hash", quota - 1)
+        test = test | (same & (F.col("_hash") <= F.lit(int(last))))
     return t.withColumn("split", F.when(test, "test").otherwise("train")).drop("_hash")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convlens.plans import quality, segments
+from convlens.plans import learning, quality, segments
 
-_MODULES = [segments, quality]
+_MODULES = [segments, quality, learning]
 
 
 def queries():
