@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from convlens.functions.columns import round_half_up
@@ -29,6 +31,12 @@ def assert_no_leakage(features: Sequence[str], leaking: Sequence[str]) -> None:
         raise ValueError(f"leaking columns among the features: {found}")
 
 
+def _spread(train: DataFrame) -> DataFrame:
+    """At least one partition per core: fitting is bound by the processor, not by reading."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return train if train.rdd.getNumPartitions() >= cores else train.repartition(cores)
+
+
 @dataclass(frozen=True)
 class Estimator:
     """A named way to fit a pipeline on (train, features, label)."""
@@ -62,7 +70,7 @@ def logistic_regression(max_iter: int = 1000, c: float = 1.0) -> Estimator:
                 maxIter=max_iter,
             ),
         ]
-        return Pipeline(stages=stages).fit(weighted)
+        return Pipeline(stages=stages).fit(_spread(weighted))
 
     return Estimator("M1 LogReg", fit)
 
@@ -84,10 +92,11 @@ def random_forest(
                 minInstancesPerNode=min_leaf,
                 featureSubsetStrategy="sqrt",
                 maxMemoryInMB=1024,
+                cacheNodeIds=True,  # deep trees: do not send the grown trees every round
                 seed=seed,
             ),
         ]
-        return Pipeline(stages=stages).fit(with_class_weights(train, y))
+        return Pipeline(stages=stages).fit(_spread(with_class_weights(train, y)))
 
     return Estimator("M2 RandomForest", fit)
 
@@ -125,17 +134,25 @@ def evaluate(scored: DataFrame, y: str, name: str, digits: int = 4) -> DataFrame
     )
 
 
-def _scored_by(
+def _fit_and_evaluate(
     estimator: Estimator | None,
     train: DataFrame,
     test: DataFrame,
     features: Sequence[str],
     y: str,
     key: str,
-) -> tuple[str, DataFrame]:
+    digits: int,
+) -> Row:
+    """Fit on ``train``, score ``test`` once, and return its row of metrics."""
     if estimator is None:
-        return "M0 Dummy", prior_baseline(train, test, y, key)
-    return estimator.name, score(estimator.fit(train, features, y), test)
+        name, scored = "M0 Dummy", prior_baseline(train, test, y, key)
+    else:
+        name, scored = estimator.name, score(estimator.fit(train, features, y), test)
+    scored = scored.select(y, "prediction", "score").persist()
+    try:
+        return evaluate(scored, y, name, digits).first()
+    finally:
+        scored.unpersist()
 
 
 def compare(
@@ -147,10 +164,9 @@ def compare(
     estimators: Sequence[Estimator | None],
 ) -> DataFrame:
     """One evaluation row per model on the held-out rows; ``None`` is the prior baseline."""
-    rows = []
-    for estimator in estimators:
-        name, scored = _scored_by(estimator, train, test, features, y, key)
-        rows.append(evaluate(scored, y, name).first())
+    rows = [
+        _fit_and_evaluate(estimator, train, test, features, y, key, 4) for estimator in estimators
+    ]
     return train.sparkSession.createDataFrame(rows)
 
 
@@ -163,14 +179,22 @@ def cross_validate(
     fold: str = "fold",
     folds: int = 5,
     digits: int = 4,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Mean and population deviation of each metric over the folds; one row per model."""
-    rows = []
-    for estimator in estimators:
-        for k in range(folds):
-            train, test = t.where(F.col(fold) != k), t.where(F.col(fold) == k)
-            name, scored = _scored_by(estimator, train, test, features, y, key)
-            rows.append(evaluate(scored, y, name, digits=6).first())
+    """Mean and population deviation of each metric over the folds; one row per model.
+
+    Up to ``parallelism`` fits run at a time, so that the small jobs of one fit fill the
+    gaps of another.
+    """
+
+    def run(estimator: Estimator | None, k: int):
+        train, test = t.where(F.col(fold) != k), t.where(F.col(fold) == k)
+        return _fit_and_evaluate(estimator, train, test, features, y, key, 6)
+
+    target = inheritable_thread_target(t.sparkSession)(run)
+    tasks = [(estimator, k) for estimator in estimators for k in range(folds)]
+    with ThreadPool(parallelism) as pool:
+        rows = pool.starmap(target, tasks, chunksize=1)
     per_fold = t.sparkSession.createDataFrame(rows)
     return per_fold.groupBy("model").agg(
         *[

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convlens.plans import learning, quality, segments
+from convlens.plans import learning, quality, reporting, segments
 
-_MODULES = [segments, quality, learning]
+_MODULES = [segments, quality, learning, reporting]
 
 
 def queries():
