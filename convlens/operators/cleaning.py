@@ -25,6 +25,7 @@ from convlens.functions.columns import (
 )
 from convlens.operators.percentiles import percentiles
 from convlens.operators.profiling import duplicate_count
+from convlens.operators.shape import lengthen
 from convlens.sources.staging import stage
 from convlens.sources.tables import rename_columns
 
@@ -107,21 +108,22 @@ def _audit(t, segments, trail, first_step) -> DataFrame:
         return F.col(f"_c{at[0]}")[at[1]]
 
     after = [at for _, _, at in trail[1:]] + [(len(segments) - 1, len(segments[-1][1]))]
-    entries = []
-    for i, ((rule, note, before), then) in enumerate(zip(trail, after)):
-        entries.append(
-            F.struct(
-                F.lit(first_step + i).alias("step"),
-                F.lit(rule.rule).alias("rule"),
-                F.lit(rule.decision).alias("decision"),
-                rows(before).alias("rows_before"),
-                rows(then).alias("rows_after"),
-                (rows(before) - rows(then)).alias("rows_removed"),
-                F.lit(rule.columns).alias("cols_affected"),
-                F.lit(note).alias("notes"),
-            )
-        )
-    return one.select(F.inline(F.array(*entries)))
+    return lengthen(
+        one,
+        [
+            {
+                "step": first_step + i,
+                "rule": rule.rule,
+                "decision": rule.decision,
+                "rows_before": rows(before),
+                "rows_after": rows(then),
+                "rows_removed": rows(before) - rows(then),
+                "cols_affected": rule.columns,
+                "notes": note,
+            }
+            for i, ((rule, note, before), then) in enumerate(zip(trail, after))
+        ],
+    )
 
 
 # -- rules ------------------------------------------------------------------
@@ -237,13 +239,11 @@ def validate_ranges(t: DataFrame, rules: Mapping[str, tuple[str, float | None, f
         return bad
 
     row = t.agg(*[count_where(outside(*r)).alias(f"c{i}") for i, r in enumerate(rules.values())])
-    entries = F.array(
-        *[
-            F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("rows_outside"))
-            for i, name in enumerate(rules)
-        ]
+    long = lengthen(
+        row,
+        [{"check": name, "rows_outside": F.col(f"c{i}")} for i, name in enumerate(rules)],
     )
-    return row.select(F.inline(entries)).withColumn("valid", F.col("rows_outside") == 0)
+    return long.withColumn("valid", F.col("rows_outside") == 0)
 
 
 def assert_domain(t: DataFrame, col: str, allowed: Sequence) -> DataFrame:
@@ -311,15 +311,8 @@ def clean_report(
             f"f{len(figures)}", duplicate_count(t).select("extra_copies").scalar()
         )
         names = [*figures, "exact duplicates"]
-        return row.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(m).alias("measure"), F.col(f"f{i}").alias(name))
-                        for i, m in enumerate(names)
-                    ]
-                )
-            )
+        return lengthen(
+            row, [{"measure": m, name: F.col(f"f{i}")} for i, m in enumerate(names)]
         )
 
     return side(raw, "before").join(side(cleaned, "after"), "measure", "full_outer")

@@ -20,6 +20,7 @@ from convlens.functions.columns import (
     ratio,
     round_half_up,
 )
+from convlens.operators.shape import lengthen
 from convlens.operators.slicing import VALUES_PER_SLICE, plan_cuts, running_sums
 
 N, HITS, RATE = "total_clients", "subscribed", "conv_rate_pct"
@@ -71,6 +72,23 @@ def conversion(
     )
 
 
+def conversion_by_lookup(
+    facts: DataFrame, lookup: DataFrame, key: str, dims: Dims, y: str = "y_encoded"
+) -> DataFrame:
+    """Conversion by attributes kept in another table with one row per ``key``.
+
+    Facts are added up per key before the join, so the join moves one row per key and
+    task, and a key with a third of all facts is no larger than any other.
+    """
+    named = _named(dims)
+    per_key = facts.groupBy(key).agg(*_measures(y))
+    joined = per_key.join(lookup, key)
+    out = joined.groupBy(*[c.alias(name) for name, c in named.items()]).agg(
+        F.sum(N).alias(N), F.sum(HITS).alias(HITS)
+    )
+    return out.withColumn(RATE, percent(HITS, N))
+
+
 def _finest(t: DataFrame, named: Mapping[str, Column], y: str) -> DataFrame:
     """One row per combination of the dimensions, so that later sets expand few rows."""
     return t.groupBy(*[c.cast("string").alias(name) for name, c in named.items()]).agg(
@@ -239,17 +257,14 @@ def subset_rates(
             for i, p in enumerate(subsets.values())
         ],
     )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("subset"),
-                F.col(f"n{i}").alias(N),
-                F.col(f"h{i}").alias(HITS),
-            )
+    long = lengthen(
+        row,
+        [
+            {"subset": name, N: F.col(f"n{i}"), HITS: F.col(f"h{i}")}
             for i, name in enumerate(names)
-        ]
+        ],
     )
-    return row.select(F.inline(entries)).withColumn(RATE, percent(HITS, N, digits))
+    return long.withColumn(RATE, percent(HITS, N, digits))
 
 
 def stack_results(*results: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from convlens.functions.columns import cap, count_where, quoted
 from convlens.operators.cleaning import percentile_cap
+from convlens.operators.shape import lengthen
 from convlens.sources.tables import drop_columns, numeric_columns
 
 
@@ -154,23 +155,23 @@ def validate_features(
     row = features.agg(*[c.alias(f"a{i}") for i, c in enumerate(aggregates.values())])
     row = row.withColumn("s", before)
     expected = {"Row count preserved": F.col("s.n"), f"{y} sum preserved": F.col("s.y")}
-    entries = [
-        F.struct(
-            F.lit(name).alias("check"),
-            F.col(f"a{i}").cast("long").alias("actual"),
-            expected.get(name, F.lit(0)).cast("long").alias("expected"),
-        )
+    records = [
+        {
+            "check": name,
+            "actual": F.col(f"a{i}").cast("long"),
+            "expected": expected.get(name, F.lit(0)).cast("long"),
+        }
         for i, name in enumerate(aggregates)
     ]
-    entries += [
-        F.struct(
-            F.lit(f"{c} excluded").alias("check"),
-            F.lit(int(c in features.columns)).cast("long").alias("actual"),
-            F.lit(0).cast("long").alias("expected"),
-        )
+    zero = F.lit(0).cast("long")
+    records += [
+        {
+            "check": f"{c} excluded",
+            "actual": F.lit(int(c in features.columns)).cast("long"),
+            "expected": zero,
+        }
         for c in absent
     ]
-    return row.select(F.inline(F.array(*entries))).withColumn(
+    return lengthen(row, records).withColumn(
         "passed", F.when(F.col("actual") == F.col("expected"), "PASS").otherwise("FAIL")
     )
-

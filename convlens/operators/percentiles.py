@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.functions.columns import quoted, round_half_up
+from convlens.functions.columns import count_where, quoted, round_half_up
 from convlens.operators.slicing import VALUES_PER_SLICE, plan_cuts, running_sums
 
 # Rank error of the sketch is below n / SKETCH; the bracket is four times as wide.
@@ -48,7 +48,7 @@ def percentiles(
     """Percentiles with linear interpolation, for all columns in the same passes.
 
     Returns ``len(cols) * len(probs)`` numbers to the driver. The table is read three
-    times, only the named columns, and nothing is shuffled but the values inside the
+    times (sketch, counts, values inside the brackets), only the named columns, and nothing is shuffled but the values inside the
     brackets.
     """
     margin = 2.0 / SKETCH
@@ -92,11 +92,19 @@ def percentiles(
 
 
 def order_statistic(
-    t: DataFrame, col: str, rank: int, values_per_slice: int = VALUES_PER_SLICE
+    t: DataFrame,
+    col: str,
+    rank: int,
+    rows: int | None = None,
+    values_per_slice: int = VALUES_PER_SLICE,
 ) -> float | None:
-    """The value at a zero-based rank of the sorted column, None beyond its end."""
+    """The value at a zero-based rank of the sorted column, None beyond its end.
+
+    ``rows`` is the number of values, where the caller knows it already.
+    """
     values = t.select(_value(col).alias("v0"))
-    rows = values.agg(F.count("v0")).first()[0]
+    if rows is None:
+        rows = values.agg(F.count("v0")).first()[0]
     if not 0 <= rank < rows:
         return None
     share, margin = rank / rows, 2.0 / SKETCH
@@ -119,46 +127,51 @@ def _select(
     """Order statistics at the wanted ranks; those outside their bracket are left out."""
     if not wanted:
         return {}
-    below = values.agg(
-        *[
-            F.count(F.when(F.col(w.column) < F.lit(w.low), F.lit(1))).alias(f"b{i}")
-            for i, w in enumerate(wanted)
-        ]
+    v, low, high = "v", "low", "high"
+    below_in = [
+        (F.col(w.column) < F.lit(w.low), F.col(w.column).between(F.lit(w.low), F.lit(w.high)))
+        for w in wanted
+    ]
+    sizes = values.agg(
+        *[count_where(b).alias(f"b{i}") for i, (b, _) in enumerate(below_in)],
+        *[count_where(inside).alias(f"i{i}") for i, (_, inside) in enumerate(below_in)],
     ).first()
+    below = [sizes[f"b{i}"] for i in range(len(wanted))]
+    rows_inside = [sizes[f"i{i}"] for i in range(len(wanted))]
 
+    any_inside = F.lit(False)
+    for _, inside in below_in:
+        any_inside = any_inside | inside
     entries = F.array(
         *[
-            F.when(
-                (F.col(w.column) >= F.lit(w.low)) & (F.col(w.column) <= F.lit(w.high)),
-                F.struct(F.lit(i).alias("id"), F.col(w.column).alias("value")),
-            )
-            for i, w in enumerate(wanted)
+            F.when(inside, F.struct(F.lit(i).alias("id"), F.col(w.column).alias(v)))
+            for i, (w, (_, inside)) in enumerate(zip(wanted, below_in))
         ]
     )
     counts = (
-        values.select(F.explode(F.array_compact(entries)).alias("e"))
-        .groupBy("e.id", "e.value")
+        values.where(any_inside)
+        .select(F.explode(F.array_compact(entries)).alias("e"))
+        .groupBy("e.id", f"e.{v}")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    cuts = plan_cuts(counts, "value", values_per_slice)
-    ranked = running_sums(counts, ["id"], "value", {"upto": "rows"}, cuts)
+    cuts = plan_cuts(counts, v, values_per_slice) if max(rows_inside) > values_per_slice else []
+    ranked = running_sums(counts, ["id"], v, {"upto": "rows"}, cuts)
 
     def at_rank(ranks: list[int]):
         by_id = F.array(*[F.lit(r) for r in ranks])
-        return F.min(F.when(F.col("upto") > by_id[F.col("id")], F.col("value")))
+        return F.min(F.when(F.col("upto") > by_id[F.col("id")], F.col(v)))
 
     picked = ranked.groupBy("id").agg(
-        F.max("upto").alias("inside"),
-        at_rank([w.low_rank - below[i] for i, w in enumerate(wanted)]).alias("low"),
-        at_rank([w.high_rank - below[i] for i, w in enumerate(wanted)]).alias("high"),
+        at_rank([w.low_rank - b for w, b in zip(wanted, below)]).alias(low),
+        at_rank([w.high_rank - b for w, b in zip(wanted, below)]).alias(high),
     )
     found = {}
     for row in picked.collect():  # one row per wanted percentile
-        w = wanted[row["id"]]
-        start = w.low_rank - below[row["id"]]
-        if start < 0 or w.high_rank - below[row["id"]] >= row["inside"]:
+        i = row["id"]
+        w = wanted[i]
+        if w.low_rank < below[i] or w.high_rank - below[i] >= rows_inside[i]:
             continue
-        found[(w.column, w.prob)] = row["low"] + (row["high"] - row["low"]) * w.fraction
+        found[(w.column, w.prob)] = row[low] + (row[high] - row[low]) * w.fraction
     return found
 
 

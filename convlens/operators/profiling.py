@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 
 from convlens.functions.columns import count_where, percent, quoted, ratio, round_half_up
 from convlens.operators.percentiles import percentiles
+from convlens.operators.shape import lengthen
 from convlens.sources.tables import categorical_columns, numeric_columns
 
 
+STATISTICS = {"lo": "min", "hi": "max", "m": "mean", "s": "std"}
+
+
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
@@ -81,31 +85,29 @@ def data_dictionary(
                 F.avg(v).alias(f"m{i}"),
                 F.stddev(v).alias(f"s{i}"),
             ]
-    entries = []
+    records = []
     for i, c in enumerate(t.columns):
         role, text = meta.get(c, ("Unknown", ""))
-        is_num = c in numeric
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(kinds[c]).alias("dtype"),
-                F.lit(role).alias("category"),
-                F.lit(text).alias("description"),
-                F.col(f"u{i}").alias("n_unique"),
-                F.col(f"z{i}").alias("null_count"),
-                F.coalesce(percent(f"z{i}", "rows"), F.lit(0.0)).alias("null_pct"),
-                (
-                    F.when(F.col(f"k{i}"), "YES").otherwise("no")
-                    if c in unknown_in
-                    else F.lit("")
-                ).alias("has_unknown_label"),
-                *[
-                    (round_half_up(f"{p}{i}", 4) if is_num else _null("double")).alias(name)
-                    for p, name in [("lo", "min"), ("hi", "max"), ("m", "mean"), ("s", "std")]
-                ],
-            )
-        )
-    out = t.agg(*aggregates).select(F.inline(F.array(*entries)))
+        known = F.when(F.col(f"k{i}"), "YES").otherwise("no") if c in unknown_in else ""
+        record = {
+            "column": c,
+            "dtype": kinds[c],
+            "category": role,
+            "description": text,
+            "n_unique": F.col(f"u{i}"),
+            "null_count": F.col(f"z{i}"),
+            "null_pct": F.col("rows"),
+            "has_unknown_label": known,
+        }
+        for prefix, name in STATISTICS.items():
+            record[name] = F.col(f"{prefix}{i}") if c in numeric else _null("double")
+        records.append(record)
+    out = lengthen(t.agg(*aggregates), records).withColumns(
+        {
+            "null_pct": F.coalesce(percent("null_count", "null_pct"), F.lit(0.0)),
+            **{name: round_half_up(name, 4) for name in STATISTICS.values()},
+        }
+    )
     texts = categorical_columns(t)
     if not texts:
         return out.withColumn("sample_values", F.lit(""))
@@ -114,10 +116,9 @@ def data_dictionary(
     )
 
 
-def describe(t: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
-    """Count, mean, deviation, quartiles, range, and bias-corrected skewness and kurtosis."""
+def moments(t: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
+    """Count, mean, deviation, range, and bias-corrected skewness and excess kurtosis."""
     cols = list(cols or numeric_columns(t))
-    quartiles = percentiles(t, cols, [0.25, 0.5, 0.75])
     aggregates = []
     for i, c in enumerate(cols):
         v = quoted(c).cast("double")
@@ -130,34 +131,49 @@ def describe(t: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -
             F.skewness(v).alias(f"g{i}"),
             F.kurtosis(v).alias(f"k{i}"),
         ]
-    entries = []
-    for i, c in enumerate(cols):
-        n = F.col(f"n{i}").cast("double")
-        skew = F.when(n > 2, F.col(f"g{i}") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
-        kurt = F.when(
-            n > 3,
-            ratio((n - 1) * ((n + 1) * F.col(f"k{i}") + F.lit(6.0)), (n - 2) * (n - 3)),
-        )
-        q = [F.lit(x).cast("double") for x in quartiles[c]]
-        fields = {
-            "mean": F.col(f"m{i}"),
-            "std": F.col(f"s{i}"),
-            "min": F.col(f"lo{i}"),
-            "p25": q[0],
-            "p50": q[1],
-            "p75": q[2],
-            "max": F.col(f"hi{i}"),
-            "skewness": skew,
-            "kurtosis": kurt,
-        }
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"n{i}").alias("count"),
-                *[round_half_up(x, digits).alias(name) for name, x in fields.items()],
-            )
+    parts = {"n": "count", "m": "mean", "s": "std", "lo": "min", "hi": "max", "g": "g", "k": "k"}
+    long = lengthen(
+        t.agg(*aggregates),
+        [
+            {"column": c, **{name: F.col(f"{p}{i}") for p, name in parts.items()}}
+            for i, c in enumerate(cols)
+        ],
+    )
+    n = F.col("count").cast("double")
+    skewness = F.when(n > 2, F.col("g") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
+    kurtosis = F.when(
+        n > 3, ratio((n - 1) * ((n + 1) * F.col("k") + F.lit(6.0)), (n - 2) * (n - 3))
+    )
+    rounded = ["mean", "std", "min", "max", "skewness", "kurtosis"]
+    return (
+        long.withColumns({"skewness": skewness, "kurtosis": kurtosis})
+        .drop("g", "k")
+        .withColumns({name: round_half_up(name, digits) for name in rounded})
+    )
+
+
+def describe(t: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
+    """The moments, and exact quartiles."""
+    cols = list(cols or numeric_columns(t))
+    quartiles = percentiles(t, cols, [0.25, 0.5, 0.75])
+
+    def quartile(k: int) -> Column:
+        per_column = F.create_map(
+            *[x for c in cols for x in (F.lit(c), F.lit(quartiles[c][k]).cast("double"))]
         )
-    return t.agg(*aggregates).select(F.inline(F.array(*entries)))
+        return round_half_up(per_column[F.col("column")], digits)
+
+    return moments(t, cols, digits).select(
+        "column",
+        "count",
+        "mean",
+        "std",
+        "min",
+        *[quartile(k).alias(name) for k, name in enumerate(["p25", "p50", "p75"])],
+        "max",
+        "skewness",
+        "kurtosis",
+    )
 
 
 def distribution(t: DataFrame, col: str, digits: int = 2) -> DataFrame:
@@ -175,17 +191,14 @@ def sentinel_counts(t: DataFrame, rules: Mapping[str, Column], digits: int = 2)
         F.count(F.lit(1)).alias("total"),
         *[count_where(p).alias(f"c{i}") for i, p in enumerate(rules.values())],
     )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("check"),
-                F.col(f"c{i}").alias("rows"),
-                percent(f"c{i}", "total", digits).alias("pct"),
-            )
+    long = lengthen(
+        row,
+        [
+            {"check": name, "rows": F.col(f"c{i}"), "total": F.col("total")}
             for i, name in enumerate(rules)
-        ]
+        ],
     )
-    return row.select(F.inline(entries))
+    return long.withColumn("pct", percent("rows", "total", digits)).drop("total")
 
 
 def outliers(t: DataFrame, col: str, q: float = 0.99) -> DataFrame:
@@ -252,59 +265,61 @@ def quality_summary(t: DataFrame, checks: Sequence[Check], y: str | None = None)
         "duplicates", duplicate_count(t).select("extra_copies").scalar()
     )
 
-    def line(name, n, finding, severity, recommendation):
-        return F.struct(
-            F.lit(name).alias("check"),
-            n.cast("long").alias("rows"),
-            finding.alias("finding"),
-            severity.alias("severity"),
-            F.lit(recommendation).alias("recommendation"),
-        )
-
-    none_if_zero = lambda c, s: F.when(c > 0, s).otherwise("None")
-    entries = [
-        line(
-            "Structural nulls",
-            F.col("nulls"),
-            F.format_string("%d null cells", "nulls"),
-            none_if_zero(F.col("nulls"), "High"),
-            "Fill or drop missing cells",
-        ),
-        line(
+    lines = [
+        ("Structural nulls", "nulls", "null cells", "any:High", "Fill or drop missing cells"),
+        (
             "Exact duplicate rows",
-            F.col("duplicates"),
-            F.format_string("%d duplicates", "duplicates"),
-            none_if_zero(F.col("duplicates"), "Medium"),
+            "duplicates",
+            "duplicates",
+            "any:Medium",
             "Inspect and remove true duplicates",
         ),
     ]
-    for i, k in enumerate(checks):
-        share = percent(f"c{i}", "total")
-        graded = (
-            F.lit(k.severity)
-            if k.severity
-            else F.when(share > 10, "High").when(share > 1, "Medium").otherwise("Low")
-        )
-        finding = F.format_string("%d rows (%.2f%%)", F.col(f"c{i}"), F.coalesce(share, F.lit(0.0)))
-        entries.append(line(k.name, F.col(f"c{i}"), finding, graded, k.recommendation))
+    lines += [
+        (k.name, f"c{i}", "rows", k.severity or "graded", k.recommendation)
+        for i, k in enumerate(checks)
+    ]
     if y:
-        negatives = F.col("total") - F.col("positives")
-        finding = F.format_string(
-            "no=%d yes=%d ratio=%.1f:1",
-            negatives,
-            F.col("positives"),
-            round_half_up(ratio(negatives, "positives"), 1),
-        )
-        entries.append(
-            line(
-                "Class imbalance",
-                F.col("positives"),
-                finding,
-                F.lit("High"),
-                "Use stratified splits and class weights",
-            )
+        advice = "Use stratified splits and class weights"
+        lines.append(("Class imbalance", "positives", "balance", "High", advice))
+    long = lengthen(
+        row,
+        [
+            {
+                "check": name,
+                "rows": F.col(source).cast("long"),
+                "unit": unit,
+                "grade": grade,
+                "recommendation": advice,
+                "total": F.col("total"),
+            }
+            for name, source, unit, grade, advice in lines
+        ],
+    )
+    long = long.withColumns(
+        {
+            "pct": F.coalesce(percent("rows", "total"), F.lit(0.0)),
+            "negatives": F.col("total") - F.col("rows"),
+        }
+    ).withColumn("imbalance", round_half_up(ratio("negatives", "rows"), 1))
+    finding = (
+        F.when(F.col("unit") == "rows", F.format_string("%d rows (%.2f%%)", "rows", "pct"))
+        .when(
+            F.col("unit") == "balance",
+            F.format_string("no=%d yes=%d ratio=%.1f:1", "negatives", "rows", "imbalance"),
         )
-    return row.select(F.inline(F.array(*entries)))
+        .otherwise(F.format_string("%d %s", "rows", "unit"))
+    )
+    graded = F.when(F.col("pct") > 10, "High").when(F.col("pct") > 1, "Medium").otherwise("Low")
+    severity = (
+        F.when(F.col("grade") == "graded", graded)
+        .when(~F.col("grade").startswith("any:"), F.col("grade"))
+        .when(F.col("rows") > 0, F.substring_index("grade", ":", -1))
+        .otherwise("None")
+    )
+    return long.select(
+        "check", "rows", finding.alias("finding"), severity.alias("severity"), "recommendation"
+    )
 
 
 def schema_table(t: DataFrame) -> DataFrame:

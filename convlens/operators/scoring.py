@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.functions.columns import count_where, quoted, ratio, round_half_up
+from convlens.operators.shape import lengthen
 from convlens.operators.slicing import VALUES_PER_SLICE, plan_cuts, running_sums
 
 
@@ -161,13 +162,14 @@ def targeting(
         first = F.struct("calls", "score", "up_pos")
         rows.append(F.min(F.when(reached, first)).alias(f"s{i}"))
     row = table.agg(*rows, F.max("all_pos").alias("positives"), F.max("total").alias("total"))
-    entries = F.array(
-        *[
-            F.struct(F.lit(float(share)).alias("share"), F.col(f"s{i}").alias("s"))
+    out = lengthen(
+        row,
+        [
+            {"share": float(share), "s": F.col(f"s{i}"), "positives": F.col("positives"),
+             "total": F.col("total")}
             for i, share in enumerate(shares)
-        ]
+        ],
     )
-    out = row.select("positives", "total", F.inline(entries))
     calls, hits = F.col("s.calls"), F.col("s.up_pos")
     precision = ratio(hits, calls)
     cost, revenue = calls * F.lit(cost_per_call), hits * F.lit(value_per_sale)

@@ -45,7 +45,7 @@ def stratified_split(
         if quota == 0:
             continue
         same = F.col(y).eqNullSafe(F.lit(label))
-        last = order_statistic(t.where(same), "_hash", quota - 1)
+        last = order_statistic(t.where(same), "_hash", quota - 1, n)
         test = test | (same & (F.col("_hash") <= F.lit(int(last))))
     return t.withColumn("split", F.when(test, "test").otherwise("train")).drop("_hash")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from convlens.functions.columns import band, quoted, round_half_up, tier
 from convlens.operators.conversion import HITS, N, RATE, conversion
 from convlens.operators.percentiles import percentiles, value_counts
+from convlens.operators.shape import lengthen
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -22,19 +23,54 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def corr_pairs(t: DataFrame, pairs: Sequence[tuple[str, str]], digits: int = 6) -> DataFrame:
-    """Correlation of chosen pairs, all in one pass; long: feature_a, feature_b, r."""
-    row = t.agg(*[pearson(quoted(a), quoted(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    entries = F.array(
+    """Correlation of chosen pairs; long: feature_a, feature_b, r.
+
+    A first pass finds mean, range and missing values of the columns (a row of numbers).
+    Pairs of complete columns then need one sum of products each, of values shifted by
+    their mean so that nothing cancels. Pairs with missing values use ``pearson``, as
+    each has rows of its own.
+    """
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = {c: i for i, c in enumerate(cols)}
+    stats = t.agg(
+        F.count(F.lit(1)).alias("n"),
         *[
-            F.struct(
-                F.lit(a).alias("feature_a"),
-                F.lit(b).alias("feature_b"),
-                round_half_up(f"r{i}", digits).alias("r"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
+            f(quoted(c).cast("double")).alias(f"{name}{i}")
+            for c, i in at.items()
+            for name, f in [("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max)]
+        ],
+    ).first()
+    constant = {c for c, i in at.items() if stats[f"lo{i}"] == stats[f"hi{i}"]}
+    complete = {c for c, i in at.items() if stats[f"n{i}"] == stats["n"]} - constant
+    shifted = {c: quoted(c).cast("double") - F.lit(stats[f"m{at[c]}"]) for c in complete}
+    n = F.lit(float(max(stats["n"], 1)))
+
+    sums = [F.sum(shifted[c]).alias(f"s{at[c]}") for c in complete]
+    sums += [F.sum(shifted[c] * shifted[c]).alias(f"q{at[c]}") for c in complete]
+    records = []
+    for k, (a, b) in enumerate(pairs):
+        i, j = at[a], at[b]
+        none = F.lit(None).cast("double")
+        record = {"feature_a": a, "feature_b": b, "ready": none}
+        record |= {name: none for name in ("xy", "x", "y", "xx", "yy")}
+        if a in constant or b in constant or not stats["n"]:
+            pass  # no correlation with a constant
+        elif a in complete and b in complete:
+            sums.append(F.sum(shifted[a] * shifted[b]).alias(f"p{k}"))
+            record |= {"xy": F.col(f"p{k}"), "x": F.col(f"s{i}"), "y": F.col(f"s{j}")}
+            record |= {"xx": F.col(f"q{i}"), "yy": F.col(f"q{j}")}
+        else:
+            sums.append(pearson(quoted(a), quoted(b)).alias(f"r{k}"))
+            record["ready"] = F.col(f"r{k}")
+        records.append(record)
+    long = lengthen(t.agg(F.count(F.lit(1)).alias("n"), *sums), records)
+    xy = F.col("xy") - F.col("x") * F.col("y") / n
+    xx = F.col("xx") - F.col("x") * F.col("x") / n
+    yy = F.col("yy") - F.col("y") * F.col("y") / n
+    r = F.coalesce("ready", F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy)))
+    return long.select("feature_a", "feature_b", r.alias("r")).withColumn(
+        "r", round_half_up("r", digits)
     )
-    return row.select(F.inline(entries))
 
 
 def corr_matrix(t: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:

@@ -22,7 +22,7 @@ from convlens.operators import statistics as ST
 from convlens.operators.conversion import overview
 from convlens.operators.percentiles import median_by as exact_median
 from convlens.plans.segments import AGE_EDGES, AGE_LABELS, MEASURES, PRIORITIES, WITH, pct, rnd
-from convlens.sources.contacts import NO_HISTORY, contacts, read
+from convlens.sources.contacts import NO_HISTORY, contacts, contacts_once, read
 from convlens.sources.staging import stage
 
 # Calendar order, leaking and collinear columns.
@@ -106,7 +106,7 @@ def feature_spec() -> FE.FeatureSpec:
 
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    return FE.build_features(contacts(spark, folder), feature_spec())
+    return FE.build_features(contacts_once(spark, folder), feature_spec())
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,9 +127,10 @@ def feature_dictionary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def features_valid(spark: SparkSession, folder: str) -> DataFrame:
+    t = contacts_once(spark, folder)
     return FE.validate_features(
-        contacts(spark, folder),
-        feature_table(spark, folder),
+        t,
+        FE.build_features(t, feature_spec()),
         "y_encoded",
         "y",
         "yes",
@@ -140,11 +141,13 @@ def features_valid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return ST.corr_matrix(contacts(spark, folder), [*NUMERIC, "y_encoded"])
+    return ST.corr_matrix(
+        contacts_once(spark, folder, [*NUMERIC, "y_encoded"]), [*NUMERIC, "y_encoded"]
+    )
 
 
 def collinear(spark: SparkSession, folder: str) -> DataFrame:
-    return ST.collinear(contacts(spark, folder), NUMERIC)
+    return ST.collinear(contacts_once(spark, folder, NUMERIC), NUMERIC)
 
 
 def target_corr(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,11 +156,12 @@ def target_corr(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quantile_conversion(spark: SparkSession, folder: str) -> DataFrame:
-    return ST.quantile_conversion(contacts(spark, folder, history=False), "price")
+    t = contacts_once(spark, folder, ["price", "y_encoded"], history=False)
+    return ST.quantile_conversion(t, "price")
 
 
 def quantile_conversion_ties(spark: SparkSession, folder: str) -> DataFrame:
-    t = contacts(spark, folder)
+    t = contacts_once(spark, folder, ["previous", "y_encoded"])
     return ST.quantile_conversion(t, "previous")
 
 
@@ -186,7 +190,7 @@ def split_balance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_exact(spark: SparkSession, folder: str) -> DataFrame:
-    t = contacts(spark, folder, history=False).select("id", "y_encoded")
+    t = contacts_once(spark, folder, ["id", "y_encoded"], history=False)
     return SP.stratified_split(t, "y_encoded", "id", exact=True)
 
 

@@ -10,7 +10,7 @@ from convlens.operators import cleaning as K
 from convlens.operators import profiling as P
 from convlens.operators.conversion import conversion
 from convlens.plans.segments import AGE_EDGES, AGE_LABELS, WITH, pct, rnd
-from convlens.sources.contacts import contacts, read
+from convlens.sources.contacts import contacts, contacts_once, read
 
 CUSTOMER_META = {
     "c_custkey": ("Numerical", "Customer key"),
@@ -33,7 +33,7 @@ def describe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def moments(spark: SparkSession, folder: str) -> DataFrame:
-    t = P.describe(contacts(spark, folder), ["age", "duration", "campaign", "pdays", "previous"])
+    t = P.moments(contacts(spark, folder), ["age", "duration", "campaign", "pdays", "previous"])
     return t.select("column", "skewness", "kurtosis")
 
 
@@ -129,9 +129,9 @@ def clean_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def winsorise(spark: SparkSession, folder: str) -> DataFrame:
-    rule = K.winsorise("duration", 0.99)
-    change, _ = rule.fit(contacts(spark, folder, history=False))
-    return change(contacts(spark, folder, history=False)).select("id", "duration")
+    t = contacts_once(spark, folder, ["id", "duration"], history=False)
+    change, _ = K.winsorise("duration", 0.99).fit(t)
+    return change(t)
 
 
 def standardise(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,8 +25,7 @@ from convlens.plans.segments import (
     pct,
     rnd,
 )
-from convlens.sources.contacts import contacts, read
-from convlens.sources.staging import stage
+from convlens.sources.contacts import contacts, contacts_once, read
 from convlens.sources.tables import publish
 
 DIMENSIONS = ["segment", "region", "priority", "contact", "poutcome"]
@@ -47,13 +46,8 @@ CONTACT_SCHEMA = T.StructType(
 )
 
 
-def _contacts_once(spark: SparkSession, folder: str) -> DataFrame:
-    """The contact table, written once because several results read it."""
-    return stage(contacts(spark, folder), "contacts")
-
-
 def findings(spark: SparkSession, folder: str) -> DataFrame:
-    t = _contacts_once(spark, folder)
+    t = contacts_once(spark, folder)
     pair = lambda a, b: F.format_string(a, *b)
     overall = C.overview(t).select(
         pair(
@@ -90,7 +84,7 @@ def findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def insights(spark: SparkSession, folder: str) -> DataFrame:
-    t = _contacts_once(spark, folder)
+    t = contacts_once(spark, folder)
     return I.insights(C.multi_conversion(t, [*DIMENSIONS, "month"]), C.overview(t))
 
 
@@ -116,22 +110,22 @@ def _results(t: DataFrame) -> dict[str, tuple[DataFrame, str]]:
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
-    return I.facts(_results(_contacts_once(spark, folder)))
+    return I.facts(_results(contacts_once(spark, folder)))
 
 
 def bundle(spark: SparkSession, folder: str) -> DataFrame:
-    t = _contacts_once(spark, folder)
+    t = contacts_once(spark, folder)
     return I.bundle({name: res for name, (res, _) in _results(t).items()})
 
 
 def bundle_document(spark: SparkSession, folder: str) -> DataFrame:
-    t = _contacts_once(spark, folder)
+    t = contacts_once(spark, folder)
     return I.bundle_document({name: res for name, (res, _) in _results(t).items()})
 
 
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:
     """The same figures through the DataFrame API and through SQL on the published view."""
-    t = _contacts_once(spark, folder)
+    t = contacts_once(spark, folder)
     publish(t, "campaign_contacts", CONTACT_SCHEMA, {"segment": "customer_segment"})
 
     def rate(predicate):

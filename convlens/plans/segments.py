@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from convlens.functions.columns import flag, ordinal, round_half_up, tier
 from convlens.operators import conversion as C
 from convlens.operators.percentiles import approx_median
-from convlens.sources.contacts import CONTACTS_SQL, contacts, read
+from convlens.sources.contacts import (
+    CONTACTS_SQL,
+    contacts,
+    contacts_once,
+    customers,
+    outcomes,
+    read,
+)
 
 # Labels and limits of the report.
 TIERS = [(20, "HIGH"), (10, "AVERAGE")]
@@ -75,7 +82,12 @@ def overview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conv_by_segment(spark: SparkSession, folder: str) -> DataFrame:
-    res = C.conversion(contacts(spark, folder, history=False), ["segment"])
+    res = C.conversion_by_lookup(
+        outcomes(spark, folder),
+        customers(spark, folder),
+        "c_custkey",
+        {"segment": F.col("c_mktsegment")},
+    )
     res = C.with_share(C.with_rank(res))
     rate = F.col("conv_rate_pct")
     label = tier([(rate >= limit, name) for limit, name in TIERS], "LOW")
@@ -122,8 +134,8 @@ def conv_by_channel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conv_by_contact_count(spark: SparkSession, folder: str) -> DataFrame:
-    res = C.conversion(contacts(spark, folder), {"contact_count": F.col("campaign")})
-    res = C.with_reach(res, "contact_count")
+    t = contacts_once(spark, folder, ["campaign", "y_encoded"])
+    res = C.with_reach(C.conversion(t, {"contact_count": F.col("campaign")}), "contact_count")
     return res.withColumn("contact_zone", contact_zone()).orderBy("contact_count")
 
 
@@ -138,15 +150,14 @@ def conv_by_prior_outcome(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def value_by_outcome(spark: SparkSession, folder: str) -> DataFrame:
-    t = contacts(spark, folder)
+    t = contacts_once(spark, folder, ["y", "duration", "campaign", "previous"])
     stats = C.profile_by_outcome(
         t,
         "y",
         "duration",
         {"avg_contacts_this_campaign": "campaign", "avg_prior_contacts": "previous"},
     )
-    plain = contacts(spark, folder, history=False)
-    middle = approx_median(plain, ["y"], "duration").select(
+    middle = approx_median(t, ["y"], "duration").select(
         F.col("y").alias("outcome"), F.col("approx_median").alias("approx_median_sec")
     )
     return stats.join(middle, "outcome", "left")
@@ -225,7 +236,13 @@ def best_worst(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_bottom(spark: SparkSession, folder: str) -> DataFrame:
-    return C.top_bottom(C.conversion(contacts(spark, folder, history=False), ["nation"]), "nation")
+    res = C.conversion_by_lookup(
+        outcomes(spark, folder),
+        customers(spark, folder),
+        "c_custkey",
+        {"nation": F.col("n_name")},
+    )
+    return C.top_bottom(res, "nation")
 
 
 def ordered_levels(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,11 +6,14 @@ happened before, and whether it ended in a sale (``y_encoded``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlens.functions.columns import flag
 from convlens.operators.slicing import heavy_values, with_slice
+from convlens.sources.staging import stage
 
 NO_HISTORY = 999  # days since the previous contact, when there was none
 
@@ -19,6 +22,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with their nation and region; one row per customer key."""
+    customer = read(spark, folder, "customer")
+    nation = read(spark, folder, "nation")
+    region = read(spark, folder, "region")
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+        region, F.col("n_regionkey") == F.col("r_regionkey")
+    )
+
+
 def with_dimensions(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
     """Attach customer, nation and region.
 
@@ -26,16 +39,20 @@ def with_dimensions(spark: SparkSession, folder: str, orders: DataFrame) -> Data
     and otherwise shuffles, where AQE splits the partitions of customers with very many
     orders.
     """
-    customer = read(spark, folder, "customer")
-    nation = read(spark, folder, "nation")
-    region = read(spark, folder, "region")
-    return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return orders.join(customers(spark, folder), F.col("o_custkey") == F.col("c_custkey"))
+
+
+def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer key and label of every contact, for results that need nothing else of it."""
+    return read(spark, folder, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), _label().alias("y_encoded")
     )
 
 
+def _label():
+    return flag(F.col("o_orderstatus") == "F")
+
+
 def with_history(
     orders: DataFrame,
     share: float = 0.001,
@@ -149,7 +166,7 @@ def contacts(
     columns = {
         "id": F.col("o_orderkey"),
         "y": F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no"),
-        "y_encoded": flag(F.col("o_orderstatus") == "F"),
+        "y_encoded": _label(),
         "segment": F.col("c_mktsegment"),
         "priority": F.col("o_orderpriority"),
         "region": F.col("r_name"),
@@ -179,6 +196,14 @@ def contacts(
     return t.select(*[c.alias(name) for name, c in columns.items()])
 
 
+def contacts_once(
+    spark: SparkSession, folder: str, columns: Sequence[str] | None = None, history: bool = True
+) -> DataFrame:
+    """The contact table, or some columns of it, written once for work that reads it often."""
+    t = contacts(spark, folder, history)
+    return stage(t.select(*columns) if columns else t, "contacts")
+
+
 CONTACTS_SQL = """
 contacts AS (
   SELECT o_orderkey AS id,
