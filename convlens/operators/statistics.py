@@ -122,25 +122,23 @@ def quantile_conversion(
 ) -> DataFrame:
     """Conversion by quantile bins: right-closed, the lowest value included.
 
-    At most ``q`` bins; equal edges are merged, a constant column gives no bin.
+    At most ``q`` bins; equal edges are merged, a constant column gives one bin.
     """
-    bins = _few_values(t, col, q)
-    edges = percentiles(t, [col], [i / bins for i in range(bins + 1)])[col] if bins else []
+    bins = max(_few_values(t, col, q), 1)
+    edges = percentiles(t, [col], [i / bins for i in range(bins + 1)])[col]
     edges = sorted({e for e in edges if e is not None})
+    if len(edges) < 2:
+        edges = (edges or [0.0]) * 2
     v = quoted(col).cast("double")
-    rules = [(v <= F.lit(high), i) for i, high in enumerate(edges[1:])]
-    bin_id = tier(rules) if rules else F.lit(None).cast("int")
-    res = conversion(t.where(v.isNotNull()), {"bin": bin_id.cast("int")}, y)
-    if not rules:
-        return res.where(F.lit(False)).selectExpr(
-            "bin", "0D AS low", "0D AS high", "0D AS mid", N, HITS, RATE
-        )
-    low, high = F.array(*[F.lit(e) for e in edges[:-1]]), F.array(*[F.lit(e) for e in edges[1:]])
+    bin_id = tier([(v <= F.lit(high), i) for i, high in enumerate(edges[1:])])
+    res = conversion(t.where(v.isNotNull() & ~F.isnan(v)), {"bin": bin_id.cast("int")}, y)
+    edge = F.array(*[F.lit(e) for e in edges])
+    low, high = edge[F.col("bin")], edge[F.col("bin") + 1]
     return res.select(
         "bin",
-        round_half_up(low[F.col("bin")], 6).alias("low"),
-        round_half_up(high[F.col("bin")], 6).alias("high"),
-        round_half_up((low[F.col("bin")] + high[F.col("bin")]) / 2.0, 6).alias("mid"),
+        round_half_up(low, 6).alias("low"),
+        round_half_up(high, 6).alias("high"),
+        round_half_up((low + high) / 2.0, 6).alias("mid"),
         N,
         HITS,
         RATE,
