@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlens.functions.columns import count_where, percent, round_half_up
+from convlens.functions.columns import count_where, flag, percent, round_half_up
 from convlens.operators import conversion as C
 from convlens.operators import insights as I
 from convlens.operators import modelling as M
@@ -15,16 +15,9 @@ from convlens.operators.percentiles import median_by
 from convlens.operators.profiling import duplicate_groups
 from convlens.operators.statistics import corr_pairs
 from convlens.plans.learning import _model_input
-from convlens.plans.segments import (
-    BUCKET_SQL,
-    MEASURES,
-    WITH,
-    _multi,
-    contact_zone,
-    duration_bucket,
-    pct,
-    rnd,
-)
+from convlens.plans import segments as G
+from convlens.plans.segments import MEASURES, WITH, _multi, contact_zone, pct, rnd
+from convlens.plans.segments import ORACLE as SEGMENT_SQL
 from convlens.sources.contacts import contacts, contacts_once, read
 from convlens.sources.tables import publish
 
@@ -93,20 +86,37 @@ def zone_summary(spark: SparkSession, folder: str) -> DataFrame:
     return I.tier_summary(res.withColumn("contact_zone", contact_zone()), "contact_zone")
 
 
+# Sections of the report: the result, the key of its rows, and the query with its SQL.
+SECTIONS = {
+    "kpis": (G.kpi_result, "'all'", "headline_kpis"),
+    "by_segment": (
+        lambda t: G.segment_result(C.conversion(t, ["segment"])), "segment", "conv_by_segment"
+    ),
+    "by_priority": (G.priority_result, "priority", "conv_by_priority_ordinal"),
+    "by_region": (G.region_result, "region", "conv_by_region_avgs"),
+    "by_contact": (G.contact_result, "contact", "conv_by_contact"),
+    "by_contact_count": (G.contact_count_result, "contact_zone", "conv_by_contact_count"),
+    "by_prior_outcome": (G.prior_outcome_result, "poutcome", "conv_by_prior_outcome"),
+    "by_duration_bucket": (G.duration_bucket_result, "duration_bucket", "value_buckets"),
+    "by_duration_outcome": (G.duration_outcome_result, "outcome", "value_by_outcome"),
+    "by_temporal": (G.temporal_result, "concat(time_dimension, '=', period)", "temporal"),
+    "segments": (G.top_segment_result, "concat(age_band, ' ', job_tier)", "top_segments"),
+}
+
+
 def _results(t: DataFrame) -> dict[str, tuple[DataFrame, str]]:
-    return {
-        "overview": (C.overview(t), "'all'"),
-        "by_dimension": (C.multi_conversion(t, DIMENSIONS), "concat(dimension, '=', category)"),
-        "by_duration": (
-            C.with_share(C.conversion(t, {"bucket": duration_bucket()}), name="pct_of_calls"),
-            "bucket",
-        ),
-        "temporal": (
-            C.with_share(C.multi_conversion(t, ["month", "day_of_week"]), name="pct_of_calls",
-                         by=["dimension"]),
-            "concat(dimension, '=', category)",
-        ),
-    }
+    return {name: (build(t), key) for name, (build, key, _) in SECTIONS.items()}
+
+
+def _bundle_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All sections and the insights; rows of model metrics can be added as further ones."""
+    t = contacts_once(spark, folder)
+    parts = {name: res for name, (res, _) in _results(t).items()}
+    dims = {"returnflag": F.col("l_returnflag"), "linestatus": F.col("l_linestatus")}
+    lines = read(spark, folder, "lineitem").withColumn("y_encoded", flag(F.col("l_quantity") >= 40))
+    parts["by_flags"] = C.multi_conversion(lines, dims)
+    parts["insights"] = I.insights(C.multi_conversion(t, [*DIMENSIONS, "month"]), C.overview(t))
+    return parts
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,13 +124,11 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bundle(spark: SparkSession, folder: str) -> DataFrame:
-    t = contacts_once(spark, folder)
-    return I.bundle({name: res for name, (res, _) in _results(t).items()})
+    return I.bundle(_bundle_parts(spark, folder))
 
 
 def bundle_document(spark: SparkSession, folder: str) -> DataFrame:
-    t = contacts_once(spark, folder)
-    return I.bundle_document({name: res for name, (res, _) in _results(t).items()})
+    return I.bundle_document(_bundle_parts(spark, folder))
 
 
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,30 +282,29 @@ def _rate(predicate: str, digits: int = 2) -> str:
 
 RATE_SQL = pct("sum(y_encoded)", "count(*)")
 OTHER_RATE_SQL = pct("count(*) - sum(y_encoded)", "count(*)")
-IMBALANCE_SQL = rnd("(1.0 * (count(*) - sum(y_encoded)) / nullif(sum(y_encoded), 0))", 1)
-
-
-def _fact_rows(section: str, source: str, key: str, metrics: list[str]) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{section}' AS section, {key} AS key, '{m}' AS metric, "
-        f"CAST({m} AS DOUBLE) AS value FROM {source}"
-        for m in metrics
-    )
 
 
-GROUP_METRICS = ["total_clients", "subscribed", "conv_rate_pct"]
-FACTS_SQL = f"""{WITH},
-  o AS (SELECT count(*) AS total_clients, sum(y_encoded) AS total_subscribed,
-               count(*) - sum(y_encoded) AS total_not_subscribed,
-               {RATE_SQL} AS subscription_rate_pct,
-               {OTHER_RATE_SQL} AS non_subscription_rate_pct,
-               {IMBALANCE_SQL} AS imbalance_ratio_no_per_yes FROM contacts),
-  d AS ({_multi("contacts", {x: x for x in DIMENSIONS})}),
-  b AS (SELECT *, {pct("total_clients", "sum(total_clients) OVER ()")} AS pct_of_calls
-        FROM (SELECT {BUCKET_SQL} AS bucket, {MEASURES} FROM contacts GROUP BY 1)),
-  m AS (SELECT *, {pct("total_clients", "sum(total_clients) OVER (PARTITION BY dimension)")}
-                  AS pct_of_calls
-        FROM ({_multi("contacts", {"month": "month", "day_of_week": "day_of_week"})}))"""
+def _facts_of(section: str) -> str:
+    """The numbers of a section's own SQL, turned into rows."""
+    _, key, query = SECTIONS[section]
+    return f"""SELECT '{section}' AS section, key, metric, value
+      FROM (SELECT {key} AS key, COLUMNS(lambda c: c IN ({METRICS}))::DOUBLE
+            FROM ({SEGMENT_SQL[query]}))
+      UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE key)))"""
+
+
+METRICS = ", ".join(
+    f"'{m}'"
+    for m in [
+        "total_clients", "total_subscribed", "total_not_subscribed", "subscription_rate",
+        "imbalance_ratio", "avg_call_duration_sec", "avg_campaign_contacts", "subscribed",
+        "conv_rate_pct", "rank_by_conv", "pct_of_dataset", "priority_order", "diff_from_mean_pp",
+        "avg_age", "avg_contacts", "contact_count", "pct_clients_reached_by_this_count",
+        "previously_contacted", "avg_prior_contacts", "conv_index", "pct_of_calls", "clients",
+        "avg_duration_sec", "avg_duration_min", "min_sec", "max_sec", "approx_median_sec",
+        "avg_contacts_this_campaign", "total_calls", "conv_percent_rank", "segment_rank",
+    ]
+)
 
 _ANSWERS = f"""a AS (
   SELECT 'conversion_rate' AS category,
@@ -362,15 +369,7 @@ ORACLE = {
                  ELSE 'OVER-CONTACTED' END AS contact_zone, y_encoded FROM contacts)
       SELECT contact_zone, count(DISTINCT campaign) AS groups, {MEASURES}
       FROM g GROUP BY contact_zone""",
-    "facts": f"""{FACTS_SQL}
-      {_fact_rows("overview", "o", "'all'", [
-          "total_clients", "total_subscribed", "total_not_subscribed", "subscription_rate_pct",
-          "non_subscription_rate_pct", "imbalance_ratio_no_per_yes"])}
-      UNION ALL {_fact_rows("by_dimension", "d", "concat(dimension, '=', category)",
-                            GROUP_METRICS)}
-      UNION ALL {_fact_rows("by_duration", "b", "bucket", [*GROUP_METRICS, "pct_of_calls"])}
-      UNION ALL {_fact_rows("temporal", "m", "concat(dimension, '=', category)",
-                            [*GROUP_METRICS, "pct_of_calls"])}""",
+    "facts": " UNION ALL ".join(_facts_of(section) for section in SECTIONS),
     "reconcile": f"""{WITH}, v AS (
         {" UNION ALL ".join([
             _check("total rows", "count(*)"),

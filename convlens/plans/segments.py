@@ -77,41 +77,127 @@ def duration_bucket():
     )
 
 
-def overview(spark: SparkSession, folder: str) -> DataFrame:
-    return C.overview(contacts(spark, folder, history=False))
+# -- results of a contact table -------------------------------------------------
 
 
-def conv_by_segment(spark: SparkSession, folder: str) -> DataFrame:
-    res = C.conversion_by_lookup(
-        outcomes(spark, folder),
-        customers(spark, folder),
-        "c_custkey",
-        {"segment": F.col("c_mktsegment")},
-    )
-    res = C.with_share(C.with_rank(res))
+def segment_result(res: DataFrame) -> DataFrame:
+    """Rank, share and tier of a conversion by segment."""
     rate = F.col("conv_rate_pct")
     label = tier([(rate >= limit, name) for limit, name in TIERS], "LOW")
-    return res.withColumn("conversion_tier", label).orderBy("rank_by_conv", "segment")
+    res = C.with_share(C.with_rank(res)).withColumn("conversion_tier", label)
+    return res.orderBy("rank_by_conv", "segment")
 
 
-def conv_by_priority_ordinal(spark: SparkSession, folder: str) -> DataFrame:
-    res = C.conversion(contacts(spark, folder, history=False), ["priority"])
-    res = res.withColumn(
+def priority_result(t: DataFrame) -> DataFrame:
+    res = C.conversion(t, ["priority"]).withColumn(
         "priority_order", ordinal("priority", PRIORITIES, default=9).cast("long")
     )
     return C.vs_mean(C.with_share(res), "diff").orderBy("priority_order")
 
 
-def conv_by_region_avgs(spark: SparkSession, folder: str) -> DataFrame:
-    res = C.conversion(
-        contacts(spark, folder),
-        ["region"],
-        extras={
-            "avg_age": round_half_up(F.avg("age"), 1),
-            "avg_contacts": round_half_up(F.avg("campaign"), 2),
-        },
+def region_result(t: DataFrame) -> DataFrame:
+    averages = {
+        "avg_age": round_half_up(F.avg("age"), 1),
+        "avg_contacts": round_half_up(F.avg("campaign"), 2),
+    }
+    res = C.with_share(C.conversion(t, ["region"], extras=averages))
+    return res.orderBy(F.col("conv_rate_pct").desc(), "region")
+
+
+def contact_result(t: DataFrame) -> DataFrame:
+    averages = {
+        "avg_call_duration_sec": round_half_up(F.avg("duration"), 0),
+        "avg_contacts": round_half_up(F.avg("campaign"), 2),
+    }
+    res = C.with_share(C.conversion(t, ["contact"], extras=averages))
+    return res.orderBy(F.col("conv_rate_pct").desc(), "contact")
+
+
+def contact_count_result(t: DataFrame) -> DataFrame:
+    res = C.with_reach(C.conversion(t, {"contact_count": F.col("campaign")}), "contact_count")
+    return res.withColumn("contact_zone", contact_zone()).orderBy("contact_count")
+
+
+def prior_outcome_result(t: DataFrame) -> DataFrame:
+    averages = {"avg_prior_contacts": round_half_up(F.avg("previous"), 2)}
+    res = C.conversion(t, ["poutcome", "previously_contacted"], extras=averages)
+    res = C.vs_mean(C.with_share(res), "index")
+    return res.orderBy(F.col("conv_rate_pct").desc(), "poutcome")
+
+
+def duration_outcome_result(t: DataFrame) -> DataFrame:
+    averages = {"avg_contacts_this_campaign": "campaign", "avg_prior_contacts": "previous"}
+    stats = C.profile_by_outcome(t, "y", "duration", averages)
+    middle = approx_median(t, ["y"], "duration").select(
+        F.col("y").alias("outcome"), F.col("approx_median").alias("approx_median_sec")
+    )
+    return stats.join(middle, "outcome", "left")
+
+
+def duration_bucket_result(t: DataFrame) -> DataFrame:
+    extras = {"_from": F.min("duration")}
+    res = C.conversion(t, {"duration_bucket": duration_bucket()}, extras=extras)
+    return C.with_share(res, name="pct_of_calls").orderBy("_from").drop("_from")
+
+
+def top_segment_result(t: DataFrame) -> DataFrame:
+    dims = {
+        "age_band": age_band(),
+        "job_tier": job_tier(),
+        "previously_contacted": F.col("previously_contacted"),
+    }
+    averages = {
+        "avg_age": round_half_up(F.avg("age"), 1),
+        "avg_contacts": round_half_up(F.avg("campaign"), 2),
+    }
+    res = C.conversion(t, dims, extras=averages, min_n=MIN_SEGMENT)
+    res = C.with_share(C.with_rank(res, name="segment_rank"))
+    return (
+        res.withColumnRenamed("total_clients", "clients")
+        .orderBy("segment_rank", *dims)
+        .limit(TOP_SEGMENTS)
+    )
+
+
+def temporal_result(t: DataFrame) -> DataFrame:
+    res = C.multi_conversion(t, ["month", "day_of_week"])
+    res = C.with_share(res, name="pct_of_calls", by=["dimension"])
+    res = C.with_percent_rank(res, by=["dimension"])
+    return res.withColumnsRenamed(
+        {"dimension": "time_dimension", "category": "period", "total_clients": "total_calls"}
+    ).orderBy("time_dimension", F.col("conv_rate_pct").desc(), "period")
+
+
+def kpi_result(t: DataFrame) -> DataFrame:
+    return C.rollup_kpis(
+        t, {"avg_call_duration_sec": ("duration", 1), "avg_campaign_contacts": ("campaign", 2)}
     )
-    return C.with_share(res).orderBy(F.col("conv_rate_pct").desc(), "region")
+
+
+# -- queries ----------------------------------------------------------------------
+
+
+def overview(spark: SparkSession, folder: str) -> DataFrame:
+    return C.overview(contacts(spark, folder, history=False))
+
+
+def conv_by_segment(spark: SparkSession, folder: str) -> DataFrame:
+    return segment_result(
+        C.conversion_by_lookup(
+            outcomes(spark, folder),
+            customers(spark, folder),
+            "c_custkey",
+            {"segment": F.col("c_mktsegment")},
+        )
+    )
+
+
+def conv_by_priority_ordinal(spark: SparkSession, folder: str) -> DataFrame:
+    return priority_result(contacts(spark, folder, history=False))
+
+
+def conv_by_region_avgs(spark: SparkSession, folder: str) -> DataFrame:
+    return region_result(contacts(spark, folder))
 
 
 def conv_multi_dimension(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,6 +206,10 @@ def conv_multi_dimension(spark: SparkSession, folder: str) -> DataFrame:
     return C.multi_conversion(t, dims).orderBy("dimension", F.col("conv_rate_pct").desc())
 
 
+def conv_by_contact(spark: SparkSession, folder: str) -> DataFrame:
+    return contact_result(contacts(spark, folder))
+
+
 def conv_by_channel(spark: SparkSession, folder: str) -> DataFrame:
     t = read(spark, folder, "events").withColumn("y_encoded", flag(F.col("value") >= 20))
     res = C.conversion(
@@ -134,33 +224,16 @@ def conv_by_channel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conv_by_contact_count(spark: SparkSession, folder: str) -> DataFrame:
-    t = contacts_once(spark, folder, ["campaign", "y_encoded"])
-    res = C.with_reach(C.conversion(t, {"contact_count": F.col("campaign")}), "contact_count")
-    return res.withColumn("contact_zone", contact_zone()).orderBy("contact_count")
+    return contact_count_result(contacts_once(spark, folder, ["campaign", "y_encoded"]))
 
 
 def conv_by_prior_outcome(spark: SparkSession, folder: str) -> DataFrame:
-    res = C.conversion(
-        contacts(spark, folder),
-        ["poutcome", "previously_contacted"],
-        extras={"avg_prior_contacts": round_half_up(F.avg("previous"), 2)},
-    )
-    res = C.vs_mean(C.with_share(res), "index")
-    return res.orderBy(F.col("conv_rate_pct").desc(), "poutcome")
+    return prior_outcome_result(contacts(spark, folder))
 
 
 def value_by_outcome(spark: SparkSession, folder: str) -> DataFrame:
-    t = contacts_once(spark, folder, ["y", "duration", "campaign", "previous"])
-    stats = C.profile_by_outcome(
-        t,
-        "y",
-        "duration",
-        {"avg_contacts_this_campaign": "campaign", "avg_prior_contacts": "previous"},
-    )
-    middle = approx_median(t, ["y"], "duration").select(
-        F.col("y").alias("outcome"), F.col("approx_median").alias("approx_median_sec")
-    )
-    return stats.join(middle, "outcome", "left")
+    columns = ["y", "duration", "campaign", "previous"]
+    return duration_outcome_result(contacts_once(spark, folder, columns))
 
 
 def approx_median_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,44 +242,15 @@ def approx_median_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def value_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    res = C.conversion(
-        contacts(spark, folder, history=False),
-        {"duration_bucket": duration_bucket()},
-        extras={"_from": F.min("duration")},
-    )
-    return C.with_share(res, name="pct_of_calls").orderBy("_from").drop("_from")
+    return duration_bucket_result(contacts(spark, folder, history=False))
 
 
 def top_segments(spark: SparkSession, folder: str) -> DataFrame:
-    res = C.conversion(
-        contacts(spark, folder),
-        {
-            "age_band": age_band(),
-            "job_tier": job_tier(),
-            "previously_contacted": F.col("previously_contacted"),
-        },
-        extras={
-            "avg_age": round_half_up(F.avg("age"), 1),
-            "avg_contacts": round_half_up(F.avg("campaign"), 2),
-        },
-        min_n=MIN_SEGMENT,
-    )
-    res = C.with_share(C.with_rank(res, name="segment_rank"))
-    return (
-        res.withColumnRenamed("total_clients", "clients")
-        .orderBy("segment_rank", "age_band", "job_tier", "previously_contacted")
-        .limit(TOP_SEGMENTS)
-    )
+    return top_segment_result(contacts(spark, folder))
 
 
 def temporal(spark: SparkSession, folder: str) -> DataFrame:
-    t = contacts(spark, folder, history=False)
-    res = C.multi_conversion(t, ["month", "day_of_week"])
-    res = C.with_share(res, name="pct_of_calls", by=["dimension"])
-    res = C.with_percent_rank(res, by=["dimension"])
-    return res.withColumnsRenamed(
-        {"dimension": "time_dimension", "category": "period", "total_clients": "total_calls"}
-    ).orderBy("time_dimension", F.col("conv_rate_pct").desc(), "period")
+    return temporal_result(contacts(spark, folder, history=False))
 
 
 def temporal_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -267,10 +311,7 @@ def subset_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def headline_kpis(spark: SparkSession, folder: str) -> DataFrame:
-    return C.rollup_kpis(
-        contacts(spark, folder),
-        {"avg_call_duration_sec": ("duration", 1), "avg_campaign_contacts": ("campaign", 2)},
-    )
+    return kpi_result(contacts(spark, folder))
 
 
 def label_rate_by_lang(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,6 +326,7 @@ QUERIES = {
     "conv_by_priority_ordinal": conv_by_priority_ordinal,
     "conv_by_region_avgs": conv_by_region_avgs,
     "conv_multi_dimension": conv_multi_dimension,
+    "conv_by_contact": conv_by_contact,
     "conv_by_channel": conv_by_channel,
     "conv_by_contact_count": conv_by_contact_count,
     "conv_by_prior_outcome": conv_by_prior_outcome,
@@ -393,6 +435,11 @@ ORACLE = {
     "conv_multi_dimension": f"""WITH t AS (
         SELECT *, CASE WHEN l_quantity >= 40 THEN 1 ELSE 0 END AS y_encoded FROM lineitem)
       {_multi("t", {"returnflag": "l_returnflag", "linestatus": "l_linestatus"})}""",
+    "conv_by_contact": f"""{WITH}, g AS (
+        SELECT contact, {MEASURES}, {rnd("avg(duration)", 0)} AS avg_call_duration_sec,
+               {rnd("avg(campaign)")} AS avg_contacts
+        FROM contacts GROUP BY contact)
+      SELECT *, {SHARE} AS pct_of_dataset FROM g""",
     "conv_by_channel": f"""WITH t AS (
         SELECT *, CASE WHEN value >= 20 THEN 1 ELSE 0 END AS y_encoded FROM events),
       g AS (SELECT event_type, {MEASURES},
