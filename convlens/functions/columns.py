@@ -14,9 +14,17 @@ def as_column(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def quoted(name: str) -> Column:
     """A column by its literal name, dots included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
 
 
 # -- numbers ---------------------------------------------------------------

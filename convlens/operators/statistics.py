@@ -8,10 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlens.functions.columns import band, quoted, round_half_up, tier
+from convlens.functions.columns import band, quoted, round_half_up, sql_name, sql_text, tier
 from convlens.operators.conversion import HITS, N, RATE, conversion
 from convlens.operators.percentiles import percentiles, value_counts
-from convlens.operators.shape import lengthen
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -32,43 +31,43 @@ def corr_pairs(t: DataFrame, pairs: Sequence[tuple[str, str]], digits: int = 6)
     """
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
     at = {c: i for i, c in enumerate(cols)}
-    stats = t.agg(
-        F.count(F.lit(1)).alias("n"),
+    # as SQL text: hundreds of small expressions are slow to build one call at a time
+    value = {c: f"CAST({sql_name(c)} AS DOUBLE)" for c in cols}
+    stats = t.selectExpr(
+        "count(*) AS n",
         *[
-            f(quoted(c).cast("double")).alias(f"{name}{i}")
+            f"{f}({value[c]}) AS {name}{i}"
             for c, i in at.items()
-            for name, f in [("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max)]
+            for name, f in [("n", "count"), ("m", "avg"), ("lo", "min"), ("hi", "max")]
         ],
     ).first()
+    rows = stats["n"]
     constant = {c for c, i in at.items() if stats[f"lo{i}"] == stats[f"hi{i}"]}
-    complete = {c for c, i in at.items() if stats[f"n{i}"] == stats["n"]} - constant
-    shifted = {c: quoted(c).cast("double") - F.lit(stats[f"m{at[c]}"]) for c in complete}
-    n = F.lit(float(max(stats["n"], 1)))
+    complete = {c for c, i in at.items() if stats[f"n{i}"] == rows} - constant
+    shifted = {c: f"({value[c]} - {stats[f'm{at[c]}']!r}D)" for c in complete}
 
-    sums = [F.sum(shifted[c]).alias(f"s{at[c]}") for c in complete]
-    sums += [F.sum(shifted[c] * shifted[c]).alias(f"q{at[c]}") for c in complete]
-    records = []
+    sums = [f"sum({shifted[c]}) AS s{at[c]}" for c in complete]
+    sums += [f"sum({shifted[c]} * {shifted[c]}) AS q{at[c]}" for c in complete]
+    pairwise, records = [], []
     for k, (a, b) in enumerate(pairs):
         i, j = at[a], at[b]
-        none = F.lit(None).cast("double")
-        record = {"feature_a": a, "feature_b": b, "ready": none}
-        record |= {name: none for name in ("xy", "x", "y", "xx", "yy")}
-        if a in constant or b in constant or not stats["n"]:
-            pass  # no correlation with a constant
-        elif a in complete and b in complete:
-            sums.append(F.sum(shifted[a] * shifted[b]).alias(f"p{k}"))
-            record |= {"xy": F.col(f"p{k}"), "x": F.col(f"s{i}"), "y": F.col(f"s{j}")}
-            record |= {"xx": F.col(f"q{i}"), "yy": F.col(f"q{j}")}
-        else:
-            sums.append(pearson(quoted(a), quoted(b)).alias(f"r{k}"))
-            record["ready"] = F.col(f"r{k}")
-        records.append(record)
-    long = lengthen(t.agg(F.count(F.lit(1)).alias("n"), *sums), records)
-    xy = F.col("xy") - F.col("x") * F.col("y") / n
-    xx = F.col("xx") - F.col("x") * F.col("x") / n
-    yy = F.col("yy") - F.col("y") * F.col("y") / n
-    r = F.coalesce("ready", F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy)))
-    return long.select("feature_a", "feature_b", r.alias("r")).withColumn(
+        parts = ["NULL"] * 6  # xy, x, y, xx, yy of complete columns, or r itself
+        if a in complete and b in complete:
+            sums.append(f"sum({shifted[a]} * {shifted[b]}) AS p{k}")
+            parts[:5] = f"p{k}", f"s{i}", f"s{j}", f"q{i}", f"q{j}"
+        elif rows and not {a, b} & constant:  # no correlation with a constant
+            pairwise.append(pearson(quoted(a), quoted(b)).alias(f"r{k}"))
+            parts[5] = f"r{k}"
+        parts = [f"CAST({x} AS DOUBLE)" for x in parts]
+        records.append(f"{sql_text(a)}, {sql_text(b)}, {', '.join(parts)}")
+    row = t.agg(F.lit(1).alias("one"), *[F.expr(x) for x in sums], *pairwise)
+    long = row.selectExpr(
+        f"stack({len(records)}, {', '.join(records)}) "
+        "AS (feature_a, feature_b, xy, x, y, xx, yy, r)"
+    )
+    n = float(max(rows, 1))
+    fast = f"try_divide(xy - x * y / {n}D, sqrt(xx - x * x / {n}D) * sqrt(yy - y * y / {n}D))"
+    return long.selectExpr("feature_a", "feature_b", f"coalesce(r, {fast}) AS r").withColumn(
         "r", round_half_up("r", digits)
     )
 

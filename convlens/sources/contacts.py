@@ -10,16 +10,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convlens.functions.columns import flag
 from convlens.operators.slicing import heavy_values, with_slice
 from convlens.sources.staging import stage
+from convlens.sources.tables import read_table
 
 NO_HISTORY = 999  # days since the previous contact, when there was none
 
 
+# Declared, so that no job has to read file footers before a query starts.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", SCHEMAS[name])
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,11 +107,23 @@ def _plain_history(orders: DataFrame) -> DataFrame:
     )
 
 
+def _moment(t: DataFrame, col: str):
+    """A number that grows with a date or time; local times are not shifted by a time zone."""
+    if isinstance(t.schema[col].dataType, T.TimestampNTZType):
+        return (
+            F.unix_date(F.to_date(col)).cast("double") * 86400.0
+            + F.hour(col) * 3600.0
+            + F.minute(col) * 60.0
+            + F.date_part(F.lit("SECOND"), F.col(col)).cast("double")
+        )
+    return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+
+
 def _sliced_history(orders: DataFrame, share: float, min_rows: int, slices: int) -> DataFrame:
     """The same columns, with the window cut by date, and by key where one date is hot."""
     orders = orders.withColumns(
         {
-            "_date": F.unix_micros("o_orderdate").cast("double"),
+            "_date": _moment(orders, "o_orderdate"),
             "_key": F.col("o_orderkey").cast("double"),
         }
     )

@@ -1,10 +1,12 @@
+import pytest
 from pyspark.sql import functions as F
 
 from convlens.sources import contacts as S
 from convlens.sources.contacts import contacts
 
 
-def test_sliced_history_equals_the_plain_window(spark):
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_sliced_history_equals_the_plain_window(spark, kind):
     """One customer holds a third of the orders, and one date a third of those."""
     t = spark.range(0, 3000).select(
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100).alias("o_custkey"),
@@ -16,7 +18,7 @@ def test_sliced_history_equals_the_plain_window(spark):
         (F.col("k") * 10_000 + F.col("id")).alias("o_orderkey"),
         F.when(F.col("id") % 9 == 0, F.lit("2000-01-01"))
         .otherwise(F.expr("string(date_add(date'1999-06-01', int(pmod(k, 500))))"))
-        .cast("timestamp")
+        .cast(kind)
         .alias("o_orderdate"),
         F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.pmod("k", F.lit(3)).cast("int") + 1).alias(
             "o_orderstatus"
