@@ -32,7 +32,7 @@ def assert_no_leakage(features: Sequence[str], leaking: Sequence[str]) -> None:
 
 
 def _spread(train: DataFrame) -> DataFrame:
-    """At least one partition per core: fitting is bound by the processor, not by reading."""
+    """At least one partition per core: growing trees is bound by the processor, not by reading."""
     cores = train.sparkSession.sparkContext.defaultParallelism
     return train if train.rdd.getNumPartitions() >= cores else train.repartition(cores)
 
@@ -70,7 +70,7 @@ def logistic_regression(max_iter: int = 1000, c: float = 1.0) -> Estimator:
                 maxIter=max_iter,
             ),
         ]
-        return Pipeline(stages=stages).fit(_spread(weighted))
+        return Pipeline(stages=stages).fit(weighted)
 
     return Estimator("M1 LogReg", fit)
 
@@ -115,22 +115,30 @@ def score(model: PipelineModel, t: DataFrame) -> DataFrame:
     return scored.select(*t.columns, "prediction", "score")
 
 
-def evaluate(scored: DataFrame, y: str, name: str, digits: int = 4) -> DataFrame:
-    """One row: the confusion counts and the five metrics of a scored table."""
-    labels = classification_metrics(scored, y, "prediction", digits=digits)
-    ranks = ranking_metrics(score_table(scored, y, "score"), digits=digits)
-    ranks = ranks.select(F.struct("roc_auc", "pr_auc").alias("r")).scalar()
-    return labels.withColumn("_r", ranks).select(
-        F.lit(name).alias("model"),
-        "precision",
-        "recall",
-        "f1",
-        F.col("_r.roc_auc"),
-        F.col("_r.pr_auc"),
-        "tp",
-        "fp",
-        "fn",
-        "tn",
+def evaluate(
+    scored: DataFrame, y: str, name: str | None = None, digits: int = 4, by: Sequence[str] = ()
+) -> DataFrame:
+    """Confusion counts and the five metrics of a scored table, one row per ``by`` group."""
+    labels = classification_metrics(scored, y, "prediction", by, digits)
+    ranks = ranking_metrics(score_table(scored, y, "score", by), by, digits)
+    if by:
+        out = labels.join(ranks, list(by))
+    else:
+        pair = ranks.select(F.struct("roc_auc", "pr_auc").alias("r")).scalar()
+        out = labels.withColumn("_r", pair).select("*", "_r.*").drop("_r")
+    columns = ["precision", "recall", "f1", "roc_auc", "pr_auc", "tp", "fp", "fn", "tn"]
+    model = [] if name is None else [F.lit(name).alias("model")]
+    return out.select(*model, *by, *columns)
+
+
+def summarise_folds(per_fold: DataFrame, digits: int = 4) -> DataFrame:
+    """Mean and population deviation of each metric over the folds of a model."""
+    return per_fold.groupBy("model").agg(
+        *[
+            round_half_up(f(m), digits).alias(f"test_{m}_{label}")
+            for m in METRICS
+            for label, f in [("mean", F.avg), ("std", F.stddev_pop)]
+        ]
     )
 
 
@@ -195,14 +203,7 @@ def cross_validate(
     tasks = [(estimator, k) for estimator in estimators for k in range(folds)]
     with ThreadPool(parallelism) as pool:
         rows = pool.starmap(target, tasks, chunksize=1)
-    per_fold = t.sparkSession.createDataFrame(rows)
-    return per_fold.groupBy("model").agg(
-        *[
-            round_half_up(f(m), digits).alias(f"test_{m}_{label}")
-            for m in METRICS
-            for label, f in [("mean", F.avg), ("std", F.stddev_pop)]
-        ]
-    )
+    return summarise_folds(t.sparkSession.createDataFrame(rows), digits)
 
 
 def feature_importance(model: PipelineModel, t: DataFrame, top: int | None = None) -> DataFrame:

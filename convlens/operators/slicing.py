@@ -20,6 +20,10 @@ VALUES_PER_SLICE = 2_000_000
 MAX_SLICES = 8_192
 SKETCH_ACCURACY = 100_000
 
+# A value is heavy when it holds more than this share of the table and this many rows.
+HEAVY_SHARE = 0.0001
+HEAVY_ROWS = 1_000_000
+
 
 def plan_cuts(t: DataFrame, col: str, values_per_slice: int = VALUES_PER_SLICE) -> list[float]:
     """Cut points that split ``col`` into slices of about ``values_per_slice`` values.
@@ -104,7 +108,7 @@ def running_sums(
 
 
 def heavy_values(
-    t: DataFrame, cols: Sequence[str], share: float = 0.001, min_rows: int = 1_000_000
+    t: DataFrame, cols: Sequence[str], share: float = HEAVY_SHARE, min_rows: int = HEAVY_ROWS
 ) -> list[Row]:
     """Values that hold more than ``share`` of all rows, and more than ``min_rows`` rows.
 

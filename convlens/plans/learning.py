@@ -33,6 +33,7 @@ COLLINEAR = ["price", "balance"]
 ONE_HOT = ["segment", "region", "contact", "poutcome"]
 NOT_FEATURES = ["id", "y", "y_encoded", "priority", "month", "day_of_week", "nation",
                 "age_group", "campaign_group", "recency_group", "split", "fold"]
+RULE_LIMITS = {"quantity": 25.0, "unit_price": 1500.0}
 NUMERIC = ["age", "duration", "price", "balance", "campaign", "previous", "pdays"]
 
 
@@ -249,6 +250,41 @@ def targeting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Two fixed scoring rules as models: every order line scored by both, with its fold."""
+    t = read(spark, folder, "lineitem").select(
+        "l_orderkey",
+        flag(F.col("l_returnflag") == "R").alias("y_encoded"),
+        F.col("l_quantity").alias("quantity"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+    )
+    scores = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("model"),
+                F.col(name).alias("score"),
+                flag(F.col(name) > limit).alias("prediction"),
+            )
+            for name, limit in RULE_LIMITS.items()
+        ]
+    )
+    return SP.kfold(t, "l_orderkey").select("y_encoded", "fold", F.inline(scores))
+
+
+def rule_eval(spark: SparkSession, folder: str) -> DataFrame:
+    return M.evaluate(_rules(spark, folder), "y_encoded", by=["model"])
+
+
+def rule_card(spark: SparkSession, folder: str) -> DataFrame:
+    t = _rules(spark, folder)
+    per_fold = M.evaluate(t, "y_encoded", digits=6, by=["model", "fold"])
+    return M.model_card(rule_eval(spark, folder), M.summarise_folds(per_fold))
+
+
+def best_rule(spark: SparkSession, folder: str) -> DataFrame:
+    return M.best_model(rule_eval(spark, folder))
+
+
 # -- models -------------------------------------------------------------------
 
 
@@ -313,6 +349,9 @@ QUERIES = {
         avg_precision,
         curves,
         targeting,
+        rule_eval,
+        rule_card,
+        best_rule,
         model_eval,
         model_cv,
         importance,
@@ -472,7 +511,65 @@ def _metrics(source: str, by: str = "") -> str:
       FROM {source} {"GROUP BY " + by if by else ""}"""
 
 
+RULES_SQL = f"""rules AS (
+  SELECT y_encoded, fold, m.model, m.score, m.prediction FROM (
+    SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_encoded,
+           CAST(CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || ':42'), 17, 8) AS BIGINT)
+                % 5 AS INTEGER) AS fold,
+           unnest([{", ".join(
+               f"{{'model': '{name}', 'score': {score}, "
+               f"'prediction': CASE WHEN {score} > {RULE_LIMITS[name]} THEN 1 ELSE 0 END}}"
+               for name, score in [("quantity", "l_quantity"),
+                                   ("unit_price", "l_extendedprice / l_quantity")])}]) AS m
+    FROM lineitem))"""
+
+
+def _rule_metrics(by: str, digits: int) -> str:
+    counts = {
+        name: f"count(*) FILTER (WHERE y_encoded = {y} AND prediction = {p})"
+        for name, y, p in [("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0)]
+    }
+
+    def score(num: str, den: str) -> str:
+        return rnd(f"coalesce(1.0 * ({num}) / nullif({den}, 0), 0)", digits)
+
+    tp, fp, fn = counts["tp"], counts["fp"], counts["fn"]
+    return f"""(WITH c AS (
+        SELECT {by}, score, sum(y_encoded) AS pos, sum(1 - y_encoded) AS neg
+        FROM rules GROUP BY ALL),
+      p AS (SELECT *, sum(pos) OVER d AS up_pos, sum(neg) OVER d AS up_neg,
+                   sum(pos) OVER w AS all_pos, sum(neg) OVER w AS all_neg
+            FROM c WINDOW d AS (PARTITION BY {by} ORDER BY score DESC ROWS UNBOUNDED PRECEDING),
+                          w AS (PARTITION BY {by})),
+      r AS (SELECT {by},
+              {rnd("(sum(pos * (all_neg - up_neg + neg / 2.0)) / max(all_pos * all_neg))", digits)}
+                AS roc_auc,
+              {rnd("sum(pos / all_pos * up_pos / (up_pos + up_neg))", digits)} AS pr_auc
+            FROM p GROUP BY ALL),
+      l AS (SELECT {by}, {score(tp, f"{tp} + {fp}")} AS precision,
+              {score(tp, f"{tp} + {fn}")} AS recall,
+              {score(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}")} AS f1,
+              {", ".join(f"{c} AS {name}" for name, c in counts.items())}
+            FROM rules GROUP BY ALL)
+      SELECT * FROM l JOIN r USING ({by}))"""
+
+
+def _fold_summary() -> str:
+    return ", ".join(
+        f"{rnd(f'{f}({m})', 4)} AS test_{m}_{label}"
+        for m in M.METRICS
+        for label, f in [("mean", "avg"), ("std", "stddev_pop")]
+    )
+
+
 ORACLE = {
+    "rule_eval": f"WITH {RULES_SQL} SELECT * FROM {_rule_metrics('model', 4)}",
+    "rule_card": f"""WITH {RULES_SQL}
+      SELECT * FROM {_rule_metrics('model', 4)} JOIN (
+        SELECT model, {_fold_summary()} FROM {_rule_metrics('model, fold', 6)} GROUP BY model)
+      USING (model)""",
+    "best_rule": f"""WITH {RULES_SQL} SELECT * FROM {_rule_metrics('model', 4)}
+      ORDER BY f1 DESC, model LIMIT 1""",
     "features": f"""{WITH}, {FEATURES_SQL}
       SELECT * REPLACE ({rnd("log_campaign", 9)} AS log_campaign,
                         {rnd("log_previous", 9)} AS log_previous)

@@ -6,6 +6,7 @@ happened before, and whether it ended in a sale (``y_encoded``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convlens.functions.columns import flag
-from convlens.operators.slicing import heavy_values, with_slice
+from convlens.operators.slicing import (
+    HEAVY_ROWS,
+    HEAVY_SHARE,
+    MAX_SLICES,
+    VALUES_PER_SLICE,
+    heavy_values,
+    with_slice,
+)
 from convlens.sources.staging import stage
 from convlens.sources.tables import read_table
 
@@ -78,9 +86,9 @@ def _label():
 
 def with_history(
     orders: DataFrame,
-    share: float = 0.001,
-    min_rows: int = 1_000_000,
-    slices: int = 1_000,
+    share: float = HEAVY_SHARE,
+    min_rows: int = HEAVY_ROWS,
+    rows_per_slice: int = VALUES_PER_SLICE,
 ) -> DataFrame:
     """Per customer, in order of date and order key: contacts before, the last date and status.
 
@@ -93,7 +101,9 @@ def with_history(
         return _plain_history(orders)
     is_heavy = F.col("o_custkey").isin(heavy)
     light = _plain_history(orders.where(~is_heavy | F.col("o_custkey").isNull()))
-    return light.unionByName(_sliced_history(orders.where(is_heavy), share, min_rows, slices))
+    return light.unionByName(
+        _sliced_history(orders.where(is_heavy), share, min_rows, rows_per_slice)
+    )
 
 
 def _plain_history(orders: DataFrame) -> DataFrame:
@@ -119,8 +129,11 @@ def _moment(t: DataFrame, col: str):
     return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
 
 
-def _sliced_history(orders: DataFrame, share: float, min_rows: int, slices: int) -> DataFrame:
+def _sliced_history(
+    orders: DataFrame, share: float, min_rows: int, rows_per_slice: int
+) -> DataFrame:
     """The same columns, with the window cut by date, and by key where one date is hot."""
+    slices = min(MAX_SLICES, max(2, math.ceil(orders.count() / rows_per_slice)))
     orders = orders.withColumns(
         {
             "_date": _moment(orders, "o_orderdate"),
@@ -190,8 +203,8 @@ def contacts(
     spark: SparkSession,
     folder: str,
     history: bool = True,
-    share: float = 0.001,
-    min_rows: int = 1_000_000,
+    share: float = HEAVY_SHARE,
+    min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """The contact table. Leave ``history`` out where no column of it is needed."""
     orders = read(spark, folder, "orders")

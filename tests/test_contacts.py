@@ -26,7 +26,7 @@ def test_sliced_history_equals_the_plain_window(spark, kind):
     ).cache()
     key = ["o_orderkey"]
     plain = S._plain_history(t).orderBy(*key).collect()
-    split = S.with_history(t, share=0.01, min_rows=50, slices=20)
+    split = S.with_history(t, share=0.01, min_rows=50, rows_per_slice=70)
     columns = S._plain_history(t).columns
     assert sorted(split.columns) == sorted(columns)
     assert split.select(*columns).orderBy(*key).collect() == plain
