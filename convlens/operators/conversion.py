@@ -210,9 +210,8 @@ def with_reach(
 ) -> DataFrame:
     """Running share of the total up to and including each value of ``order``."""
     cuts = plan_cuts(res, order, values_per_slice)
-    run = running_sums(res, [], order, {"_reached": measure}, cuts)
-    total = res.agg(F.sum(measure)).scalar()
-    return run.withColumn(name, percent(F.col("_reached"), total, digits)).drop("_reached")
+    run = running_sums(res, [], order, {"_reached": measure}, cuts, totals={"_all": measure})
+    return run.withColumn(name, percent("_reached", "_all", digits)).drop("_reached", "_all")
 
 
 def order_levels(res: DataFrame, col: str, levels: Sequence[str], name: str = "position") -> DataFrame:

@@ -191,13 +191,7 @@ def ranked_values(
     """Distinct values with the range of ranks they hold: ``upto - rows + 1 .. upto`` of ``n``."""
     cuts = plan_cuts(t, col, values_per_slice)
     counts = value_counts(t, by, col)
-    ranked = running_sums(counts, by, "value", {"upto": "rows"}, cuts)
-    sizes = counts.groupBy(*by).agg(F.sum("rows").alias("n"))
-    sizes = sizes.select(*[F.col(b).alias(f"_by_{b}") for b in by], "n")
-    match = F.lit(True)
-    for b in by:
-        match = match & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    return ranked.join(sizes, match).drop(*[f"_by_{b}" for b in by])
+    return running_sums(counts, by, "value", {"upto": "rows"}, cuts, totals={"n": "rows"})
 
 
 def median_by(

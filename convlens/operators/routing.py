@@ -71,6 +71,7 @@ RULES: list[tuple[str, list[str]]] = [
     ),
 ]
 DEFAULT = "default"
+CATEGORIES = [*dict.fromkeys(category for category, _ in RULES), DEFAULT]
 
 
 def route(
@@ -91,14 +92,27 @@ def answers_table(t: DataFrame, answers: Mapping[str, str]) -> DataFrame:
     )
 
 
-def answer(t: DataFrame, answers: DataFrame, text: str, default: str = DEFAULT) -> DataFrame:
+def answer(
+    t: DataFrame,
+    answers: DataFrame,
+    text: str,
+    default: str = DEFAULT,
+    categories: Sequence[str] = CATEGORIES,
+) -> DataFrame:
     """Attach the answer of the category, else the default one; a blank question is an error.
 
-    ``answers`` has one row per category (``category``, ``answer``).
+    ``answers`` has a ``category`` and an ``answer`` column. One answer per known category
+    is used, so the side that is broadcast has at most ``len(categories)`` rows, however
+    many questions share a category.
     """
+    answers = (
+        answers.where(F.col("category").isin(list(categories)))
+        .groupBy("category")
+        .agg(F.min("answer").alias("answer"))
+    )
     fallback = answers.where(F.col("category") == default).select("answer").scalar()
     blank = F.coalesce(F.length(F.trim(F.regexp_replace(quoted(text), r"\s+", " "))), F.lit(0)) == 0
-    joined = t.join(answers, "category", "left")
+    joined = t.join(F.broadcast(answers), "category", "left")
     return joined.withColumns(
         {
             "answer": F.when(blank, "Please provide a question.").otherwise(

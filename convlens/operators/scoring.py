@@ -66,20 +66,15 @@ def score_table(
             count_where(F.col(y) != 1).alias("neg"),
         )
     )
-    ranked = running_sums(
-        counts, by, "score", {"up_pos": "pos", "up_neg": "neg"}, cuts, descending=True
+    return running_sums(
+        counts,
+        by,
+        "score",
+        {"up_pos": "pos", "up_neg": "neg"},
+        cuts,
+        descending=True,
+        totals={"all_pos": "pos", "all_neg": "neg"},
     )
-    totals = counts.groupBy(*by).agg(
-        F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")
-    )
-    if not by:
-        both = totals.select(F.struct("all_pos", "all_neg")).scalar()
-        return ranked.withColumn("_t", both).select("*", "_t.*").drop("_t")
-    totals = totals.select(*[F.col(b).alias(f"_by_{b}") for b in by], "all_pos", "all_neg")
-    match = F.lit(True)
-    for b in by:
-        match = match & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    return ranked.join(totals, match).drop(*[f"_by_{b}" for b in by])
 
 
 def ranking_metrics(scores: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataFrame:

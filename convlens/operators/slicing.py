@@ -65,18 +65,25 @@ def running_sums(
     sums: dict[str, str],
     cuts: Sequence[float] = (),
     descending: bool = False,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add running totals over ``order`` inside each ``by`` group, current row included.
 
-    ``sums`` maps a new column to the column it accumulates. ``counts`` holds one row per
+    ``sums`` maps a new column to the column it accumulates, ``totals`` a new column to
+    the column whose whole sum in the group it holds. ``counts`` has one row per
     (by, order) value. With ``cuts`` the work is spread over one task per (by, slice):
     each slice sums itself, and the totals of the slices before it are added.
     """
+    totals = totals or {}
     key = F.col(order).desc() if descending else F.col(order).asc()
     upto = (Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*by)
     if not cuts:
         w = Window.partitionBy(*by).orderBy(key).rowsBetween(*upto)
-        return counts.withColumns({new: F.sum(old).over(w) for new, old in sums.items()})
+        return counts.withColumns(
+            {new: F.sum(old).over(w) for new, old in sums.items()}
+            | {new: F.sum(old).over(whole) for new, old in totals.items()}
+        )
 
     sliced = with_slice(counts, order, cuts)
     inner = Window.partitionBy(*by, "_slice").orderBy(key).rowsBetween(*upto)
@@ -84,27 +91,29 @@ def running_sums(
 
     # one row per (by, slice): at most MAX_SLICES rows in a group
     slice_key = F.col("_slice").desc() if descending else F.col("_slice").asc()
-    before = (
-        Window.partitionBy(*by).orderBy(slice_key).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = sliced.groupBy(*by, "_slice").agg(
-        *[F.sum(old).alias(f"_sum_{new}") for new, old in sums.items()]
-    )
-    carried = totals.select(
-        *[F.col(b).alias(f"_by_{b}") for b in by],
-        F.col("_slice").alias("_carry_slice"),
-        *[
-            F.coalesce(F.sum(f"_sum_{new}").over(before), F.lit(0)).alias(f"_before_{new}")
-            for new in sums
-        ],
+    before = whole.orderBy(slice_key).rowsBetween(Window.unboundedPreceding, -1)
+    sources = dict.fromkeys([*sums.values(), *totals.values()])
+    carried = (
+        with_slice(counts, order, cuts)
+        .groupBy(*by, "_slice")
+        .agg(*[F.sum(old).alias(f"_sum_{old}") for old in sources])
+        .select(
+            *[F.col(b).alias(f"_by_{b}") for b in by],
+            F.col("_slice").alias("_carry_slice"),
+            *[
+                F.coalesce(F.sum(f"_sum_{old}").over(before), F.lit(0)).alias(f"_before_{new}")
+                for new, old in sums.items()
+            ],
+            *[F.sum(f"_sum_{old}").over(whole).alias(new) for new, old in totals.items()],
+        )
     )
     match = F.col("_slice").eqNullSafe(F.col("_carry_slice"))
     for b in by:
         match = match & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    joined = sliced.join(carried, match)
-    return joined.withColumns(
+    joined = sliced.join(carried, match).withColumns(
         {new: F.col(new) + F.col(f"_before_{new}") for new in sums}
-    ).drop("_slice", *carried.columns)
+    )
+    return joined.select(*counts.columns, *sums, *totals)
 
 
 def heavy_values(

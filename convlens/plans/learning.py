@@ -10,6 +10,7 @@ from convlens.functions.columns import (
     flag,
     map_codes,
     ordinal,
+    ratio,
     round_half_up,
     strip_sentinel,
     tier,
@@ -220,7 +221,7 @@ def _returned(spark: SparkSession, folder: str) -> DataFrame:
         "l_linestatus",
         flag(F.col("l_returnflag") == "R").alias("y_encoded"),
         flag(F.col("l_quantity") > 25).alias("prediction"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+        ratio("l_extendedprice", "l_quantity").alias("unit_price"),
     )
 
 
@@ -256,7 +257,7 @@ def _rules(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey",
         flag(F.col("l_returnflag") == "R").alias("y_encoded"),
         F.col("l_quantity").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+        ratio("l_extendedprice", "l_quantity").alias("unit_price"),
     )
     scores = F.array(
         *[
