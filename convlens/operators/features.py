@@ -142,7 +142,10 @@ def validate_features(
     nulls = F.lit(0)
     for c in features.columns:
         nulls = nulls + quoted(c).isNull().cast("int")
-    off = lambda c, allowed: count_where(~F.coalesce(quoted(c).isin(list(allowed)), F.lit(False)))
+
+    def off(c: str, allowed: Sequence[int]) -> Column:
+        return count_where(~F.coalesce(quoted(c).isin(list(allowed)), F.lit(False)))
+
     consistent = F.col(y) == (F.col(label) == positive).cast("int")
     aggregates = {
         "Row count preserved": F.count(F.lit(1)),

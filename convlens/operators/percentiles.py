@@ -47,9 +47,9 @@ def percentiles(
 ) -> dict[str, list[float | None]]:
     """Percentiles with linear interpolation, for all columns in the same passes.
 
-    Returns ``len(cols) * len(probs)`` numbers to the driver. The table is read three
-    times (sketch, counts, values inside the brackets), only the named columns, and nothing is shuffled but the values inside the
-    brackets.
+    Returns ``len(cols) * len(probs)`` numbers to the driver. The named columns are read
+    three times (sketch, counts, values inside the brackets), and nothing is shuffled but
+    the values inside the brackets.
     """
     margin = 2.0 / SKETCH
     edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})

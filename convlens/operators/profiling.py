@@ -324,10 +324,10 @@ def quality_summary(t: DataFrame, checks: Sequence[Check], y: str | None = None)
 
 def schema_table(t: DataFrame) -> DataFrame:
     """Names and types of the columns, split into numeric and categorical."""
-    rows = [
-        (i, f.name, f.dataType.simpleString(), "numeric" if isinstance(f.dataType, T.NumericType) else "categorical")
-        for i, f in enumerate(t.schema.fields)
-    ]
+    rows = []
+    for i, f in enumerate(t.schema.fields):
+        kind = "numeric" if isinstance(f.dataType, T.NumericType) else "categorical"
+        rows.append((i, f.name, f.dataType.simpleString(), kind))
     return t.sparkSession.createDataFrame(
         rows, "position int, column string, dtype string, kind string"
     )

@@ -137,7 +137,8 @@ def test_lookup_form_equals_the_joined_form(spark):
         F.when(F.col("id") < 400, 1).otherwise(F.col("id") % 7).alias("k"),
         (F.col("id") % 3 == 0).cast("int").alias("y_encoded"),
     )
-    lookup = spark.createDataFrame([(i, "even" if i % 2 == 0 else "odd") for i in range(6)], "k long, g string")
+    parity = [(i, "even" if i % 2 == 0 else "odd") for i in range(6)]
+    lookup = spark.createDataFrame(parity, "k long, g string")
     a = C.conversion_by_lookup(facts, lookup, "k", ["g"]).orderBy("g").collect()
     b = C.conversion(facts.join(lookup, "k"), ["g"]).orderBy("g").collect()
     assert [r.asDict() for r in a] == [r.asDict() for r in b]
