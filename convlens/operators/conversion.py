@@ -170,7 +170,10 @@ def with_percent_rank(
     digits: int = 1,
 ) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.col(measure))
-    return res.withColumn(name, round_half_up(F.lit(100.0) * F.percent_rank().over(w), digits))
+    ranked = res.withColumn("_rank", F.percent_rank().over(w))
+    return ranked.withColumn(name, round_half_up(F.lit(100.0) * F.col("_rank"), digits)).drop(
+        "_rank"
+    )
 
 
 def with_share(
@@ -180,24 +183,23 @@ def with_share(
     by: Sequence[str] = (),
     digits: int = 2,
 ) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return res.withColumn(name, percent(F.col(measure), F.sum(measure).over(w), digits))
+    whole = res.withColumn("_all", F.sum(measure).over(Window.partitionBy(*by)))
+    return whole.withColumn(name, percent(measure, "_all", digits)).drop("_all")
 
 
 def vs_mean(
     res: DataFrame, kind: str, measure: str = RATE, name: str | None = None, digits: int = 2
 ) -> DataFrame:
     """Difference to (``diff``) or quotient by (``index``) the unweighted mean of the groups."""
-    mean = F.avg(measure).over(Window.partitionBy())
+    if kind not in ("diff", "index"):
+        raise ValueError(f"kind must be diff or index, not {kind}")
+    mean = F.col("_mean")
     if kind == "diff":
-        return res.withColumn(
-            name or "diff_from_mean_pp", round_half_up(F.col(measure) - mean, digits)
-        )
-    if kind == "index":
-        return res.withColumn(
-            name or "conv_index", round_half_up(ratio(F.col(measure), mean), digits)
-        )
-    raise ValueError(f"kind must be diff or index, not {kind}")
+        name, value = name or "diff_from_mean_pp", F.col(measure) - mean
+    else:
+        name, value = name or "conv_index", ratio(measure, mean)
+    with_mean = res.withColumn("_mean", F.avg(measure).over(Window.partitionBy()))
+    return with_mean.withColumn(name, round_half_up(value, digits)).drop("_mean")
 
 
 def with_reach(

@@ -179,7 +179,7 @@ def describe(t: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -
 def distribution(t: DataFrame, col: str, digits: int = 2) -> DataFrame:
     """Rows and percentage per value, most frequent first."""
     counts = t.groupBy(quoted(col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = t.agg(F.count(F.lit(1))).scalar()  # from file metadata, not from the groups
+    total = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("percentage", percent("count", total, digits)).orderBy(
         F.col("count").desc(), "value"
     )

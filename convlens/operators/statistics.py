@@ -180,13 +180,14 @@ def density(t: DataFrame, by: str, col: str, bins: int = 20, digits: int = 9) ->
         .groupBy(by, index.alias("bin"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    total = F.sum("rows").over(Window.partitionBy(by))  # at most ``bins`` rows a group
+    # at most ``bins`` rows a group
+    counts = counts.withColumn("_all", F.sum("rows").over(Window.partitionBy(by)))
     return counts.select(
         by,
         "bin",
         round_half_up(F.lit(low) + F.col("bin") * F.lit(width), 6).alias("low"),
         "rows",
-        round_half_up(F.col("rows") / (total * F.lit(width)), digits).alias("density"),
+        round_half_up(F.col("rows") / (F.col("_all") * F.lit(width)), digits).alias("density"),
     )
 
 

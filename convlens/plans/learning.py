@@ -173,17 +173,16 @@ def band_conversion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def density(spark: SparkSession, folder: str) -> DataFrame:
-    return ST.density(contacts(spark, folder, history=False), "y", "age", 20)
+    return ST.density(contacts_once(spark, folder, ["y", "age"], history=False), "y", "age", 20)
 
 
 def kernel_density(spark: SparkSession, folder: str) -> DataFrame:
-    return ST.kernel_density(contacts(spark, folder, history=False), "y", "age")
+    return ST.kernel_density(contacts_once(spark, folder, ["y", "age"], history=False), "y", "age")
 
 
 def median_by(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_median(contacts(spark, folder, history=False), ["y"], "price").withColumn(
-        "median", round_half_up("median", 6)
-    )
+    t = contacts_once(spark, folder, ["y", "price"], history=False)
+    return exact_median(t, ["y"], "price").withColumn("median", round_half_up("median", 6))
 
 
 def split_balance(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,7 +206,8 @@ def class_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
-    t = SP.stratified_split(contacts(spark, folder, history=False), "y_encoded", "id")
+    t = contacts_once(spark, folder, ["id", "y_encoded"], history=False)
+    t = SP.stratified_split(t, "y_encoded", "id")
     guessed = SP.prior_baseline(
         t.where("split = 'train'"), t.where("split = 'test'"), "y_encoded", "id"
     )

@@ -196,7 +196,8 @@ def route_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def route_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Each user turn with an answer computed from the contact table."""
-    t = contacts(spark, folder, history=False)
+    columns = ["y_encoded", "segment", "month", "contact"]
+    t = contacts_once(spark, folder, columns, history=False)
     texts = {
         "conversion_rate": C.overview(t).select(
             F.format_string("%.2f%% of %d contacts subscribed", "subscription_rate_pct",
