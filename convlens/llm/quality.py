@@ -93,6 +93,7 @@ def text_figures(text: Column) -> Column:
         F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
         (F.length(text) - count(r"[\p{Lu}]+")).alias("n_upper"),
         (F.length(text) - count(r"[!?]+")).alias("n_shouts"),
+        F.regexp_count(text, F.lit("[" + SYMBOLS + "]+")).cast("long").alias("n_marks"),
     )
 
 
@@ -112,6 +113,8 @@ def _per(a: str, b: str) -> Column:
 #: Thresholds of the rules, as parameters of the method.
 RULES = (
     Rule("length", lambda: F.col("n_words") >= 50, lambda: F.col("n_words") < 20),
+    Rule("marks", lambda: _per("n_marks", "n_words") < 0.02, lambda: _per("n_marks", "n_words") > 0.15),
+    Rule("symbol_share", lambda: _per("n_symbols", "word_chars") < 0.01, lambda: _per("n_symbols", "word_chars") > 0.04),
     Rule("symbols", lambda: _per("n_symbols", "n_words") < 0.02, lambda: _per("n_symbols", "n_words") > 0.1),
     Rule("repeats", lambda: _per("n_repeat_words", "n_words") < 0.1, lambda: _per("n_repeat_words", "n_words") > 0.3),
     Rule("lines", lambda: _per("n_dup_lines", "n_lines") < 0.1, lambda: _per("n_dup_lines", "n_lines") > 0.3),
@@ -140,11 +143,13 @@ class VoteModel:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-#: Where the estimate starts, and the belief (in texts) that holds each figure near it. A bad text
-#: breaks some rule and passes most others; a good one hardly ever breaks any. Without that belief
-#: rules which never fire together would explain each other away.
-START = VoteModel(0.9, (0.002,), (0.3,))
+#: Where the estimate starts and the belief (in texts) that holds each figure near it: a bad text
+#: breaks some rules and passes most others, a good one hardly ever breaks any. The limits say that
+#: rules are better than chance; without them two kinds of bad text that never break the same rule
+#: could each make the other look good.
+START = VoteModel(0.9, (0.005,), (0.3,))
 BELIEF = 20.0
+MOST_WRONG, LEAST_FOUND = 0.01, 0.1
 
 
 def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 50) -> VoteModel:
@@ -161,8 +166,8 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: i
         n_good, total = sum(n * p for _, n, p in shares), sum(n for _, n, _ in shares)
         model = VoteModel(
             (n_good + BELIEF * START.prior) / (total + BELIEF),
-            tuple(called_bad(r, START.wrong[0], lambda n, p: n * p) for r in range(rules)),
-            tuple(called_bad(r, START.found[0], lambda n, p: n * (1 - p)) for r in range(rules)),
+            tuple(min(MOST_WRONG, called_bad(r, START.wrong[0], lambda n, p: n * p)) for r in range(rules)),
+            tuple(max(LEAST_FOUND, called_bad(r, START.found[0], lambda n, p: n * (1 - p))) for r in range(rules)),
         )
     return model
 
@@ -170,7 +175,7 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: i
 def with_figures(rows: DataFrame, text: str = "text") -> DataFrame:
     """The rows with a struct ``__figures``."""
     rows = rows.withColumn("__raw", text_figures(F.col(text)))
-    flat = ["n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_shouts"]
+    flat = ["n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_shouts", "n_marks"]
     figures = {c: F.col(f"__raw.w.{c}") for c in ("n_words", "word_chars", "n_repeat_words")}
     figures |= {c: F.col(f"__raw.{c}") for c in flat}
     # the figures sit in one struct: no column of the input can clash with them
