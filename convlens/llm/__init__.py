@@ -5,13 +5,16 @@
 
 from __future__ import annotations
 
-from convlens.llm import mixing, quality
+from convlens.llm import bpe, mixing, quality, toxicity, vectors
 
 
 def queries():
     return {
+        "op2_permutation_knn": vectors.op2_permutation_knn,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
     }
 
 
