@@ -5,11 +5,12 @@
 
 from __future__ import annotations
 
-from convlens.llm import bpe, mixing, quality, toxicity, vectors
+from convlens.llm import bpe, extraction, mixing, quality, toxicity, vectors
 
 
 def queries():
     return {
+        "op1_main_text": extraction.op1_main_text,
         "op2_permutation_knn": vectors.op2_permutation_knn,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_mix_sources": mixing.op5_mix_sources,
