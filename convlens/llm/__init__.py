@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from convlens.llm import bpe, extraction, mixing, quality, toxicity, vectors
+from convlens.llm import bpe, extraction, jaccard, mixing, quality, toxicity, vectors
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
+        "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
 
 
