@@ -5,13 +5,14 @@
 
 from __future__ import annotations
 
-from convlens.llm import bpe, extraction, jaccard, mixing, quality, toxicity, vectors
+from convlens.llm import bpe, exactdup, extraction, jaccard, mixing, quality, toxicity, vectors
 
 
 def queries():
     return {
         "op1_main_text": extraction.op1_main_text,
         "op2_permutation_knn": vectors.op2_permutation_knn,
+        "op3_exact_substrings": exactdup.op3_exact_substrings,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_quality_rules": quality.op6_quality_rules,
