@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from convlens.llm import bpe, exactdup, extraction, jaccard, mixing, passages, quality, toxicity, vectors
+from convlens.llm import bpe, exactdup, extraction, jaccard, licenses, mixing, passages, quality, toxicity, vectors
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
+        "op8_licenses": licenses.op8_licenses,
         "op9_passages": passages.op9_passages,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
     }

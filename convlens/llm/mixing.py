@@ -69,67 +69,87 @@ def uniform(ident: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**13)
 
 
-def _cut(rows: DataFrame, keys: list[str], bins: Column) -> tuple[DataFrame, DataFrame]:
-    """(words and words before, by bin; the bin of each key in which ``need`` is met)."""
+def _cut(rows: DataFrame, keys: list[str], bins: Column) -> DataFrame:
+    """The bin of each key in which ``need`` words are reached, and the words before it."""
     sums = rows.groupBy(*keys, "need", bins.alias("bin")).agg(F.sum("size").alias("words"))
     upto = W.partitionBy(*keys).orderBy("bin")
     sums = sums.withColumn("before", F.sum("words").over(upto) - F.col("words"))
     met = sums.where((F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need")))
-    return sums, met.select(*keys, F.col("bin").alias("edge"), "before")
+    return met.select(*keys, F.col("bin").alias("edge"), "before")
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: str = "mix-1", bins: int = BINS) -> DataFrame:
-    """sized: doc_id, source, size, any ``odds_weight`` (inclusion odds of a row against the others of
-    its source, 1 by default). Returns doc_id, size, source_size, target, copies."""
-    # a hash stands for the source, so that null joins like any other value
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    targets = targets.select(key.alias("key"), "source_size", "target")
-    weight = F.col("odds_weight") if "odds_weight" in sized.columns else F.lit(1.0)
-    rows = sized.select("doc_id", "size", key.alias("key"), weight.alias("odds_weight")).join(targets, "key")
+def _key(source: Column) -> Column:
+    """Stands for the source in joins, so that null joins like any other value."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
+
+
+def _ranked(rows: DataFrame, targets: DataFrame, seed: str, bins: int) -> DataFrame:
+    """rows (doc_id, source, size, any odds_weight, anything else) with what the rank needs: whole, need,
+    at (the rank, in (0, 1), null where it cannot be drawn) and its two bins."""
+    weight = F.col("odds_weight") if "odds_weight" in rows.columns else F.lit(1.0)
+    rows = rows.withColumn("key", _key(F.col("source"))).join(targets, "key")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     part = rate - whole
     u = uniform(F.col("doc_id"), seed)
-    odds = part / (1 - part) * F.col("odds_weight")
-    rank = (u / (1 - u)) / odds
+    rank = (u / (1 - u)) / (part / (1 - part) * weight)
+    # rank / (1 + rank) lies in (0, 1) and orders as the rank does
     rows = (
         rows.withColumn("whole", whole)
         .withColumn("need", F.col("target") - whole * F.col("source_size"))
         .withColumn("at", F.when((part > 0) & (F.col("size") > 0), rank / (1 + rank)))
     )
-    # rank / (1 + rank) lies in (0, 1) and orders as the rank does
     scaled = F.col("at") * bins
-    bin1 = F.floor(scaled)
-    bin2 = F.floor((scaled - bin1) * bins)
-    ranked = rows.where(F.col("at").isNotNull())
-    _, edge1 = _cut(ranked.withColumn("b1", bin1), ["key"], F.col("b1"))
-    edge1 = edge1.select("key", F.col("edge").alias("edge1"), F.col("before").alias("before1"))
-    inside = ranked.join(edge1, "key").where(bin1 == F.col("edge1")).withColumn("need", F.col("need") - F.col("before1"))
-    _, edge2 = _cut(inside.withColumn("b2", bin2), ["key"], F.col("b2"))
-    edge2 = edge2.select("key", F.col("edge").alias("edge2"), F.col("before").alias("before2"))
-    last = inside.join(edge2, "key").where(bin2 == F.col("edge2")).withColumn("need", F.col("need") - F.col("before2"))
+    return rows.withColumn("b1", F.floor(scaled)).withColumn("b2", F.floor((scaled - F.floor(scaled)) * bins))
+
+
+def cut_lines(sized: DataFrame, targets: DataFrame, seed: str = "mix-1", bins: int = BINS) -> DataFrame:
+    """For each source where in the ranks its target is met: the bin, the bin inside it, the last row."""
+    rows = _ranked(sized, targets, seed, bins).where(F.col("at").isNotNull())
+    edge1 = _cut(rows, ["key"], F.col("b1")).select("key", F.col("edge").alias("edge1"), F.col("before").alias("before1"))
+    inside = rows.join(edge1, "key").where(F.col("b1") == F.col("edge1")).withColumn("need", F.col("need") - F.col("before1"))
+    edge2 = _cut(inside, ["key"], F.col("b2")).select("key", F.col("edge").alias("edge2"), F.col("before").alias("before2"))
+    last = inside.join(edge2, "key").where(F.col("b2") == F.col("edge2")).withColumn("need", F.col("need") - F.col("before2"))
     # of the last bin, take the first rows whose words come closest to what is needed
     order = W.partitionBy("key").orderBy("at", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, 0)
-    sums = last.withColumn("upto", F.sum("size").over(order))
-    nearest = sums.where(F.col("upto") - F.col("size") / 2 <= F.col("need"))
+    nearest = last.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") - F.col("size") / 2 <= F.col("need"))
     line = nearest.groupBy("key").agg(F.max(F.struct("at", "doc_id")).alias("line"))
-    limits = edge1.join(edge2, "key", "left").join(line, "key", "left")
-    limits = stage(limits.select("key", "edge1", "edge2", "line"), "mix-limits")
-    rows = rows.join(limits, "key", "left")
-    in_line = (F.col("at") < F.col("line.at")) | ((F.col("at") == F.col("line.at")) & (F.coalesce(F.col("doc_id") <= F.col("line.doc_id"), F.lit(True))))
+    edges = edge1.join(edge2, "key", "left").join(line, "key", "left").select("key", "edge1", "edge2", "line")
+    return stage(edges, "mix-edges")
+
+
+def with_copies(rows: DataFrame, targets: DataFrame, lines: DataFrame, seed: str = "mix-1", bins: int = BINS) -> DataFrame:
+    """rows with source_size, target and copies; decided from the row and its source's cut line."""
+    rows = _ranked(rows, targets, seed, bins).join(lines, "key", "left")
+    tied = (F.col("at") == F.col("line.at")) & F.coalesce(F.col("doc_id") <= F.col("line.doc_id"), F.lit(True))
     below = (
         F.when(F.col("edge1").isNull(), F.lit(True))  # the source needs all of them
-        .when(bin1 != F.col("edge1"), bin1 < F.col("edge1"))
-        .when(bin2 != F.col("edge2"), bin2 < F.col("edge2"))
-        .otherwise(F.coalesce(in_line, F.lit(False)))
+        .when(F.col("b1") != F.col("edge1"), F.col("b1") < F.col("edge1"))
+        .when(F.col("b2") != F.col("edge2"), F.col("b2") < F.col("edge2"))
+        .otherwise(F.coalesce((F.col("at") < F.col("line.at")) | tied, F.lit(False)))
     )
     chosen = F.col("at").isNotNull() & (F.col("need") > 0) & below
     copies = F.when(F.col("size") > 0, F.col("whole") + chosen.cast("long")).otherwise(F.lit(0)).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), "key")
+    return rows.withColumn("copies", copies).drop("key", "whole", "need", "at", "b1", "b2", "edge1", "edge2", "line")
+
+
+def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sized = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "mix-sizes")
+    targets = source_targets(sized).select(_key(F.col("source")).alias("key"), "source_size", "target")
+    targets = stage(targets, "mix-targets")
+    return sized, targets, cut_lines(sized, targets)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """docs with each document as often as the mix takes it; columns as they came."""
+    _, targets, lines = _planned(docs)
+    rows = docs.select(F.struct("*").alias("__row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    taken = with_copies(rows, targets, lines).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "mix-sizes")
-    mixed = mix(sized, source_targets(sized))
+    sized, targets, lines = _planned(docs)
+    mixed = with_copies(sized, targets, lines)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

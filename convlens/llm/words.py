@@ -6,6 +6,8 @@ return. Hashes are 64-bit polynomials over the bytes, mixed so that all bits dep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -41,9 +43,15 @@ def spaces(x: np.ndarray) -> np.ndarray:
     return (x == 0x20) | ((x >= 0x09) & (x <= 0x0D))
 
 
-def _hash_segment(x: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marks(x: np.ndarray) -> np.ndarray:
+    """ASCII bytes that are neither letter nor digit."""
+    letter = ((x | 32) >= 97) & ((x | 32) <= 122)
+    return ~letter & ~((x >= 48) & (x <= 57)) & (x < 128)
+
+
+def _hash_segment(x: np.ndarray, lower: bool, gaps: Callable[[np.ndarray], np.ndarray] = spaces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of the words of one byte array."""
-    gap = np.concatenate([[True], spaces(x), [True]])
+    gap = np.concatenate([[True], gaps(x), [True]])
     starts = np.flatnonzero(gap[:-1] & ~gap[1:])
     ends = np.flatnonzero(~gap[:-1] & gap[1:])
     if lower:
@@ -65,8 +73,9 @@ def _segments(text: bytes) -> list[bytes]:
     return [*parts, text[start:]]
 
 
-def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, offsets): words of text i are hashes[offsets[i] : offsets[i + 1]]."""
+def hashed_words(texts: list[bytes], lower: bool = False, gaps: Callable[[np.ndarray], np.ndarray] = spaces) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, offsets): words of text i are hashes[offsets[i] : offsets[i + 1]]. gaps
+    says which bytes separate words; white space must be among them."""
     hashes, counts = [], np.zeros(len(texts), np.int64)
     group: list[int] = []
 
@@ -75,7 +84,7 @@ def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, n
             return
         sizes = np.array([len(texts[i]) + 1 for i in group])
         begin = np.cumsum(sizes) - sizes
-        h, starts, _ = _hash_segment(np.frombuffer(b" ".join([texts[i] for i in group]), np.uint8), lower)
+        h, starts, _ = _hash_segment(np.frombuffer(b" ".join([texts[i] for i in group]), np.uint8), lower, gaps)
         counts[group] = np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
         hashes.append(h)
         group.clear()
@@ -86,7 +95,7 @@ def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, n
             flush()
             held = 0
             for part in _segments(text):
-                h, _, _ = _hash_segment(np.frombuffer(part, np.uint8), lower)
+                h, _, _ = _hash_segment(np.frombuffer(part, np.uint8), lower, gaps)
                 counts[i] += len(h)
                 hashes.append(h)
             continue
