@@ -310,7 +310,8 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
         out.append(text[at : starts[a]])
         at = starts[min(b, len(starts) - 1)]
     out.append(text[at:])
-    return b"".join(out).rstrip() if spans else text
+    left = b"".join(out)
+    return left.rstrip() if spans and at == len(text) else left
 
 
 def without_passages(docs: DataFrame, hashes: int = HASHES, percent: int = PERCENT) -> DataFrame:
