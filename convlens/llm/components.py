@@ -1,6 +1,6 @@
 """Connected components of a table of links, by large-star and small-star steps.
 
-Each step is one group-free join-less aggregation and one join on node ids; every step's links are
+Each step is an aggregation and a join on node ids; every step's links are
 written to the shared folder, so the lineage stays one step long. No node's links are gathered in
 one task: a step only needs the smallest neighbour of a node, which is a partial aggregate.
 """
@@ -33,14 +33,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _finished(links: DataFrame) -> bool:
+    """Does every node link to one root, and no root to another?"""
+    ends = links.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """links: a, b of any ordered type. Returns a, b: every linked node but the smallest of its
     component, with that smallest node."""
     current = stage(_towards(links), label)
-    mark = None
-    while True:
-        size = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if size["n"] == 0 or (size["n"], size["h"]) == mark:
-            return current
-        mark = (size["n"], size["h"])
-        current = stage(_towards(_small_star(_towards(_large_star(current)))), label)
+    while not _finished(current):
+        current = stage(_towards(_small_star(_large_star(current).distinct())), label)
+    return current

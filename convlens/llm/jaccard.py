@@ -11,10 +11,11 @@ the others are expanded to classes. Candidates must agree in size and in a parit
 sets (the bits in which two bitmaps differ are a lower bound of the set difference, so no link is
 lost), and are then verified on the whole texts.
 
-A posting list of m classes is not turned into its m * m pairs. In each round all classes of a list
-meet the next few of it in order, and pairs that links found before already connect are left out:
-copies of one text are connected by their first member in the first round. Rounds go on until every
-pair of a list is either tested or connected, so components are exact.
+A posting list of m classes is not turned into its m * m pairs. In the first round all classes of a
+list meet its first ``FIRST`` ones, which connects most copies of a text. In the second the rest of a
+list is compared in blocks of ``BLOCK`` classes, a block with a block in a task, and only pairs that
+are not connected yet and pass size and bitmaps come out. So every pair of a list is either tested or
+connected, and components are exact.
 
 Defined results: null, empty and blank texts have no shingle and are linked with nothing; texts of
 fewer words than a shingle are one shingle; rows that repeat an id are separate rows, labelled with
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,7 +39,9 @@ from convlens.sources.staging import stage
 
 SAMPLE_DOCS = 10_000
 FREQUENT = 3  # documents of the sample that share a shingle
-ROUND_GROWTH = 8
+FIRST = 2
+BLOCK = 1024
+PAIRS_PER_TASK = 2000
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -61,26 +64,36 @@ def set_id(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each of b bits; b: the power of two at or above the size."""
-    bits = max(256, 1 << int(len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the shingles that fall on each of b bits, as 64-bit numbers; b: a power of two of at
+    least twice the size. The halves of a bitmap, added bit by bit, are the bitmap of half the size."""
+    bits = max(256, 2 << int(len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def differing_bits(a: bytes, b: bytes) -> int:
-    """Bits in which two bitmaps differ, the longer one folded to the length of the shorter."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def folded(x: np.ndarray) -> np.ndarray:
+    half = x.shape[-1] // 2
+    return x[..., :half] ^ x[..., half:]
 
 
-def least_overlap(a: int, b: int, percent: int) -> int:
-    """Smallest intersection with 100 * intersection >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
+def _differing_bits(x: Column, y: Column) -> Column:
+    """Bits in which two bitmaps differ; a bitmap twice as long is folded. Where the lengths differ by
+    more (at low thresholds only) the bound is 0: the pair goes on to be verified."""
+
+    def fold(z: Column) -> Column:
+        half = (F.size(z) / 2).cast("int")
+        return F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.get(z, i).bitwiseXOR(F.get(z, i + half)))
+
+    def count(p: Column, q: Column) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+
+    return (
+        F.when(F.size(x) == F.size(y), count(x, y))
+        .when(F.size(x) == 2 * F.size(y), count(fold(x), y))
+        .when(2 * F.size(x) == F.size(y), count(x, fold(y)))
+        .otherwise(F.lit(0))
+    )
 
 
 def frequent_shingles(docs: DataFrame, k: int, sample: int = SAMPLE_DOCS, least: int = FREQUENT) -> np.ndarray:
@@ -121,12 +134,12 @@ def prepared(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
                     first = np.concatenate([s[~late], s[late]])[:size] if late.any() else s[:size]
                     cid.append(set_id(s)), prefix.append(first.view(np.int64)), bits.append(bitmap(s))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    [part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                     names=["doc_id", "th", "n", "cid", "prefix", "bits"],
                 )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, n int, cid binary, prefix array<long>, bits binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, n int, cid binary, prefix array<long>, bits array<long>")
 
 
 def _postings(rows: DataFrame) -> DataFrame:
@@ -147,26 +160,86 @@ def _postings(rows: DataFrame) -> DataFrame:
     return met.withColumn("at", F.row_number().over(W.partitionBy("token").orderBy("cid")))
 
 
-def _candidates(active: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """a, b, na, nb: classes of a list with its members number low to high - 1, not yet connected."""
-    a = active.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("ia"))
-    b = active.where(F.col("at").between(low, high - 1))
-    b = b.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("ib"))
-    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ia") > F.col("ib")) & (F.col("ra") != F.col("rb"))
-    return a.join(b, "token").where(close).select("a", "b", "na", "nb").distinct()
+def _differ_at_most(na: Column, nb: Column, percent: int) -> Column:
+    """The most that two sets of these sizes can differ in at the threshold: what both have beyond
+    the least intersection with 100 * intersection >= percent * union."""
+    return na + nb - 2 * F.ceil(F.lit(percent) * (na + nb) / (100 + percent))
 
 
-def _pass_bitmaps(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+def _first_pairs(postings: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes of a list with one of its first ones, if size and bitmaps allow."""
+    a = postings.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    b = postings.where(F.col("at") <= FIRST).select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ia") > F.col("ib"))
+    pairs = a.join(b, "token").where(close).select("a", "b", "na", "nb").distinct()
     pairs = pairs.join(bits.select(F.col("cid").alias("a"), F.col("bits").alias("xa")), "a")
     pairs = pairs.join(bits.select(F.col("cid").alias("b"), F.col("bits").alias("xb")), "b")
+    near = _differing_bits(F.col("xa"), F.col("xb")) <= _differ_at_most(F.col("na"), F.col("nb"), percent)
+    return pairs.where(near).select("a", "b")
+
+
+def close_pairs(sizes: np.ndarray, roots: list[bytes], bits: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions (i of left, j of right) of rows of different roots that size and bitmaps allow."""
+    _, root = np.unique(np.array(roots, dtype=object), return_inverse=True)
+    bits = [x.view(np.uint64) for x in bits]  # of a negative number numpy counts the bits of its absolute value
+    length = np.array([len(x) for x in bits])
+    by_length = {int(n): np.stack([bits[j] for j in right[length[right] == n]]) for n in np.unique(length[right])}
+    out = []
+    for i in left.tolist():
+        for n, table in by_length.items():
+            own, other = bits[i], table
+            while len(own) > other.shape[1]:
+                own = folded(own)
+            while other.shape[1] > len(own):
+                other = folded(other)
+            j = right[length[right] == n]
+            both = sizes[j] + sizes[i]
+            most = both - 2 * -(-percent * both // (100 + percent))
+            fine = (root[j] != root[i]) & (np.bitwise_count(other ^ own).sum(axis=1) <= most)
+            fine &= 100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])
+            out += [(i, k) for k in j[fine].tolist()]
+    return out
+
+
+def _block_pairs(postings: DataFrame, bits: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """a, b: the pairs of lists that have not met in the first round and are not connected."""
+    rest = postings.where(F.col("at") > FIRST).withColumn("root", F.col("cid"))
+    if roots is not None:
+        rest = rest.join(roots.select(F.col("a").alias("cid"), F.col("b").alias("r")), "cid", "left")
+        rest = rest.withColumn("root", F.coalesce("r", "cid")).drop("r")
+    mixed = rest.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("at").alias("last"))
+    blocks = F.floor(F.col("last") / BLOCK).cast("int")
+    rest = rest.join(mixed.where("x != y").select("token", blocks.alias("blocks")), "token")
+    rest = rest.withColumn("block", F.floor(F.col("at") / BLOCK).cast("int")).join(bits.select("cid", "bits"), "cid")
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
+    rest = rest.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cid", "n", "root", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(rows: list[tuple]) -> pa.RecordBatch:
+            b1, b2 = rows[0][1], rows[0][2]
+            block = np.array([r[3] for r in rows])
+            every, found = np.arange(len(rows)), []
+            bitmaps = [np.array(r[7], np.int64) for r in rows]
+            sizes, roots = np.array([r[5] for r in rows], np.int64), [r[6] for r in rows]
+            if b1 == b2:
+                found = [(i, j) for i, j in close_pairs(sizes, roots, bitmaps, every, every, percent) if i > j]
+            elif (block == b1).any() and (block == b2).any():
+                found = close_pairs(sizes, roots, bitmaps, every[block == b1], every[block == b2], percent)
+            pairs = [sorted((rows[i][4], rows[j][4]), reverse=True) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
+        held: list[tuple] = []
         for batch in batches:
-            a, b, na, nb, xa, xb = (c.to_pylist() for c in batch.columns)
-            keep = [differing_bits(p, q) <= m + n - 2 * least_overlap(m, n, percent) for m, n, p, q in zip(na, nb, xa, xb)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] != held[0][:3]:
+                    yield compared(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield compared(held)
 
-    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a binary, b binary")
+    dealt = rest.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -176,10 +249,11 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("cid", "text").dropDuplicates(["cid"])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int, tasks: int) -> DataFrame:
     """The pairs a, b whose whole texts reach the threshold."""
     pairs = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
     pairs = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+    pairs = pairs.coalesce(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,33 +279,23 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     )
     classes = stage(classes.select("cid", "label", "one.doc_id", "one.th", "bits"), "jaccard-classes")
     postings = stage(_postings(rows), "jaccard-postings")
-    longest = postings.agg(F.max("at")).first()[0] or 0
+    bits = classes.select("cid", "bits")
+
+    def verified(pairs: DataFrame) -> DataFrame | None:
+        n = pairs.count()
+        if not n:
+            return None
+        wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        texts = stage(_texts(docs, classes.select("cid", "doc_id", "th").join(wanted, "cid")), "jaccard-texts")
+        return stage(_linked(pairs, texts, k, percent, -(-n // PAIRS_PER_TASK)), "jaccard-links")
 
     roots = None  # cid (a), smallest cid of its component (b); classes alone are not in it
-    texts = tested = None
-    low, high = 1, 2
-    while low < longest:
-        active = postings.withColumn("root", F.col("cid"))
-        if roots is not None:
-            active = postings.join(roots.select(F.col("a").alias("cid"), F.col("b").alias("r")), "cid", "left")
-            active = active.withColumn("root", F.coalesce("r", "cid")).drop("r")
-            mixed = active.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
-            active = stage(active.join(mixed, "token", "left_semi"), "jaccard-active")
-        pairs = _candidates(active, low, high, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(_pass_bitmaps(pairs, classes, percent), "jaccard-pairs")
-        if not pairs.isEmpty():
-            wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-            if texts is not None:
-                wanted = wanted.join(texts.select("cid"), "cid", "left_anti")
-            fresh = stage(_texts(docs, classes.select("cid", "doc_id", "th").join(wanted, "cid")), "jaccard-texts")
-            texts = fresh if texts is None else texts.unionByName(fresh)
-            links = stage(_linked(pairs, texts, k, percent), "jaccard-links")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            if not links.isEmpty():
-                roots = components(links if roots is None else links.unionByName(roots), "jaccard-components")
-        low, high = high, high + (high - low) * ROUND_GROWTH
+    links = verified(stage(_first_pairs(postings, bits, percent), "jaccard-pairs"))
+    if links is not None:
+        roots = components(links, "jaccard-components")
+    more = verified(stage(_block_pairs(postings, bits, roots, percent), "jaccard-pairs"))
+    if more is not None:
+        roots = components(more if roots is None else more.unionByName(roots), "jaccard-components")
     named = classes.select("cid", "label")
     if roots is not None:
         named = named.join(roots.select(F.col("a").alias("cid"), F.col("b").alias("r")), "cid", "left")

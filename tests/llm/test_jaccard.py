@@ -26,9 +26,10 @@ def brute(rows, k, percent):
     return {i: (len(s[i]), root[i]) for i in s}
 
 
-@pytest.mark.parametrize("k, percent, growth", [(4, 85, 8), (5, 80, 1), (2, 50, 2)])
-def test_components_match_brute_force(docs, corpus, monkeypatch, k, percent, growth):
-    monkeypatch.setattr(jaccard, "ROUND_GROWTH", growth)
+@pytest.mark.parametrize("k, percent, first, block", [(4, 85, 4, 1024), (5, 80, 1, 3), (2, 50, 2, 2), (3, 20, 1, 1024)])
+def test_components_match_brute_force(docs, corpus, monkeypatch, k, percent, first, block):
+    monkeypatch.setattr(jaccard, "FIRST", first)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(docs, k, percent).collect()}
     assert got == brute([(i, t) for i, t, _ in corpus], k, percent)
 
@@ -42,13 +43,34 @@ def test_frequent_shingles_only_change_the_order(docs, corpus, monkeypatch):
         assert got == brute([(i, t) for i, t, _ in corpus], 4, 85)
 
 
-def test_bitmaps_never_exceed_the_difference():
-    rng = np.random.default_rng(1)
-    for n, m in ((5, 9), (300, 310), (700, 2000), (40, 5000)):
+def test_bitmaps_never_exceed_the_difference(spark):
+    rng, rows = np.random.default_rng(1), []
+    for n, m in ((5, 9), (300, 310), (300, 700), (700, 2000), (40, 5000)):
         pool = rng.integers(0, 2**63, n + m).astype(np.uint64)
         a, b = np.unique(pool[:n]), np.unique(pool[n // 2 : n // 2 + m])
-        assert jaccard.differing_bits(jaccard.bitmap(a), jaccard.bitmap(b)) <= len(np.setxor1d(a, b))
-        assert jaccard.differing_bits(jaccard.bitmap(a), jaccard.bitmap(a)) == 0
+        x, y = jaccard.bitmap(a), jaccard.bitmap(b)
+        rows += [(x.tolist(), y.tolist(), len(np.setxor1d(a, b))), (x.tolist(), x.tolist(), 0)]
+        while len(y) > len(x):
+            y = jaccard.folded(y)
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, d int")
+    got = df.select(jaccard._differing_bits(F.col("x"), F.col("y")).alias("bits"), "d").collect()
+    assert all(r["bits"] <= r["d"] for r in got) and any(r["bits"] > 100 for r in got)
+
+
+def test_block_pairs_match_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(100, 400)], rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(40)]
+    roots = [bytes([i % 7]) for i in range(40)]
+    every = np.arange(40)
+    got = set(jaccard.close_pairs(np.array([len(s) for s in sets]), roots, [jaccard.bitmap(s) for s in sets], every, every, 85))
+    for i in range(40):
+        for j in range(40):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if roots[i] != roots[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                assert (i, j) in got
+    assert len(got) < 800 and not any(roots[i] == roots[j] for i, j in got)
 
 
 def test_one_of_each_component_stays(docs, corpus):
