@@ -56,6 +56,7 @@ def clean(
     table = t  # rows removed as the rules say
     marked = t  # the same rows since the last dedup, with one flag per keep rule
     flags: list[str] = []
+    blanked = 0  # flags whose removed rows hold no values any more
     segments: list[tuple[DataFrame, list[str]]] = []
     trail: list[tuple[Rule, str, tuple[int, int]]] = []
 
@@ -70,7 +71,7 @@ def clean(
             table = table.dropDuplicates()
             if staged:
                 table = stage(table, "deduplicated")
-            marked, flags = table, []
+            marked, flags, blanked = table, [], 0
             trail.append((rule, note, before))
             continue
         before = counter()
@@ -86,12 +87,22 @@ def clean(
             change = rule.change
             if rule.fit:
                 change, note = rule.fit(table)
+            if len(flags) > blanked:
+                marked, blanked = _without_values(marked, flags), len(flags)
             table, marked = change(table), change(marked)
         trail.append((rule, note, before))
     segments.append((marked, flags))
     return table, _audit(t, segments, trail, first_step)
 
 
+def _without_values(marked: DataFrame, flags: list[str]) -> DataFrame:
+    """Rows that a rule has removed are only counted on; a change must not trip over their values."""
+    kept = F.col(flags[-1])
+    return marked.select(
+        *[c if c in flags else F.when(kept, quoted(c)).alias(c) for c in marked.columns]
+    )
+
+
 def _audit(t, segments, trail, first_step) -> DataFrame:
     """One row per rule. Each stretch between two dedups is counted by one aggregate."""
     counts = [
@@ -247,15 +258,26 @@ def validate_ranges(t: DataFrame, rules: Mapping[str, tuple[str, float | None, f
 
 
 def assert_domain(t: DataFrame, col: str, allowed: Sequence) -> DataFrame:
-    """Stop with the offending values when a column leaves its domain; NULL is outside."""
-    v = quoted(col)
-    bad = t.where(v.isNull() | ~v.isin(list(allowed))).select(v.alias("v")).distinct().limit(20)
-    found = [r["v"] for r in bad.collect()]
-    if found:
-        raise ValueError(f"unexpected values in {col}: {found}")
+    """Stop when a column leaves its domain; NULL is outside.
+
+    The message says how many values and rows are wrong; ``domain_violations`` lists them all.
+    """
+    bad = domain_violations(t, col, allowed)
+    total = bad.agg(F.count(F.lit(1)).alias("values"), F.sum("rows").alias("rows"), F.min("value").alias("one")).first()
+    if total["values"]:
+        raise ValueError(
+            f"unexpected values in {col}: {total['values']} in {total['rows']} rows, such as {total['one']}"
+        )
     return t
 
 
+def domain_violations(t: DataFrame, col: str, allowed: Sequence) -> DataFrame:
+    """Every value outside the domain, NULL among them, with its number of rows."""
+    v = quoted(col)
+    outside = t.where(v.isNull() | ~v.isin(list(allowed)))
+    return outside.groupBy(v.cast("string").alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def assert_all(t: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """Stop and name every check that some row breaks. One pass for all checks."""
     row = t.agg(
@@ -283,8 +305,9 @@ def dedup(t: DataFrame, keys: Sequence[str] | None = None, order: Sequence[Colum
     """
     if keys is None:
         return t.dropDuplicates()
+    # the other columns settle ties, so that a rerun keeps the same row
     rest = [quoted(c) for c in t.columns if c not in set(keys)]
-    w = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*(list(order) or rest or [F.lit(1)]))
+    w = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*([*order, *rest] or [F.lit(1)]))
     return t.withColumn("_nr", F.row_number().over(w)).where(F.col("_nr") == 1).drop("_nr")
 
 

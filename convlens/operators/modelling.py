@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from convlens.functions.columns import round_half_up
+from convlens.functions.columns import quoted, round_half_up
 from convlens.operators.scoring import classification_metrics, ranking_metrics, score_table
 from convlens.operators.splitting import SEED, prior_baseline, with_class_weights
 
@@ -31,10 +31,17 @@ def assert_no_leakage(features: Sequence[str], leaking: Sequence[str]) -> None:
         raise ValueError(f"leaking columns among the features: {found}")
 
 
+#: Partitions of the training rows of a forest. Its bagging draws per partition and row, so the number
+#: is part of the model: it must not follow the cluster. Raise it with the number of training rows.
+FOREST_PARTITIONS = 64
+
+
 def _spread(train: DataFrame) -> DataFrame:
-    """At least one partition per core: growing trees is bound by the processor, not by reading."""
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    return train if train.rdd.getNumPartitions() >= cores else train.repartition(cores)
+    """The rows in an order and in partitions that depend on their values alone."""
+    columns = [quoted(c) for c in train.columns]
+    place = F.pmod(F.xxhash64(*columns), F.lit(FOREST_PARTITIONS))
+    dealt = train.repartitionById(FOREST_PARTITIONS, place.cast("int"))
+    return dealt.sortWithinPartitions(*columns)
 
 
 @dataclass(frozen=True)

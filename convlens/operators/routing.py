@@ -71,6 +71,8 @@ RULES: list[tuple[str, list[str]]] = [
     ),
 ]
 DEFAULT = "default"
+# Fixed value: the reply to a blank question.
+BLANK_QUESTION = "Please provide a question."
 CATEGORIES = [*dict.fromkeys(category for category, _ in RULES), DEFAULT]
 
 
@@ -92,32 +94,20 @@ def answers_table(t: DataFrame, answers: Mapping[str, str]) -> DataFrame:
     )
 
 
-def answer(
-    t: DataFrame,
-    answers: DataFrame,
-    text: str,
-    default: str = DEFAULT,
-    categories: Sequence[str] = CATEGORIES,
-) -> DataFrame:
+def answer(t: DataFrame, answers: DataFrame, text: str, default: str = DEFAULT) -> DataFrame:
     """Attach the answer of the category, else the default one; a blank question is an error.
 
-    ``answers`` has a ``category`` and an ``answer`` column. One answer per known category
-    is used, so the side that is broadcast has at most ``len(categories)`` rows, however
-    many questions share a category.
+    ``answers`` has a ``category`` and an ``answer`` column, one row per category of the rules in
+    use; two answers for one category stop the run when a question needs it.
     """
-    answers = (
-        answers.where(F.col("category").isin(list(categories)))
-        .groupBy("category")
-        .agg(F.min("answer").alias("answer"))
-    )
+    several = F.concat(F.lit("more than one answer for "), F.col("category"))
+    single = F.when(F.count(F.lit(1)) > 1, F.raise_error(several).cast("string"))
+    answers = answers.groupBy("category").agg(single.otherwise(F.min("answer")).alias("answer"))
     fallback = answers.where(F.col("category") == default).select("answer").scalar()
     blank = F.coalesce(F.length(F.trim(F.regexp_replace(quoted(text), r"\s+", " "))), F.lit(0)) == 0
-    joined = t.join(F.broadcast(answers), "category", "left")
-    return joined.withColumns(
+    return t.join(answers, "category", "left").withColumns(
         {
-            "answer": F.when(blank, "Please provide a question.").otherwise(
-                F.coalesce("answer", fallback)
-            ),
+            "answer": F.when(blank, BLANK_QUESTION).otherwise(F.coalesce("answer", fallback)),
             "source": F.when(blank, "error").otherwise("fallback"),
         }
     )

@@ -59,7 +59,7 @@ def score_table(
     cuts = plan_cuts(t, score, values_per_slice)
     value = quoted(score).cast("double")
     counts = (
-        t.where(value.isNotNull())
+        t.where(value.isNotNull() & ~F.isnan(value))
         .groupBy(*by, value.alias("score"))
         .agg(
             count_where(F.col(y) == 1).alias("pos"),

@@ -22,6 +22,17 @@ def hash_number(key: str, seed: int | str, first: int = 1, digits: int = 13):
     return F.conv(key_hash(key, seed, first, digits), 16, 10).cast("long")
 
 
+MOST_CLASSES = 100
+
+
+def _few(classes: DataFrame, what: str) -> dict:
+    """Class to value; never more rows than MOST_CLASSES come to the driver."""
+    rows = classes.limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"{what} needs a label with few classes")
+    return {r[0]: r[1] for r in rows}
+
+
 def stratified_split(
     t: DataFrame, y: str, key: str, share: float = 0.2, seed: int = SEED, exact: bool = False
 ) -> DataFrame:
@@ -32,13 +43,10 @@ def stratified_split(
     quota (rounded half up) by finding, per class, the hash of the last row inside it.
     """
     if not exact:
-        limit = format(int(share * 16**8), "08x")
-        test = key_hash(key, seed) < F.lit(limit)
+        test = hash_number(key, seed, digits=8) < F.lit(int(share * 16**8))
         return t.withColumn("split", F.when(test, "test").otherwise("train"))
     t = t.withColumn("_hash", hash_number(key, seed))
-    sizes = {r[0]: r[1] for r in t.groupBy(y).agg(F.count(F.lit(1))).collect()}
-    if len(sizes) > 100:
-        raise ValueError("an exact split needs a label with few classes")
+    sizes = _few(t.groupBy(y).agg(F.count(F.lit(1)).alias("rows")), "an exact split")
     test = F.lit(False)
     for label, n in sizes.items():
         quota = math.floor(share * n + 0.5)
@@ -68,9 +76,7 @@ def class_weights(t: DataFrame, y: str) -> DataFrame:
 
 def with_class_weights(t: DataFrame, y: str, name: str = "weight") -> DataFrame:
     """Add the balanced weight of the row's class."""
-    weights = {r[y]: r["weight"] for r in class_weights(t, y).collect()}  # two classes
-    if len(weights) > 100:
-        raise ValueError("class weights need a label with few classes")
+    weights = _few(class_weights(t, y).select(y, "weight"), "class weights")
     w = F.lit(None).cast("double")
     for label, value in weights.items():
         w = F.when(F.col(y).eqNullSafe(F.lit(label)), F.lit(value)).otherwise(w)

@@ -8,14 +8,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlens.functions.columns import band, quoted, round_half_up, sql_name, sql_text, tier
+from convlens.functions.columns import (
+    band,
+    finite_or_null,
+    quoted,
+    round_half_up,
+    sql_name,
+    sql_text,
+    tier,
+)
 from convlens.operators.conversion import HITS, N, RATE, conversion
 from convlens.operators.percentiles import percentiles, value_counts
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Correlation over the rows where both are present; NULL if either is constant."""
-    a, b = a.cast("double"), b.cast("double")
+    """Correlation over the rows where both are present; NULL if either is constant.
+
+    NaN and infinite values count as missing.
+    """
+    a, b = finite_or_null(a.cast("double")), finite_or_null(b.cast("double"))
     both = a.isNotNull() & b.isNotNull()
     a, b = F.when(both, a), F.when(both, b)
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
@@ -32,7 +43,9 @@ def corr_pairs(t: DataFrame, pairs: Sequence[tuple[str, str]], digits: int = 6)
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
     at = {c: i for i, c in enumerate(cols)}
     # as SQL text: hundreds of small expressions are slow to build one call at a time
-    value = {c: f"CAST({sql_name(c)} AS DOUBLE)" for c in cols}
+    # x - x is 0 for every finite number and NaN for the others
+    number = {c: f"CAST({sql_name(c)} AS DOUBLE)" for c in cols}
+    value = {c: f"CASE WHEN {x} - {x} = 0D THEN {x} END" for c, x in number.items()}
     stats = t.selectExpr(
         "count(*) AS n",
         *[

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,7 +88,7 @@ def zone_summary(spark: SparkSession, folder: str) -> DataFrame:
     return I.tier_summary(res.withColumn("contact_zone", contact_zone()), "contact_zone")
 
 
-# Sections of the report: the result, the key of its rows, and the query with its SQL.
+# Sections of the report: the result, the full key of its rows, and the query with its SQL.
 SECTIONS = {
     "kpis": (G.kpi_result, "'all'", "headline_kpis"),
     "by_segment": (
@@ -95,12 +97,20 @@ SECTIONS = {
     "by_priority": (G.priority_result, "priority", "conv_by_priority_ordinal"),
     "by_region": (G.region_result, "region", "conv_by_region_avgs"),
     "by_contact": (G.contact_result, "contact", "conv_by_contact"),
-    "by_contact_count": (G.contact_count_result, "contact_zone", "conv_by_contact_count"),
-    "by_prior_outcome": (G.prior_outcome_result, "poutcome", "conv_by_prior_outcome"),
+    "by_contact_count": (
+        G.contact_count_result, "concat(contact_count, ' ', contact_zone)", "conv_by_contact_count"
+    ),
+    "by_prior_outcome": (
+        G.prior_outcome_result, "concat(poutcome, ', ', previously_contacted)",
+        "conv_by_prior_outcome",
+    ),
     "by_duration_bucket": (G.duration_bucket_result, "duration_bucket", "value_buckets"),
     "by_duration_outcome": (G.duration_outcome_result, "outcome", "value_by_outcome"),
     "by_temporal": (G.temporal_result, "concat(time_dimension, '=', period)", "temporal"),
-    "segments": (G.top_segment_result, "concat(age_band, ' ', job_tier)", "top_segments"),
+    "segments": (
+        G.top_segment_result,
+        "concat(age_band, ' ', job_tier, ', ', previously_contacted)", "top_segments",
+    ),
 }
 
 
@@ -134,7 +144,8 @@ def bundle_document(spark: SparkSession, folder: str) -> DataFrame:
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:
     """The same figures through the DataFrame API and through SQL on the published view."""
     t = contacts_once(spark, folder)
-    publish(t, "campaign_contacts", CONTACT_SCHEMA, {"segment": "customer_segment"})
+    view = f"campaign_contacts_{uuid.uuid4().hex}"  # no view of the session is replaced
+    publish(t, view, CONTACT_SCHEMA, {"segment": "customer_segment"})
 
     def rate(predicate):
         return percent(
@@ -181,11 +192,12 @@ def reconcile(spark: SparkSession, folder: str) -> DataFrame:
     pairs = ", ".join(f"'{n}', CAST({q} AS DOUBLE)" for n, q in queries.items())
     key = ", ".join(columns)
     b = spark.sql(
-        f"""SELECT stack({len(queries)}, {pairs}) AS (check, value) FROM campaign_contacts
+        f"""SELECT stack({len(queries)}, {pairs}) AS (check, value) FROM {view}
         UNION ALL
         SELECT 'duplicate rows', CAST(count(*) AS DOUBLE) FROM (
-          SELECT {key} FROM campaign_contacts GROUP BY {key} HAVING count(*) > 1)"""
+          SELECT {key} FROM {view} GROUP BY {key} HAVING count(*) > 1)"""
     )
+    spark.catalog.dropTempView(view)
     return I.reconcile(a, b, 0.01)
 
 
@@ -196,8 +208,8 @@ def route_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def route_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Each user turn with an answer computed from the contact table."""
-    columns = ["y_encoded", "segment", "month", "contact"]
-    t = contacts_once(spark, folder, columns, history=False)
+    columns = ["y_encoded", "segment", "month", "poutcome"]
+    t = contacts_once(spark, folder, columns)
     texts = {
         "conversion_rate": C.overview(t).select(
             F.format_string("%.2f%% of %d contacts subscribed", "subscription_rate_pct",
@@ -205,7 +217,7 @@ def route_answers(spark: SparkSession, folder: str) -> DataFrame:
         ),
         "customer_groups": I.extremes_text(C.conversion(t, ["segment"]), "segment"),
         "campaign": I.extremes_text(C.conversion(t, ["month"]), "month"),
-        "model": I.extremes_text(C.conversion(t, ["contact"]), "contact"),
+        "poutcome": I.extremes_text(C.conversion(t, ["poutcome"]), "poutcome"),
         R.DEFAULT: C.overview(t).select(
             F.format_string("%d contacts; please ask about rates, groups, campaigns or models",
                             "total_clients").alias("answer")
@@ -228,10 +240,10 @@ def route_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_card(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out and cross-validated metrics side by side, for the two cheap models."""
+    """Held-out and cross-validated metrics of all models side by side."""
     t, columns = _model_input(spark, folder)
     train, test = t.where("split = 'train'"), t.where("split = 'test'")
-    models = [None, M.logistic_regression()]
+    models = [None, M.logistic_regression(), M.random_forest()]
     evaluation = M.compare(train, test, columns, "y_encoded", "id", models)
     return M.model_card(
         evaluation, M.cross_validate(train, columns, "y_encoded", "id", models)
@@ -313,7 +325,7 @@ _ANSWERS = f"""a AS (
            AS answer
   UNION ALL SELECT 'customer_groups', {_extremes_from("segment")}
   UNION ALL SELECT 'campaign', {_extremes_from("month")}
-  UNION ALL SELECT 'model', {_extremes_from("contact")}
+  UNION ALL SELECT 'poutcome', {_extremes_from("poutcome")}
   UNION ALL SELECT 'default',
     (SELECT printf('%d contacts; please ask about rates, groups, campaigns or models', count(*))
      FROM contacts))"""

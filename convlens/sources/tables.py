@@ -98,7 +98,21 @@ def publish(
     renames: Mapping[str, str] | None = None,
     save: bool = False,
 ) -> DataFrame:
-    """Conform a table and make it known by name, as a view or as a saved table."""
+    """Conform a table and make it known by name, as a view or as a saved table.
+
+    NULLs in required columns are counted first, in one pass: a later query that does not read such a
+    column would never reach the check in the row.
+    """
+    source = rename_columns(t, renames or {})
+    required = [f for f in schema.fields if not f.nullable]
+    if required:
+        missing = [
+            F.count_if(quoted(f.name).cast(f.dataType).isNull()).alias(f"n{i}")
+            for i, f in enumerate(required)
+        ]
+        found = [(f.name, n) for f, n in zip(required, source.agg(*missing).first()) if n]
+        if found:
+            raise ValueError("NULL in " + ", ".join(f"column {c} ({n} rows)" for c, n in found))
     typed = conform(t, schema, renames)
     if save:
         typed.write.mode("overwrite").saveAsTable(name)
