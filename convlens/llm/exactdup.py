@@ -162,13 +162,15 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
 def repeated_spans(keyed: DataFrame, size: int = SIZE, large: int = LARGE) -> DataFrame:
     """key, begin, end: byte ranges, not merged, that cover all strings which start more than once."""
     met = stage(_contexts(keyed.where(F.octet_length("text") >= size), size), "exactdup-contexts")
-    shared = met.groupBy("ah").count().where("count > 1").select("ah")
+    # written first: a join of two plain shuffles can be split where one anchor holds many of the rows
+    shared = stage(met.groupBy("ah").count().where("count > 1").select("ah"), "exactdup-anchors")
     met = stage(met.join(shared, "ah"), "exactdup-shared")
     name = ["ah", "c1", "c2"]
     kinds = stage(
         met.groupBy(*name).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "first", "n", "rel")).alias("one")), "exactdup-kinds"
     )
-    whole = met.join(kinds.where("copies > 1").select(*name), name).select("key", F.col("first").alias("begin"), (F.col("first") + F.col("n") + (size - 1)).alias("end"))
+    repeated = stage(kinds.where("copies > 1").select(*name), "exactdup-repeated")
+    whole = met.join(repeated, name).select("key", F.col("first").alias("begin"), (F.col("first") + F.col("n") + (size - 1)).alias("end"))
     open_ = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("d"), F.min("copies").alias("least")).where("d > 1 and least = 1")
     wanted = kinds.join(open_, "ah").select("ah", "copies", (F.col("d") > large).alias("large"), "one.*")
     found = stage(_fetched(keyed, wanted, size), "exactdup-edges")

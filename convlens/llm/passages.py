@@ -272,7 +272,7 @@ def passage_spans(keyed: DataFrame, hashes: int = HASHES, percent: int = PERCENT
     met = stage(met.where("a is not null or b is not null").select("key", "sig", "pos", "one"), "passages-met")
     is_first = (F.col("key") == F.col("one.key")) & (F.col("pos") == F.col("one.pos"))
     firsts = met.where(is_first)
-    several = firsts.groupBy("sig").count().where("count > 1").select("sig")
+    several = stage(firsts.groupBy("sig").count().where("count > 1").select("sig"), "passages-signatures")
     slices = _slices(keyed, firsts.join(several, "sig").select("key", "sig", "pos"))
     spans = _equal_spans(windows.where("source is not null"))
     spans = spans.unionByName(_equal_spans(met.where(~is_first).select("key", "pos", F.col("one.key").alias("source"), F.col("one.pos").alias("source_pos"))))
