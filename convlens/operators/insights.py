@@ -66,7 +66,8 @@ def extremes_text(res: DataFrame, key: str, digits: int = 1) -> DataFrame:
 
 
 def insights(multi: DataFrame, overall: DataFrame) -> DataFrame:
-    """Per dimension: best and worst group, their rates, and the lift over the whole table.
+    """Per dimension: best and worst group, their rates, and the lift over the whole table, with a
+    headline, a detail and the evidence in words.
 
     ``multi`` is a ``multi_conversion`` result, ``overall`` an ``overview`` of the table.
     """
@@ -91,6 +92,15 @@ def insights(multi: DataFrame, overall: DataFrame) -> DataFrame:
             round_half_up(lift("best_rate"), 1),
             round_half_up("base_rate", 1),
         ).alias("headline"),
+        F.format_string(
+            "Lowest is %s at %.1f%%, %.1fx the overall rate",
+            "worst",
+            round_half_up("worst_rate", 1),
+            round_half_up(lift("worst_rate"), 1),
+        ).alias("detail"),
+        F.format_string(
+            "%s %.2f%% against %s %.2f%%", "best", "best_rate", "worst", "worst_rate"
+        ).alias("evidence"),
     )
 
 

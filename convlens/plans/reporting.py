@@ -41,6 +41,15 @@ CONTACT_SCHEMA = T.StructType(
 )
 
 
+# Findings that name the best and the worst group of a dimension.
+GROUP_QUESTIONS = {
+    "Does the priority matter?": "priority",
+    "Which channel converts best?": "contact",
+    "Which weekdays convert best?": "day_of_week",
+    "Do regions differ?": "region",
+}
+
+
 def findings(spark: SparkSession, folder: str) -> DataFrame:
     t = contacts_once(spark, folder)
     pair = lambda a, b: F.format_string(a, *b)
@@ -75,6 +84,10 @@ def findings(spark: SparkSession, folder: str) -> DataFrame:
         I.finding("Which months convert best?",
                   I.extremes_text(C.conversion(t, ["month"]), "month")),
         I.finding("Are features collinear?", r),
+        *[
+            I.finding(question, I.extremes_text(C.conversion(t, [dim]), dim))
+            for question, dim in GROUP_QUESTIONS.items()
+        ],
     )
 
 
@@ -360,7 +373,8 @@ ORACLE = {
       UNION ALL SELECT 'Which months convert best?', {_extremes_from("month")}
       UNION ALL SELECT 'Are features collinear?', printf('duration/price r=%.3f',
         {rnd("(covar_pop(duration, price) / (stddev_pop(duration) * stddev_pop(price)))", 3)})
-        FROM contacts""",
+        FROM contacts"""
+    + "".join(f" UNION ALL SELECT '{q}', {_extremes_from(dim)}" for q, dim in GROUP_QUESTIONS.items()),
     "insights": f"""{WITH}, g AS ({_multi("contacts", {x: x for x in [*DIMENSIONS, "month"]})}),
       o AS (SELECT {RATE_SQL} AS base_rate FROM contacts),
       e AS (SELECT dimension, first(category ORDER BY conv_rate_pct DESC, category) AS best,
@@ -373,7 +387,10 @@ ORACLE = {
       SELECT dimension, best, best_rate, best_lift, worst, worst_rate, worst_lift, base_rate,
              printf('%s: %s converts at %.1f%%, %.1fx the overall %.1f%%', dimension, best,
                     {rnd("best_rate", 1)}, {rnd("best_lift", 1)}, {rnd("base_rate", 1)})
-               AS headline
+               AS headline,
+             printf('Lowest is %s at %.1f%%, %.1fx the overall rate', worst,
+                    {rnd("worst_rate", 1)}, {rnd("worst_lift", 1)}) AS detail,
+             printf('%s %.2f%% against %s %.2f%%', best, best_rate, worst, worst_rate) AS evidence
       FROM l""",
     "zone_summary": f"""{WITH}, g AS (
         SELECT campaign, CASE WHEN campaign = 1 THEN 'FIRST CONTACT'
