@@ -19,7 +19,10 @@ CUSTOMER_META = {
     "c_acctbal": ("Numerical", "Account balance"),
     "c_mktsegment": ("Categorical", "Market segment"),
 }
-LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"]
+LINE_NUMBERS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
 
 
 def data_dictionary(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,12 +32,12 @@ def data_dictionary(spark: SparkSession, folder: str) -> DataFrame:
 
 def describe(spark: SparkSession, folder: str) -> DataFrame:
     t = read(spark, folder, "lineitem")
-    return P.describe(t, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return P.describe(t)
 
 
 def moments(spark: SparkSession, folder: str) -> DataFrame:
     t = P.moments(contacts(spark, folder), ["age", "duration", "campaign", "pdays", "previous"])
-    return t.select("column", "skewness", "kurtosis")
+    return t.select("column", "count", "mean", "std", "min", "max", "skewness", "kurtosis")
 
 
 def distribution(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,11 +81,16 @@ def duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
 def dedup(spark: SparkSession, folder: str) -> DataFrame:
     t = read(spark, folder, "lineitem")
     order = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return K.dedup(t, ["l_orderkey", "l_linenumber"], order).drop("l_shipdate")
+    return _dated(K.dedup(t, ["l_orderkey", "l_linenumber"], order))
 
 
 def dedup_exact(spark: SparkSession, folder: str) -> DataFrame:
-    return K.dedup(read(spark, folder, "lineitem").select(*LINE_COLUMNS))
+    return _dated(K.dedup(read(spark, folder, "lineitem")))
+
+
+def _dated(lines: DataFrame) -> DataFrame:
+    """Order lines with the ship date as text, which reads alike in every engine."""
+    return lines.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _noisy_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -436,13 +444,13 @@ ORACLE = {
     ),
     "describe": " UNION ALL ".join(
         _describe_row(c, "lineitem")
-        for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+        for c in LINE_NUMBERS
     ),
     "moments": f"{WITH}, d AS ("
     + " UNION ALL ".join(
         _describe_row(c, "contacts") for c in ["age", "duration", "campaign", "pdays", "previous"]
     )
-    + ') SELECT "column", skewness, kurtosis FROM d',
+    + ') SELECT "column", count, mean, std, min, max, skewness, kurtosis FROM d',
     "distribution": _distribution("event_type", "events"),
     "target_distribution": f"{WITH} {_distribution('y', 'contacts')}",
     "levels": " UNION ALL ".join(
@@ -469,11 +477,12 @@ ORACLE = {
             HAVING count(*) > 1)""",
     "duplicate_groups": """SELECT sha256(text) AS text_key, lang, count(*) AS copies
       FROM documents GROUP BY text, lang HAVING count(*) > 1""",
-    "dedup": """SELECT * EXCLUDE (nr, l_shipdate) FROM (
+    "dedup": """SELECT * EXCLUDE (nr) REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate) FROM (
         SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
           ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS nr FROM lineitem)
       WHERE nr = 1""",
-    "dedup_exact": f"SELECT DISTINCT {', '.join(LINE_COLUMNS)} FROM lineitem",
+    "dedup_exact": """SELECT DISTINCT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate)
+      FROM lineitem""",
     "clean": f"WITH {NOISY_SQL} SELECT {_CLEAN_COLUMNS} FROM cleaned",
     "clean_audit": f"WITH {NOISY_SQL} {AUDIT_SQL}",
     "clean_report": f"WITH {NOISY_SQL} {REPORT_SQL}",
