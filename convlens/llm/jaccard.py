@@ -269,8 +269,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int, tasks: int
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, th, n, root (smallest set id of the component), label (its smallest doc_id) of every row."""
     docs = docs.select("doc_id", "text")
     rows = stage(prepared(docs, k, percent, frequent_shingles(docs, k)), "jaccard-sets")
     classes = (
@@ -296,28 +296,42 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     more = verified(stage(_block_pairs(postings, bits, roots, percent), "jaccard-pairs"))
     if more is not None:
         roots = components(more if roots is None else more.unionByName(roots), "jaccard-components")
-    named = classes.select("cid", "label")
+    named = classes.select("cid", "label").withColumn("root", F.col("cid"))
     if roots is not None:
         named = named.join(roots.select(F.col("a").alias("cid"), F.col("b").alias("r")), "cid", "left")
-        named = named.withColumn("root", F.coalesce("r", "cid"))
+        named = named.select("cid", "label", F.coalesce("r", "cid").alias("root"))
         least = named.groupBy("root").agg(F.min("label").alias("least"))
-        named = named.join(least, "root").select("cid", F.col("least").alias("label"))
-    out = rows.select("doc_id", "n", "cid").join(named, "cid", "left")
+        named = named.join(least, "root").select("cid", "root", F.col("least").alias("label"))
+    return rows.select("doc_id", "th", "n", "cid").join(named, "cid", "left").select("doc_id", "th", "n", "root", "label")
+
+
+def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     component = F.when(F.col("n") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return _labelled(docs, k, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id."""
-    found = stage(join_components(docs, k, percent), "jaccard-found")
-    linked = found.where("n_shingles > 0 and doc_id is not null")
-    gone = linked.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = stage(linked.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-again")
+    """docs with one row of each component: the one with the smallest id (then text hash). Rows without
+    a shingle stay."""
+    found = stage(_labelled(docs, k, percent).where("n > 0"), "jaccard-found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    stays = stage(found.groupBy("root").agg(F.min(order).alias("one")), "jaccard-stays")
+    is_one = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("th") == F.col("one.th"))
+    marked = found.join(stays, "root").withColumn("is_one", is_one)
+    gone = marked.where(~F.col("is_one")).select("doc_id", "th").distinct()
+    again = marked.where("is_one").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
+
+    def same(rows: DataFrame, other: DataFrame) -> Column:
+        return (F.xxhash64(rows["text"]) == other["th"]) & rows["doc_id"].eqNullSafe(other["doc_id"])
+
+    kept = docs.join(gone, same(docs, gone), "left_anti")
+    again = stage(again, "jaccard-again")
     if again.isEmpty():
         return kept
-    # rows that repeat the id that stays
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # equal rows that would all stay
+    single = kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same(kept, again), "left_anti").unionByName(single)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,12 +64,10 @@ def compact_windows(values: np.ndarray, begin: np.ndarray, end: np.ndarray, widt
     over repetitive text stay shallow."""
     if not len(values):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    place = np.arange(len(values)) - np.repeat(begin, end - begin) if len(begin) == 1 and end[0] - begin[0] == len(values) else None
-    if place is None:
-        place = np.zeros(len(values), np.int64)
-        for_range = np.repeat(np.arange(len(begin)), end - begin)
-        inside = np.arange(len(for_range)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + begin[for_range]
-        place[inside] = inside - begin[for_range]
+    size = end - begin
+    place = np.zeros(len(values), np.int64)  # within the range
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    place[inside + np.repeat(begin, size)] = inside
     low = (place.astype(np.uint64) * np.uint64(_SPREAD)) & _LOW
     keys = np.append((values & ~_LOW) | low, np.iinfo(np.uint64).max)
     number, lo, hi = np.arange(len(begin)), begin.astype(np.int64), end.astype(np.int64) - 1
