@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from convlens.llm import bpe, exactdup, extraction, jaccard, licenses, mixing, passages, quality, toxicity, vectors
+from convlens.llm import bpe, exactdup, extraction, jaccard, licenses, mixing, oracle, passages, quality, toxicity, vectors
 
 
 def queries():
@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(oracle.ORACLE)
