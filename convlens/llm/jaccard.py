@@ -11,11 +11,12 @@ the others are expanded to classes. Candidates must agree in size and in a parit
 sets (the bits in which two bitmaps differ are a lower bound of the set difference, so no link is
 lost), and are then verified on the whole texts.
 
-A posting list of m classes is not turned into its m * m pairs. In the first round all classes of a
-list meet its first ``FIRST`` ones, which connects most copies of a text. In the second the rest of a
-list is compared in blocks of ``BLOCK`` classes, a block with a block in a task, and only pairs that
-are not connected yet and pass size and bitmaps come out. So every pair of a list is either tested or
-connected, and components are exact.
+A posting list of m classes is not turned into its m * m pairs. Lists of up to ``SHORT`` classes are
+paired as they are. Longer ones are compared in blocks of ``BLOCK`` classes, a block with a block in a
+task, and a task puts out a spanning forest of the pairs that pass, nearest first: a pair between
+classes that are connected already adds nothing if those links hold. After they have been verified, a
+second look at the long lists puts out every pair that passes, was not tested and is still not
+connected. So every pair of a list is either tested or connected, and components are exact.
 
 Defined results: null, empty and blank texts have no shingle and are linked with nothing; texts of
 fewer words than a shingle are one shingle; rows that repeat an id are separate rows, labelled with
@@ -39,7 +40,7 @@ from convlens.sources.staging import stage
 
 SAMPLE_DOCS = 10_000
 FREQUENT = 3  # documents of the sample that share a shingle
-FIRST = 2
+SHORT = 8
 BLOCK = 1024
 PAIRS_PER_TASK = 2000
 
@@ -157,7 +158,9 @@ def _postings(rows: DataFrame) -> DataFrame:
     # a group's own members are candidates of one another: they meet under the id of the group
     within = members.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("token"), "gid")
     met = shared.unionByName(within).join(members, "gid").select("token", "cid", "n").distinct()
-    return met.withColumn("at", F.row_number().over(W.partitionBy("token").orderBy("cid")))
+    met = stage(met.withColumn("at", F.row_number().over(W.partitionBy("token").orderBy("cid"))), "jaccard-met")
+    sizes = met.groupBy("token").agg(F.max("at").alias("classes"))
+    return met.join(stage(sizes, "jaccard-lists"), "token")
 
 
 def _differ_at_most(na: Column, nb: Column, percent: int) -> Column:
@@ -166,10 +169,11 @@ def _differ_at_most(na: Column, nb: Column, percent: int) -> Column:
     return na + nb - 2 * F.ceil(F.lit(percent) * (na + nb) / (100 + percent))
 
 
-def _first_pairs(postings: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """a, b: classes of a list with one of its first ones, if size and bitmaps allow."""
-    a = postings.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    b = postings.where(F.col("at") <= FIRST).select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+def _short_pairs(postings: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of short lists that size and bitmaps allow."""
+    short = postings.where(F.col("classes") <= SHORT)
+    a = short.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    b = short.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ia") > F.col("ib"))
     pairs = a.join(b, "token").where(close).select("a", "b", "na", "nb").distinct()
     pairs = pairs.join(bits.select(F.col("cid").alias("a"), F.col("bits").alias("xa")), "a")
@@ -178,32 +182,45 @@ def _first_pairs(postings: DataFrame, bits: DataFrame, percent: int) -> DataFram
     return pairs.where(near).select("a", "b")
 
 
-def close_pairs(sizes: np.ndarray, roots: list[bytes], bits: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Positions (i of left, j of right) of rows of different roots that size and bitmaps allow."""
+def close_pairs(
+    sizes: np.ndarray, roots: list[bytes], bits: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, forest: bool
+) -> list[tuple[int, int]]:
+    """Positions (i of left, j of right) of rows of different roots that size and bitmaps allow; with
+    ``forest`` only those that connect what the pairs before them have not connected."""
     _, root = np.unique(np.array(roots, dtype=object), return_inverse=True)
     bits = [x.view(np.uint64) for x in bits]  # of a negative number numpy counts the bits of its absolute value
     length = np.array([len(x) for x in bits])
-    by_length = {int(n): np.stack([bits[j] for j in right[length[right] == n]]) for n in np.unique(length[right])}
+    tables = [(int(n), right[length[right] == n]) for n in np.unique(length[right])]
+    tables = [(n, j, np.stack([bits[k] for k in j])) for n, j in tables]
     out = []
     for i in left.tolist():
-        for n, table in by_length.items():
+        near, far = [], []
+        for n, j, table in tables:
             own, other = bits[i], table
             while len(own) > other.shape[1]:
                 own = folded(own)
             while other.shape[1] > len(own):
                 other = folded(other)
-            j = right[length[right] == n]
             both = sizes[j] + sizes[i]
             most = both - 2 * -(-percent * both // (100 + percent))
-            fine = (root[j] != root[i]) & (np.bitwise_count(other ^ own).sum(axis=1) <= most)
+            differ = np.bitwise_count(other ^ own).sum(axis=1, dtype=np.int64)
+            fine = (root[j] != root[i]) & (differ <= most) & (j != i)
             fine &= 100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])
-            out += [(i, k) for k in j[fine].tolist()]
+            near.append(j[fine]), far.append(differ[fine])
+        j = np.concatenate(near) if near else np.zeros(0, np.int64)
+        if forest and len(j):
+            j = j[np.argsort(np.concatenate(far), kind="stable")]
+            _, first = np.unique(root[j], return_index=True)  # the nearest row of each root
+            j = j[first]
+            for k in root[j].tolist():
+                root[root == k] = root[i]
+        out += [(i, k) for k in j.tolist()]
     return out
 
 
-def _block_pairs(postings: DataFrame, bits: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """a, b: the pairs of lists that have not met in the first round and are not connected."""
-    rest = postings.where(F.col("at") > FIRST).withColumn("root", F.col("cid"))
+def _long_pairs(postings: DataFrame, bits: DataFrame, roots: DataFrame | None, percent: int, forest: bool) -> DataFrame:
+    """a, b: pairs of long lists that size and bitmaps allow and that are not connected; see close_pairs."""
+    rest = postings.where(F.col("classes") > SHORT).withColumn("root", F.col("cid"))
     if roots is not None:
         rest = rest.join(roots.select(F.col("a").alias("cid"), F.col("b").alias("r")), "cid", "left")
         rest = rest.withColumn("root", F.coalesce("r", "cid")).drop("r")
@@ -222,10 +239,10 @@ def _block_pairs(postings: DataFrame, bits: DataFrame, roots: DataFrame | None,
             bitmaps = [np.array(r[7], np.int64) for r in rows]
             sizes, roots = np.array([r[5] for r in rows], np.int64), [r[6] for r in rows]
             if b1 == b2:
-                found = [(i, j) for i, j in close_pairs(sizes, roots, bitmaps, every, every, percent) if i > j]
+                found = close_pairs(sizes, roots, bitmaps, every, every, percent, forest)
             elif (block == b1).any() and (block == b2).any():
-                found = close_pairs(sizes, roots, bitmaps, every[block == b1], every[block == b2], percent)
-            pairs = [sorted((rows[i][4], rows[j][4]), reverse=True) for i, j in found]
+                found = close_pairs(sizes, roots, bitmaps, every[block == b1], every[block == b2], percent, forest)
+            pairs = sorted({(max(rows[i][4], rows[j][4]), min(rows[i][4], rows[j][4])) for i, j in found})
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
         held: list[tuple] = []
@@ -290,10 +307,13 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
         return stage(_linked(pairs, texts, k, percent, -(-n // PAIRS_PER_TASK)), "jaccard-links")
 
     roots = None  # cid (a), smallest cid of its component (b); classes alone are not in it
-    links = verified(stage(_first_pairs(postings, bits, percent), "jaccard-pairs"))
+    pairs = _short_pairs(postings, bits, percent).unionByName(_long_pairs(postings, bits, None, percent, forest=True)).distinct()
+    tested = stage(pairs, "jaccard-pairs")
+    links = verified(tested)
     if links is not None:
         roots = components(links, "jaccard-components")
-    more = verified(stage(_block_pairs(postings, bits, roots, percent), "jaccard-pairs"))
+    pairs = _long_pairs(postings, bits, roots, percent, forest=False).join(tested, ["a", "b"], "left_anti")
+    more = verified(stage(pairs, "jaccard-pairs"))
     if more is not None:
         roots = components(more if roots is None else more.unionByName(roots), "jaccard-components")
     named = classes.select("cid", "label").withColumn("root", F.col("cid"))

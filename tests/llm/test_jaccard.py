@@ -26,9 +26,9 @@ def brute(rows, k, percent):
     return {i: (len(s[i]), root[i]) for i in s}
 
 
-@pytest.mark.parametrize("k, percent, first, block", [(4, 85, 4, 1024), (5, 80, 1, 3), (2, 50, 2, 2), (3, 20, 1, 1024)])
-def test_components_match_brute_force(docs, corpus, monkeypatch, k, percent, first, block):
-    monkeypatch.setattr(jaccard, "FIRST", first)
+@pytest.mark.parametrize("k, percent, short, block", [(4, 85, 8, 1024), (5, 80, 1, 3), (2, 50, 2, 2), (3, 20, 1, 1024)])
+def test_components_match_brute_force(docs, corpus, monkeypatch, k, percent, short, block):
+    monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(docs, k, percent).collect()}
     assert got == brute([(i, t) for i, t, _ in corpus], k, percent)
@@ -64,13 +64,18 @@ def test_block_pairs_match_all_pairs():
     sets = [np.unique(np.concatenate([base[: rng.integers(100, 400)], rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(40)]
     roots = [bytes([i % 7]) for i in range(40)]
     every = np.arange(40)
-    got = set(jaccard.close_pairs(np.array([len(s) for s in sets]), roots, [jaccard.bitmap(s) for s in sets], every, every, 85))
+    sizes, bits = np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets]
+    got = set(jaccard.close_pairs(sizes, roots, bits, every, every, 85, False))
     for i in range(40):
         for j in range(40):
             both = len(np.intersect1d(sets[i], sets[j]))
             if roots[i] != roots[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
                 assert (i, j) in got
     assert len(got) < 800 and not any(roots[i] == roots[j] for i, j in got)
+    own = [bytes([i]) for i in range(40)]
+    every_pair = jaccard.close_pairs(sizes, own, bits, every, every, 85, False)
+    forest = jaccard.close_pairs(sizes, own, bits, every, every, 85, True)
+    assert len(forest) < 40 and components_of(range(40), forest) == components_of(range(40), every_pair)
 
 
 def test_one_of_each_component_stays(docs, corpus):
