@@ -106,9 +106,12 @@ def _ranked(rows: DataFrame, targets: DataFrame, seed: str, bins: int) -> DataFr
 def cut_lines(sized: DataFrame, targets: DataFrame, seed: str = "mix-1", bins: int = BINS) -> DataFrame:
     """For each source where in the ranks its target is met: the bin, the bin inside it, the last row."""
     rows = _ranked(sized, targets, seed, bins).where(F.col("at").isNotNull())
+    # a row per source each, written so that the next step does not plan the last one again
     edge1 = _cut(rows, ["key"], F.col("b1")).select("key", F.col("edge").alias("edge1"), F.col("before").alias("before1"))
+    edge1 = stage(edge1, "mix-edge1")
     inside = rows.join(edge1, "key").where(F.col("b1") == F.col("edge1")).withColumn("need", F.col("need") - F.col("before1"))
     edge2 = _cut(inside, ["key"], F.col("b2")).select("key", F.col("edge").alias("edge2"), F.col("before").alias("before2"))
+    edge2 = stage(edge2, "mix-edge2")
     last = inside.join(edge2, "key").where(F.col("b2") == F.col("edge2")).withColumn("need", F.col("need") - F.col("before2"))
     # of the last bin, take the first rows whose words come closest to what is needed
     order = W.partitionBy("key").orderBy("at", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, 0)
