@@ -9,16 +9,16 @@ many texts at once.
 
 Windows of one signature are joined by interval: around the shared shingle, both sides as far as the
 two windows reach (T - 1 shingles at most; longer passages have more windows). Windows equal over
-that interval hold the same passage. Of the others each meets the first and the previous one of its
-signature, and the pair is verified: the shingle sets of the two passages, trimmed to what they
-share, need a Jaccard similarity of ``PERCENT``. ``HASHES`` functions are joined that way; a passage
+that interval hold the same passage. Of the others each meets every one before it in its signature
+that shares enough shingles with it, and the pair is verified: the shingle sets of the two passages,
+trimmed to what they share, need a Jaccard similarity of ``PERCENT``. ``HASHES`` functions are joined that way; a passage
 counts once any of them finds it, since every find is verified.
 
 What stays: the occurrence with the smallest key (a hash of id and text) and position. Every passage
 that is removed has one before it, so no passage vanishes altogether.
 
 A signature may be as frequent as it likes: equal windows collapse in the task that reads them, and
-the rest of a signature streams through a task in order, two comparisons each.
+the rest of a long one is compared block with block across tasks.
 
 Defined results: null, empty and short texts have no passage; rows that repeat a text are passages
 of one another (rows equal in id and text count as one row); a text of any length is read whole; null ids are passed through; an
@@ -45,6 +45,7 @@ MIN_WORDS = 50
 PERCENT = 80
 HASHES = 2
 T = MIN_WORDS - WORDS + 1
+BLOCK = 1024  # windows of a signature compared with as many others in one task
 _BITS = 21
 _LOW = np.uint64((1 << _BITS) - 1)
 _SPREAD = 0x1F35BD  # odd: multiplying by it permutes the numbers below 2 ** 21
@@ -229,32 +230,129 @@ def shared_passage(x: list[int], ix: int, y: list[int], iy: int, percent: int =
     return (a, c, b, d) if 100 * len(both) >= percent * len(sx | sy) else None
 
 
-def _compared(slices: DataFrame, percent: int) -> DataFrame:
-    """Word spans of passages near to the first or the previous one of their signature."""
+def _shared_counts(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(columns of the places of each row, -1 for a shingle of one row only; rows by columns; shingles
+    that two rows share) of rows whose fourth field holds shingles."""
+    sizes = np.array([len(r[3]) for r in rows])
+    row = np.repeat(np.arange(len(rows)), sizes)
+    _, column = np.unique(np.concatenate([np.array(r[3], np.uint64) for r in rows]), return_inverse=True)
+    pairs = np.unique(column * len(rows) + row)
+    several = np.bincount(pairs // len(rows)) > 1
+    number = np.where(several, np.cumsum(several) - 1, -1)
+    has = np.zeros((len(rows), int(several.sum())), bool)
+    chosen = several[pairs // len(rows)]
+    has[pairs[chosen] % len(rows), number[pairs[chosen] // len(rows)]] = True
+    counts = np.zeros((len(rows), len(rows)), np.float32)
+    for start in range(0, has.shape[1], 4096):
+        part = has[:, start : start + 4096].astype(np.float32)
+        counts += part @ part.T
+    return np.split(number[column], np.cumsum(sizes)[:-1]), has, counts
+
+
+def group_spans(rows: list[tuple], blocks: list[int], percent: int) -> list[tuple]:
+    """(key, source, begin, end) of the windows of one signature, or of two of its blocks. rows: (key,
+    first shingle, place of the centre, shingles) in order of key and place.
+
+    Each row meets every one before it that shares enough shingles, those with most uncovered ones
+    first; a pair is left out only if what it shares lies in passages of the row verified before.
+    """
+    out: list[tuple] = []
+    columns, has, counts = _shared_counts(rows)
+    least = T * percent // 100
+    across = blocks[0] != blocks[-1] or len(set(blocks)) > 1
+    block = np.array(blocks)
+    for i, own in enumerate(rows):
+        open_ = counts[i, :i] >= least
+        if across:
+            open_ &= block[:i] != block[i]
+        candidates = np.flatnonzero(open_)
+        covered = np.zeros(len(own[3]), bool)
+        while len(candidates):
+            left = np.unique(columns[i][~covered])
+            left = left[left >= 0]
+            new = has[np.ix_(candidates, left)].sum(axis=1)
+            if not new.any():
+                break
+            at = int(np.argmax(new))
+            other = rows[candidates[at]]
+            candidates = np.delete(candidates[new > 0], (new[:at] > 0).sum())
+            found = shared_passage(own[3], own[2], other[3], other[2], percent)
+            if found:
+                a, b, _, q = found
+                if own[0] != other[0] or other[1] + q + WORDS <= own[1] + a:
+                    out.append((own[0], other[0], own[1] + a, own[1] + b + WORDS))
+                    covered[a : b + 1] = True
+    return out
+
+
+def _in_blocks(slices: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """sig, b1, b2, block, key, pos, shingles: the windows of each signature, those of a long one once
+    for each pair of its blocks. Of a long one, windows that share too few shingles with all others
+    together to share a passage with any are left out before."""
+    hot = signatures.where(F.col("count") > BLOCK).select("sig")
+    columns = ("sig", "b1", "b2", "block", "key", "pos", "shingles")
+    zero = [F.lit(0).alias(c) for c in ("b1", "b2", "block")]
+    if hot.isEmpty():
+        return slices.select("sig", *zero, "key", "pos", "shingles")
+    slices = stage(slices, "passages-slices")
+    short = slices.join(hot, "sig", "left_anti").select("sig", *zero, "key", "pos", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                sets = [np.unique(np.frombuffer(x, np.int64)) for x in part.column(3).to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                own = [part.column(c).take(row) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(sets))], names=["sig", "key", "pos", "shingle"])
+
+    long = slices.join(hot, "sig")
+    single = long.select("sig", "key", "pos", "shingles").mapInArrow(run, "sig long, key long, pos long, shingle long")
+    # the sum over shingles of a signature, not a join: a shingle of all windows is one row per task
+    common = single.groupBy("sig", "shingle").count().where("count > 1").select("sig", "shingle")
+    fine = single.join(common, ["sig", "shingle"]).groupBy("sig", "key", "pos").count().where(F.col("count") >= T * percent // 100)
+    fine = stage(fine.select("sig", "key", "pos"), "passages-sharing")
+    blocks = fine.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    long = long.join(fine, ["sig", "key", "pos"]).join(blocks, "sig")
+    long = long.withColumn("block", F.pmod(F.xxhash64("key", "pos"), F.col("blocks")).cast("int"))
+    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    long = long.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
+    return short.select(*columns).unionByName(long.select(*columns))
+
+
+def _compared(slices: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Word spans of passages near to one before them in their signature; see group_spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig = first = before = None
+        rows: list[tuple] = []
+        blocks: list[int] = []
+        group = None
+        out: list[tuple] = []
+
+        def spans() -> list[tuple]:
+            if len(rows) < 2 or (group[1] != group[2] and len(set(blocks)) < 2):
+                return []
+            return group_spans(rows, blocks, percent)
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["key", "source", "begin", "end"])
+
         for batch in batches:
-            out: list[tuple] = []
-            for key, s, pos, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for sig, b1, b2, block, key, pos, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (sig, b1, b2) != group:
+                    out += spans()
+                    rows, blocks, group = [], [], (sig, b1, b2)
                 c, left = pos >> 16, (pos >> 8) & 255
-                own = (key, c - left, left, np.frombuffer(data, np.uint64).tolist())
-                if s != sig:
-                    sig, first, before = s, own, None
-                    continue
-                for other in (first, before):
-                    if other is None:
-                        continue
-                    found = shared_passage(own[3], own[2], other[3], other[2], percent)
-                    if found:
-                        a, b, p, q = found
-                        if key != other[0] or other[1] + q + WORDS <= own[1] + a:
-                            out.append((key, other[0], own[1] + a, own[1] + b + WORDS))
-                before = own
+                rows.append((key, c - left, left, np.frombuffer(data, np.uint64).tolist()))
+                blocks.append(block)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["key", "source", "begin", "end"])
+                yield table()
+                out.clear()
+        out += spans()
+        if out:
+            yield table()
 
-    dealt = slices.select("key", "sig", "pos", "shingles").repartition("sig").sortWithinPartitions("sig", "key", "pos")
+    dealt = _in_blocks(slices, signatures, percent).repartition("sig", "b1", "b2").sortWithinPartitions("sig", "b1", "b2", "key", "pos")
     return dealt.mapInArrow(run, "key long, source long, begin long, end long")
 
 
@@ -270,11 +368,11 @@ def passage_spans(keyed: DataFrame, hashes: int = HASHES, percent: int = PERCENT
     met = stage(met.where("a is not null or b is not null").select("key", "sig", "pos", "one"), "passages-met")
     is_first = (F.col("key") == F.col("one.key")) & (F.col("pos") == F.col("one.pos"))
     firsts = met.where(is_first)
-    several = stage(firsts.groupBy("sig").count().where("count > 1").select("sig"), "passages-signatures")
+    several = stage(firsts.groupBy("sig").count().where("count > 1"), "passages-signatures")
     slices = _slices(keyed, firsts.join(several, "sig").select("key", "sig", "pos"))
     spans = _equal_spans(windows.where("source is not null"))
     spans = spans.unionByName(_equal_spans(met.where(~is_first).select("key", "pos", F.col("one.key").alias("source"), F.col("one.pos").alias("source_pos"))))
-    return spans.unionByName(_compared(slices, percent))
+    return spans.unionByName(_compared(slices, several, percent))
 
 
 def merged_spans(spans: DataFrame, *keys: str) -> DataFrame:

@@ -130,3 +130,41 @@ def test_cut_words():
 def test_empty_and_odd_tables(no_docs, odd_docs):
     assert passages.passages(no_docs).count() == 0 and passages.without_passages(no_docs).count() == 0
     assert passages.without_passages(odd_docs).where("text is null").count() == 3
+
+
+def test_every_pair_of_windows_is_compared():
+    """One original and copies that each differ from it in another word, so not from one another."""
+    original = [f"w{i}" for i in range(60)]
+    texts = [" ".join(original)]
+    for i in range(5, 55, 5):
+        own = original.copy()
+        own[i] = f"other{i}"
+        texts.append(" ".join(own))
+    words = [hashed_words([t.encode()], True)[0] for t in texts]
+    shingles = [shingle_hashes(w, 5).tolist() for w in words]
+    # all hold the shingle at 31 and so one signature, the original comes last or in the middle
+    holders = [s for s in shingles if s[31] == shingles[0][31]]
+    for place in (0, 3, len(holders) - 1):
+        rest = holders[1:]
+        rows = [(k, 0, 31, s) for k, s in enumerate([*rest[:place], holders[0], *rest[place:]])]
+        found = {r[0] for r in passages.group_spans(rows, [0] * len(rows), 80)}
+        assert {k for k in range(1, len(rows)) if k >= place} == found
+        split = [k % 2 for k in range(len(rows))]
+        found = {r[0] for r in passages.group_spans(rows, split, 80)}
+        assert {k for k in range(place + 1, len(rows)) if split[k] != split[place]} <= found
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_passages_beside_a_frequent_line(spark, monkeypatch, block):
+    monkeypatch.setattr(passages, "BLOCK", block)
+    line, rows = "all of these pages carry one line", []
+    for i in range(12):  # twelve passages with the line inside, each in three texts with other surroundings
+        passage = f"{prose(24, 40 + i)} {line} {prose(24, 80 + i)}"
+        rows += [(3 * i + j, f"{prose(60, 1000 + 3 * i + j)} {passage} {prose(60, 2000 + 3 * i + j)}") for j in range(3)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    own = {i: [] for i in range(12)}
+    for r in found:
+        assert r["doc_id"] // 3 == r["source_doc_id"] // 3
+        own[r["doc_id"] // 3].append(r)
+    for x in own.values():
+        assert len({r["doc_id"] for r in x}) == 2 == len({r["doc_id"] for r in x if r["n_words"] >= 54})
