@@ -10,8 +10,8 @@ many texts at once.
 Windows of one signature are joined by interval: around the shared shingle, both sides as far as the
 two windows reach (T - 1 shingles at most; longer passages have more windows). Windows equal over
 that interval hold the same passage. Of the others each meets every one before it in its signature
-that shares enough shingles with it, and the pair is verified: the shingle sets of the two passages,
-trimmed to what they share, need a Jaccard similarity of ``PERCENT``. ``HASHES`` functions are joined that way; a passage
+that shares enough shingles with it, and the pair is verified: the shingle sets of some two passages
+around the shared one, of at least ``MIN_WORDS`` words, need a Jaccard similarity of ``PERCENT``. ``HASHES`` functions are joined that way; a passage
 counts once any of them finds it, since every find is verified.
 
 What stays: the occurrence with the smallest key (a hash of id and text) and position. Every passage
@@ -43,7 +43,7 @@ from convlens.sources.staging import stage
 WORDS = 5
 MIN_WORDS = 50
 PERCENT = 80
-HASHES = 2
+HASHES = 3
 T = MIN_WORDS - WORDS + 1
 BLOCK = 1024  # windows of a signature compared with as many others in one task
 _BITS = 21
@@ -202,11 +202,43 @@ def _slices(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, sig long, pos long, shingles binary")
 
 
+def _side(x: list[int], y: list[int], ix: int, iy: int, step: int) -> tuple[np.ndarray, ...]:
+    """(distance from the centre, distinct shingles up to there) of the places where stretches of x may
+    end on one side, the same of y, and how many of these shingles both hold. Stretches end where a run
+    of shared shingles does: one more shared shingle on both sides never lowers the similarity, and one
+    that has come before changes nothing."""
+    sides = []
+    for z, k in ((x, ix), (y, iy)):
+        own = z[k + 1 :] if step > 0 else z[:k][::-1]
+        first = dict.fromkeys(own)
+        first.pop(z[k], None)
+        at, seen = [0], {z[k]}
+        for i, v in enumerate(own):
+            if v in seen:
+                at[-1] = i + 1
+            else:
+                seen.add(v)
+                at.append(i + 1)
+        sides.append((list(first), at))
+    (own, at_x), (other, at_y) = sides
+    place = {v: j for j, v in enumerate(other)}
+    pairs = [(i, place[v]) for i, v in enumerate(own) if v in place]
+    met = set(pairs)
+    begins = (0, 0) not in met
+    ends_x = sorted({i + 1 for i, j in pairs if (i + 1, j + 1) not in met} | ({0} if begins or not pairs else set()))
+    ends_y = sorted({j + 1 for i, j in pairs if (i + 1, j + 1) not in met} | ({0} if begins or not pairs else set()))
+    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+    ex, ey = np.array(ends_x), np.array(ends_y)
+    both = (i[:, None] < ex).T.astype(np.int32) @ (j[:, None] < ey).astype(np.int32)
+    return np.array(at_x)[ex], ex, np.array(at_y)[ey], ey, both
+
+
 def shared_passage(x: list[int], ix: int, y: list[int], iy: int, percent: int = PERCENT, width: int = T) -> tuple[int, int, int, int] | None:
-    """Ends (inclusive) of the passages of x and y around the shingle they share at ix and iy, or None.
+    """Ends (inclusive) of the widest passages of x and y around the shingle they share at ix and iy that
+    have at least ``width`` shingles and the similarity, or None.
 
-    A verbatim run of ``width`` shingles will do; else both intervals, as far as both reach, trimmed to
-    shared shingles, must have the similarity.
+    All stretches that end where runs of shared shingles end are tried; one that is too short is filled
+    up with the shingles beside it, shared or not (a word changed near the end of a short passage).
     """
     left = 0
     while left < min(ix, iy) and x[ix - left - 1] == y[iy - left - 1]:
@@ -214,20 +246,46 @@ def shared_passage(x: list[int], ix: int, y: list[int], iy: int, percent: int =
     right, most = 0, min(len(x) - ix, len(y) - iy) - 1
     while right < most and x[ix + right + 1] == y[iy + right + 1]:
         right += 1
-    if left + right + 1 >= width:
-        return ix - left, ix + right, iy - left, iy + right
-    # an insertion shifts what follows, so the reach is only a bound on both sides
-    sx, sy = set(x), set(y)
-    both = sx & sy
-    if len(both) < width * percent // 100:
+    verbatim = (ix - left, ix + right, iy - left, iy + right) if left + right + 1 >= width else None
+    both = set(x) & set(y)
+    if len(both) < width * percent // 100 and not verbatim:
         return None
-    a, b = (next(i for i, v in enumerate(x) if v in both), next(i for i, v in enumerate(y) if v in both))
-    c, d = (len(x) - 1 - next(i for i, v in enumerate(reversed(x)) if v in both), len(y) - 1 - next(i for i, v in enumerate(reversed(y)) if v in both))
-    if min(c - a, d - b) + 1 < width:
+    if verbatim and both <= set(x[ix - left : ix + right + 1]):
+        return verbatim
+    less_x, less_y = len(x) - len(set(x)), len(y) - len(set(y))
+    if (100 + percent) * len(both) < percent * (2 * width - less_x - less_y) and not verbatim:
         return None
-    sx, sy = set(x[a : c + 1]), set(y[b : d + 1])
-    both = sx & sy
-    return (a, c, b, d) if 100 * len(both) >= percent * len(sx | sy) else None
+    lx, dlx, ly, dly, on_left = _side(x, y, ix, iy, -1)
+    rx, drx, ry, dry, on_right = _side(x, y, ix, iy, 1)
+    size_x, size_y = lx[:, None] + rx + 1, ly[:, None] + ry + 1
+    # no more shingles are shared and no fewer held than this: the same one may stand on both sides of
+    # the centre; filling only adds what is not shared, for stretches end where shared runs do
+    fill_x, fill_y = np.maximum(width - size_x, 0), np.maximum(width - size_y, 0)
+    hold_x = np.maximum(dlx[:, None] + drx + 1 + fill_x - less_x, 1)[:, None, :, None]
+    hold_y = np.maximum(dly[:, None] + dry + 1 + fill_y - less_y, 1)[None, :, None, :]
+    more = max(0, len(both) - int(on_left.max() + on_right.max()) - 1)
+    shared = on_left[:, :, None, None] + on_right[None, None] + (1 + more)
+    shared = np.minimum(shared, len(both))
+    fine = np.argwhere((100 + percent) * shared >= percent * (hold_x + hold_y))
+    order = fine[np.lexsort((-size_y[fine[:, 1], fine[:, 3]], -size_x[fine[:, 0], fine[:, 2]]))]
+    for i, j, k, m in order:
+        if verbatim and lx[i] + rx[k] <= left + right:
+            break
+        for a, c in _filled(int(ix - lx[i]), int(ix + rx[k]), len(x), width):
+            sx = set(x[a : c + 1])
+            for b, d in _filled(int(iy - ly[j]), int(iy + ry[m]), len(y), width):
+                sy = set(y[b : d + 1])
+                n = len(sx & sy)
+                if 100 * n >= percent * (len(sx) + len(sy) - n):
+                    return a, c, b, d
+    return verbatim
+
+
+def _filled(first: int, last: int, n: int, width: int) -> list[tuple[int, int]]:
+    """The stretches of ``width`` shingles (of those below n) that hold first to last, or that one itself."""
+    if last - first + 1 >= width:
+        return [(first, last)]
+    return [(a, a + width - 1) for a in range(max(0, last - width + 1), min(first, n - width) + 1)]
 
 
 def _shared_counts(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
