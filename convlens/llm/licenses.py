@@ -7,8 +7,10 @@ aligned in the same way. Coverage is the share of the template's words that are
 
 Texts are not aligned from end to end, where hardly a word is unique: a find has at least a fifth of
 its words among any ``m // 5 + 1`` words of a template of m words, so only the surroundings of the rarest
-that many are aligned. That is a bound, not a heuristic. Where finds overlap, the one with more aligned
-words stays (then the higher coverage, then the name).
+that many are aligned. That is a bound, not a heuristic. Where these hold words of the template more
+often than it does (copies of a notice side by side), the words nearest to the rare one are aligned,
+exactly. Where finds overlap, the one with more aligned words stays (then the higher coverage, the
+name and the narrower one).
 
 One task reads a text, whole; nothing is shuffled.
 
@@ -19,7 +21,7 @@ table gives none; only id and text are read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -100,6 +102,26 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def nearest(words: list[int], places: list[int], template: list[int]) -> list[int]:
+    """For each number of template words that can be aligned in order: the least distance it takes.
+    places: how far each word is, rising."""
+    at: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        at.setdefault(w, []).append(i)
+    out, before = [0], [-1] * (len(template) + 1)
+    while True:
+        # ends[j]: the first word by which one more is aligned with the first j words of the template
+        ends = [len(words)]
+        for j, w in enumerate(template):
+            own = at.get(w, [])
+            k = bisect_right(own, before[j]) if before[j] < len(words) else len(own)
+            ends.append(min(ends[-1], own[k] if k < len(own) else len(words)))
+        if ends[-1] == len(words):
+            return out
+        out.append(places[ends[-1]])
+        before = ends
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], percent: int = COVERAGE_PERCENT):
         self.names, self.percent = list(templates), percent
@@ -132,19 +154,40 @@ class Scanner:
         if not len(where):
             return []
         # surroundings that overlap are looked at one by one, each from its own centre
-        finds: list[tuple[int, int, int, int, int]] = []
-        done = -1
+        finds: set[tuple[int, int, int, int, int]] = set()
+        usual = Counter(template)
         for centre in where.tolist():
-            if centre <= done:
-                continue
             low, high = np.searchsorted(place, [centre - 2 * m, centre + 2 * m + 1])
-            pairs = patience(word[low:high].tolist(), template)
-            pairs = self.dense([(int(place[low + i]), j) for i, j in pairs], m)
-            if len(pairs) >= self.needed(t):
-                first, last = pairs[0][0], pairs[-1][0]
-                finds.append((len(pairs), -t, m, first, last))
-                done = last
-        return finds
+            words, places = word[low:high].tolist(), place[low:high].tolist()
+            found = None
+            if all(n <= usual[w] for w, n in Counter(words).items() if w in usual):
+                pairs = self.dense([(places[i], j) for i, j in patience(words, template)], m)
+                if len(pairs) >= self.needed(t):
+                    found = len(pairs), pairs[0][0], pairs[-1][0]
+            # several copies, or stray words of the template: what lies nearest to the centre
+            found = found or self.around(words, places, places.index(centre), t)
+            if found:
+                finds.add((found[0], -t, m, found[1], found[2]))
+        return sorted(finds)
+
+    def around(self, words: list[int], places: list[int], centre: int, t: int) -> tuple[int, int, int] | None:
+        """(aligned, first, last) of the find that holds the word at the centre, if any: on each side as
+        many words as are worth their distance, or else as few as are needed in the least width."""
+        template, needed, best = self.templates[t], self.needed(t), None
+        mid = places[centre]
+        for j in (j for j, w in enumerate(template) if w == words[centre]):
+            left = nearest(words[:centre][::-1], [mid - p for p in places[:centre][::-1]], template[:j][::-1])
+            right = nearest(words[centre + 1 :], [p - mid for p in places[centre + 1 :]], template[j + 1 :])
+            n, k = (max(range(len(x)), key=lambda i: (2 * i - x[i], i)) for x in (left, right))
+            if n + k + 1 < needed:
+                both = [(left[n] + right[needed - 1 - n], n) for n in range(len(left)) if 0 <= needed - 1 - n < len(right)]
+                if not both:
+                    continue
+                n = min(both)[1]
+                k = needed - 1 - n
+            own = (n + k + 1, -left[n] - right[k], mid - left[n], mid + right[k])
+            best = max(best or own, own)
+        return best and (best[0], best[2], best[3])
 
     @staticmethod
     def dense(pairs: list[tuple[int, int]], m: int) -> list[tuple[int, int]]:
@@ -175,7 +218,7 @@ class Scanner:
 
     def _best(self, finds: list[tuple[int, int, int, int, int]]) -> list[tuple[str, float, int, int]]:
         kept: list[tuple[int, int, int, int, int]] = []
-        for x in sorted(finds, key=lambda f: (-f[0], -f[0] / f[2], self.names[-f[1]], f[3])):
+        for x in sorted(finds, key=lambda f: (-f[0], -f[0] / f[2], self.names[-f[1]], f[4] - f[3], f[3])):
             if all(x[4] < k[3] or x[3] > k[4] for k in kept):
                 kept.append(x)
         return [(self.names[-t], n / m, first, last + 1) for n, t, m, first, last in sorted(kept, key=lambda f: f[3])]

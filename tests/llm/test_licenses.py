@@ -66,3 +66,23 @@ def test_frequent_words_hide_nothing(spark):
 
 def test_empty_table(no_docs):
     assert licenses.scan(no_docs).count() == 0
+
+
+def test_adjacent_copies_are_all_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL header"]
+    names = lambda text: [(name, begin, end) for name, _, begin, end in scanner.scan([text.encode()])[0]]
+    assert names(f"the year. {mit} {mit} the end") == [("MIT", 2, 7), ("MIT", 7, 12)]
+    assert names(f"{mit} {mit} {mit}") == [("MIT", 0, 5), ("MIT", 5, 10), ("MIT", 10, 15)]
+    m = len(gpl.replace(":", "").replace("/", " ").split())
+    assert names(f"the software is under the license {gpl} {gpl} you can the") == [("GPL header", 6, 6 + m), ("GPL header", 6 + m, 6 + 2 * m)]
+    # in each copy another word is changed
+    assert len(names(f"the {gpl.replace('redistribute', 'x')} of {gpl.replace('terms', 'y')} the")) == 2
+
+
+@given(st.lists(st.integers(0, 3), max_size=10), st.lists(st.integers(0, 3), max_size=8))
+def test_nearest_is_exact(words, template):
+    got = licenses.nearest(words, list(range(1, len(words) + 1)), template)
+    assert len(got) == lcs(words, template) + 1
+    for k, distance in enumerate(got[1:], 1):
+        assert lcs(words[:distance], template) == k > lcs(words[: distance - 1], template)
