@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from convlens.llm import bpe, exactdup, extraction, jaccard, licenses, mixing, oracle, passages, quality, toxicity, vectors
+from convlens.llm import bpe, conversations, exactdup, extraction, jaccard, licenses, merkle, mixing, oracle, passages, quality, topk, toxicity, vectors
 
 
 def queries():
@@ -20,6 +20,9 @@ def queries():
         "op8_licenses": licenses.op8_licenses,
         "op9_passages": passages.op9_passages,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
+        "op11_repair_conversations": conversations.op11_repair_conversations,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_maxscore": topk.op13_maxscore,
     }
 
 

@@ -42,4 +42,12 @@ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
 SELECT doc_id, n AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = doc_id GROUP BY doc_id, n"""
 
-ORACLE = {"op5_mix_sources": MIX, "op10_jaccard_join": JACCARD}
+TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+ORACLE = {"op5_mix_sources": MIX, "op10_jaccard_join": JACCARD, "op13_maxscore": TOPK}

@@ -16,7 +16,7 @@ def test_query(spark, small_dir, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in llm.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in llm.queries()] == [f"op{i}" for i in range(1, 14)]
     assert {"pipeline", *llm.queries()} <= set(entry.queries())
 
 
