@@ -49,7 +49,7 @@ def test_hot_vector_and_ties(spark):
 
 def test_odd_rows(spark):
     rows = clustered(12, 4, 2)
-    rows += [(None, [1.0] * 4), (20, None), (30, [0.0] * 4), (40, []), (50, [0.1, 0.2]), (60, [float("nan"), 1, 1, 1]), (70, [1.0, None, 1, 1]), (80, [float("inf"), 0, 0, 0])]
+    rows += [(None, [1.0] * 4), (20, None), (30, [0.0] * 4), (40, []), (50, [0.1, 0.2]), (60, [float("nan"), 1.0, 1.0, 1.0]), (70, [1.0, None, 1.0, 1.0]), (80, [float("inf"), 0.0, 0.0, 0.0])]
     rows += [(10, [0.3] * 4), (10, [0.3] * 4), (90, [-0.4] * 4), (91, [float(2**18)] * 4)]
     assert found(spark, rows, 10, 5) == brute(rows, 10, 5)
 
