@@ -219,9 +219,9 @@ def manifest(docs: DataFrame, tampered: Column | None = None, changed_text: Colu
         low = paths(up, named.select("grp", "pos", "path"), "merkle-path", height)[-1]
     else:
         low = named.select("grp", "pos", "path")
-    root = top[-1].select(F.col("digest").alias("root"))
+    root = top[-1].first()
     sub = named.select(F.col("grp").alias("of"), "subroot")
-    blocks = low.join(sub, F.col("grp").eqNullSafe(F.col("of"))).drop("of").crossJoin(F.broadcast(root.limit(1)))
+    blocks = low.join(sub, F.col("grp").eqNullSafe(F.col("of"))).drop("of").withColumn("root", F.lit(root["digest"] if root else None))
     return leaves, blocks.withColumnRenamed("pos", "block")
 
 
