@@ -108,7 +108,7 @@ def test_scores_of_whole_texts_match_plain_counts(spark, pair_discount):
     known = [(dict(labels)[i], t + (" bad omen" if dict(labels)[i] else " omen bad")) for i, t in rows]
     model = toxicity.fit(spark.createDataFrame(known, "toxic int, text string"), 1.0, pair_discount, 0.01)
     plain = Plain(known, 1.0, pair_discount, 0.01)
-    assert bool(model.pairs) and len(model.letters) > 50
+    assert bool(model.pairs) == (pair_discount < 10) and len(model.letters) > 50
     for text in [known[0][1], known[1][1][:150], "vile idiots bad omen", "zzz", "", "vilest of all things, horrid"]:
         assert model.difference(text) == pytest.approx(plain.difference(text), abs=1e-9)
 
