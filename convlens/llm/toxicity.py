@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LABELLED = 20_000
+MAX_LABELLED = 12_000
 #: Counts that are no evidence, of the toxic class; those of the ordinary one are larger by its size.
 DISCOUNT, PAIR_DISCOUNT = 2.0, 64.0
 SHARED_DISCOUNT = 0.75
