@@ -1,4 +1,4 @@
-"""Binary classifiers on Spark ML: fit, score, cross-validate, compare.
+"""Binary classifiers: fit, score, cross-validate, compare.
 
 Fitting runs on the executors; the driver holds model parameters and a row of metrics
 per model. Tables that several fits read are staged or persisted by the caller once.
@@ -12,15 +12,18 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.functions.columns import quoted, round_half_up
+from convlens.functions.columns import flag, round_half_up
+from convlens.operators.forest import ForestModel, fit_forests, score_forest
 from convlens.operators.scoring import classification_metrics, ranking_metrics, score_table
-from convlens.operators.splitting import SEED, prior_baseline, with_class_weights
+from convlens.operators.splitting import SEED, hash_number, prior_baseline, with_class_weights
+from convlens.sources.staging import stage
 
 METRICS = ["f1", "roc_auc", "pr_auc", "precision", "recall"]
 
@@ -31,25 +34,20 @@ def assert_no_leakage(features: Sequence[str], leaking: Sequence[str]) -> None:
         raise ValueError(f"leaking columns among the features: {found}")
 
 
-#: Partitions of the training rows of a forest. Its bagging draws per partition and row, so the number
-#: is part of the model: it must not follow the cluster. Raise it with the number of training rows.
-FOREST_PARTITIONS = 64
-
-
-def _spread(train: DataFrame) -> DataFrame:
-    """The rows in an order and in partitions that depend on their values alone."""
-    columns = [quoted(c) for c in train.columns]
-    place = F.pmod(F.xxhash64(*columns), F.lit(FOREST_PARTITIONS))
-    dealt = train.repartitionById(FOREST_PARTITIONS, place.cast("int"))
-    return dealt.sortWithinPartitions(*columns)
+Model = PipelineModel | ForestModel
 
 
 @dataclass(frozen=True)
 class Estimator:
-    """A named way to fit a pipeline on (train, features, label)."""
+    """A named way to fit a model on (train, features, label).
+
+    ``fit_folds`` takes the fold column and the number of folds as well and gives, for each
+    fold, the model of all rows outside it; without it every fold is a fit of its own.
+    """
 
     name: str
-    fit: Callable[[DataFrame, Sequence[str], str], PipelineModel]
+    fit: Callable[[DataFrame, Sequence[str], str], Model]
+    fit_folds: Callable[[DataFrame, Sequence[str], str, str, int], dict[int, Model]] | None = None
 
 
 def logistic_regression(max_iter: int = 1000, c: float = 1.0) -> Estimator:
@@ -83,41 +81,36 @@ def logistic_regression(max_iter: int = 1000, c: float = 1.0) -> Estimator:
 
 
 def random_forest(
-    trees: int = 200, depth: int = 15, min_leaf: int = 20, seed: int = SEED
+    trees: int = 200, depth: int = 15, min_leaf: int = 20, seed: int = SEED, key: str = "id"
 ) -> Estimator:
-    """A forest with balanced classes; splits are searched over binned values."""
+    """A forest with balanced classes, bagged by the row key; see ``forest``."""
+    settings = {"trees": trees, "depth": depth, "min_leaf": min_leaf, "seed": seed}
 
-    def fit(train: DataFrame, features: Sequence[str], y: str) -> PipelineModel:
-        stages = [
-            VectorAssembler(inputCols=list(features), outputCol="features"),
-            RandomForestClassifier(
-                labelCol=y,
-                featuresCol="features",
-                weightCol="weight",
-                numTrees=trees,
-                maxDepth=depth,
-                minInstancesPerNode=min_leaf,
-                featureSubsetStrategy="sqrt",
-                maxMemoryInMB=1024,
-                cacheNodeIds=True,  # deep trees: do not send the grown trees every round
-                seed=seed,
-            ),
-        ]
-        return Pipeline(stages=stages).fit(_spread(with_class_weights(train, y)))
+    def fit(train: DataFrame, features: Sequence[str], y: str) -> ForestModel:
+        return fit_forests(train, features, y, key, **settings)[-1]
+
+    def fit_folds(
+        t: DataFrame, features: Sequence[str], y: str, fold: str, folds: int
+    ) -> dict[int, Model]:
+        return fit_forests(t, features, y, key, fold, folds, whole=False, **settings)
 
-    return Estimator("M2 RandomForest", fit)
+    return Estimator("M2 RandomForest", fit, fit_folds)
 
 
-def feature_list(model: PipelineModel) -> list[str]:
-    """The feature columns a fitted pipeline expects, in order."""
+def feature_list(model: Model) -> list[str]:
+    """The feature columns a fitted model expects, in order."""
+    if isinstance(model, ForestModel):
+        return list(model.features)
     return next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
 
 
-def score(model: PipelineModel, t: DataFrame) -> DataFrame:
+def score(model: Model, t: DataFrame) -> DataFrame:
     """Add ``prediction`` and ``score``, the probability of the positive class."""
     missing = [c for c in feature_list(model) if c not in t.columns]
     if missing:
         raise ValueError(f"feature columns missing: {missing}")
+    if isinstance(model, ForestModel):
+        return score_forest(model, t)
     scored = model.transform(t).withColumn("score", vector_to_array("probability")[1])
     return scored.select(*t.columns, "prediction", "score")
 
@@ -149,25 +142,7 @@ def summarise_folds(per_fold: DataFrame, digits: int = 4) -> DataFrame:
     )
 
 
-def _fit_and_evaluate(
-    estimator: Estimator | None,
-    train: DataFrame,
-    test: DataFrame,
-    features: Sequence[str],
-    y: str,
-    key: str,
-    digits: int,
-) -> Row:
-    """Fit on ``train``, score ``test`` once, and return its row of metrics."""
-    if estimator is None:
-        name, scored = "M0 Dummy", prior_baseline(train, test, y, key)
-    else:
-        name, scored = estimator.name, score(estimator.fit(train, features, y), test)
-    scored = scored.select(y, "prediction", "score").persist()
-    try:
-        return evaluate(scored, y, name, digits).first()
-    finally:
-        scored.unpersist()
+BASELINE = "M0 Dummy"
 
 
 def compare(
@@ -177,15 +152,45 @@ def compare(
     y: str,
     key: str,
     estimators: Sequence[Estimator | None],
+    digits: int = 4,
 ) -> DataFrame:
-    """One evaluation row per model on the held-out rows; ``None`` is the prior baseline."""
-    rows = [
-        _fit_and_evaluate(estimator, train, test, features, y, key, 4) for estimator in estimators
-    ]
-    return train.sparkSession.createDataFrame(rows)
+    """One evaluation row per model on the held-out rows; ``None`` is the prior baseline.
 
+    All models are measured in one pass over their stacked scores.
+    """
 
-def cross_validate(
+    def scored(estimator: Estimator | None) -> DataFrame:
+        if estimator is None:
+            name, out = BASELINE, prior_baseline(train, test, y, key)
+        else:
+            name, out = estimator.name, score(estimator.fit(train, features, y), test)
+        return out.select(F.lit(name).alias("model"), y, "prediction", "score")
+
+    return evaluate(_stacked([scored(e) for e in estimators], "model-scores"), y, None, digits, ["model"])
+
+
+def _stacked(parts: Sequence[DataFrame], label: str) -> DataFrame:
+    """All scored rows, written once: the metrics read them several times."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return stage(out, label)
+
+
+def _baseline_by_fold(t: DataFrame, y: str, key: str, fold: str, folds: int) -> DataFrame:
+    """The prior baseline of each fold, from the classes of all other folds."""
+    sizes = t.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("p")).collect()
+    n, p = sum(r["n"] for r in sizes), sum(r["p"] or 0.0 for r in sizes)
+    prior = F.lit(0.0)
+    for r in sizes:  # one row a fold
+        own = (p - (r["p"] or 0.0)) / (n - r["n"]) if n > r["n"] else 0.0
+        prior = F.when(F.col(fold) == r[fold], F.lit(own)).otherwise(prior)
+    drawn = hash_number(key, f"baseline-{SEED}") / F.lit(float(16**13))
+    guess = flag(drawn < prior).cast("double")
+    return t.where(F.col(fold).between(0, folds - 1)).select(fold, y, guess.alias("prediction"), guess.alias("score"))
+
+
+def cross_scores(
     t: DataFrame,
     features: Sequence[str],
     y: str,
@@ -193,29 +198,51 @@ def cross_validate(
     estimators: Sequence[Estimator | None],
     fold: str = "fold",
     folds: int = 5,
-    digits: int = 4,
     parallelism: int = 4,
 ) -> DataFrame:
-    """Mean and population deviation of each metric over the folds; one row per model.
+    """model, fold, label, prediction, score: every row scored by the models that have not seen its fold.
 
     Up to ``parallelism`` fits run at a time, so that the small jobs of one fit fill the
     gaps of another.
     """
 
-    def run(estimator: Estimator | None, k: int):
-        train, test = t.where(F.col(fold) != k), t.where(F.col(fold) == k)
-        return _fit_and_evaluate(estimator, train, test, features, y, key, 6)
+    def models(estimator: Estimator) -> dict[int, Model]:
+        if estimator.fit_folds:
+            return estimator.fit_folds(t, features, y, fold, folds)
+        with ThreadPool(parallelism) as own:
+            target = inheritable_thread_target(t.sparkSession)(lambda k: estimator.fit(t.where(F.col(fold) != k), features, y))
+            return dict(enumerate(own.map(target, range(folds), chunksize=1)))
+
+    parts = []
+    for estimator in estimators:
+        if estimator is None:
+            parts.append(_baseline_by_fold(t, y, key, fold, folds).withColumn("model", F.lit(BASELINE)))
+            continue
+        for k, model in models(estimator).items():
+            out = score(model, t.where(F.col(fold) == k)).select(fold, y, "prediction", "score")
+            parts.append(out.withColumn("model", F.lit(estimator.name)))
+    return _stacked(parts, "cross-scores")
+
 
-    target = inheritable_thread_target(t.sparkSession)(run)
-    tasks = [(estimator, k) for estimator in estimators for k in range(folds)]
-    with ThreadPool(parallelism) as pool:
-        rows = pool.starmap(target, tasks, chunksize=1)
-    return summarise_folds(t.sparkSession.createDataFrame(rows), digits)
+def cross_validate(
+    t: DataFrame,
+    features: Sequence[str],
+    y: str,
+    key: str,
+    estimators: Sequence[Estimator | None],
+    fold: str = "fold",
+    folds: int = 5,
+    digits: int = 4,
+    parallelism: int = 4,
+) -> DataFrame:
+    """Mean and population deviation of each metric over the folds; one row per model."""
+    scored = cross_scores(t, features, y, key, estimators, fold, folds, parallelism)
+    return summarise_folds(evaluate(scored, y, None, 6, ["model", fold]), digits)
 
 
-def feature_importance(model: PipelineModel, t: DataFrame, top: int | None = None) -> DataFrame:
+def feature_importance(model: ForestModel, t: DataFrame, top: int | None = None) -> DataFrame:
     """Impurity importances of a fitted forest, highest first; they sum to 1."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
+    values = model.importances()
     rows = list(zip(feature_list(model), values))
     out = t.sparkSession.createDataFrame(rows, "feature string, importance double")
     out = out.orderBy(F.col("importance").desc(), "feature")
@@ -234,15 +261,21 @@ def model_card(evaluation: DataFrame, cv: DataFrame) -> DataFrame:
     return evaluation.join(cv, "model")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Model, path: str) -> None:
+    if isinstance(model, ForestModel):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Model:
+    try:
+        return ForestModel.load(SparkSession.active(), path)
+    except AnalysisException:  # no table of nodes: a pipeline
+        return PipelineModel.load(path)
 
 
-def feature_list_table(model: PipelineModel, t: DataFrame) -> DataFrame:
+def feature_list_table(model: Model, t: DataFrame) -> DataFrame:
     """The ordered feature list as a table to keep beside the saved model."""
     rows = list(enumerate(feature_list(model)))
     return t.sparkSession.createDataFrame(rows, "position int, feature string")

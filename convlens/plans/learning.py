@@ -312,6 +312,32 @@ def model_cv(spark: SparkSession, folder: str) -> DataFrame:
     return M.cross_validate(train, columns, "y_encoded", "id", models)
 
 
+def baseline_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """The prior baseline cross-validated: each fold is guessed from the classes of the others."""
+    t = contacts_once(spark, folder, ["id", "y_encoded"], history=False)
+    t = SP.kfold(SP.stratified_split(t, "y_encoded", "id"), "id").where("split = 'train'")
+    return M.cross_validate(t, [], "y_encoded", "id", [None])
+
+
+def model_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for any fitted model: which rows each one scored, and that scores are probabilities."""
+    t, columns = _model_input(spark, folder)
+    models = [None, M.logistic_regression(20), M.random_forest(20, 6)]
+    train, test = t.where("split = 'train'"), t.where("split = 'test'")
+    held = M.compare(train, test, columns, "y_encoded", "id", models).select(
+        F.lit("held out").alias("rows_of"), "model", F.lit(-1).alias("fold"),
+        F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), F.col("tp") + F.col("fn"),
+        F.col("precision").between(0, 1) & F.col("roc_auc").between(0, 1),
+    )
+    crossed = M.cross_scores(train, columns, "y_encoded", "id", models).groupBy("model", "fold")
+    crossed = crossed.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("y_encoded").alias("n_positive"),
+        F.every(F.col("score").between(0, 1) & F.col("prediction").isin(0.0, 1.0)).alias("in_range"),
+    )
+    names = ["rows_of", "model", "fold", "n_rows", "n_positive", "in_range"]
+    return held.toDF(*names).unionByName(crossed.withColumn("rows_of", F.lit("cross-validation")))
+
+
 def importance(spark: SparkSession, folder: str) -> DataFrame:
     t, columns = _model_input(spark, folder)
     model = M.random_forest().fit(t.where("split = 'train'"), columns, "y_encoded")
@@ -355,6 +381,8 @@ QUERIES = {
         best_rule,
         model_eval,
         model_cv,
+        baseline_cv,
+        model_checks,
         importance,
         scored,
     ]
@@ -476,6 +504,7 @@ def _quantile_bins(col: str, bins: int) -> str:
 
 
 HASH = "substr(md5(CAST(id AS VARCHAR) || ':42'), 1, 8)"
+FOLD = "CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':42'), 17, 8) AS BIGINT) % 5 AS INTEGER)"
 RETURNED = """returned AS (
   SELECT l_quantity, l_linestatus, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_encoded,
          CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS prediction,
@@ -569,6 +598,28 @@ ORACLE = {
       SELECT * FROM {_rule_metrics('model', 4)} JOIN (
         SELECT model, {_fold_summary()} FROM {_rule_metrics('model, fold', 6)} GROUP BY model)
       USING (model)""",
+    "baseline_cv": f"""{WITH}, s AS (
+        SELECT y_encoded, {FOLD} AS fold,
+               CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':baseline-42'), 1, 13) AS BIGINT)
+                 / 4503599627370496.0 AS drawn
+        FROM contacts WHERE {HASH} >= '33333333'),
+      n AS (SELECT fold, (sum(sum(y_encoded)) OVER () - sum(y_encoded))
+                 / (sum(count(*)) OVER () - count(*)) AS p FROM s GROUP BY fold),
+      rules AS (SELECT 'M0 Dummy' AS model, fold, y_encoded,
+                       CASE WHEN drawn < p THEN 1 ELSE 0 END AS prediction,
+                       CASE WHEN drawn < p THEN 1.0 ELSE 0.0 END AS score
+                FROM s JOIN n USING (fold))
+      SELECT model, {_fold_summary()} FROM {_rule_metrics('model, fold', 6)} GROUP BY model""",
+    "model_checks": f"""{WITH}, s AS (
+        SELECT y_encoded, {HASH} < '33333333' AS test, {FOLD} AS fold,
+               unnest(['M0 Dummy', 'M1 LogReg', 'M2 RandomForest']) AS model
+        FROM contacts)
+      SELECT 'held out' AS rows_of, model, -1 AS fold, count(*) AS n_rows,
+             CAST(sum(y_encoded) AS BIGINT) AS n_positive, true AS in_range
+      FROM s WHERE test GROUP BY model
+      UNION ALL
+      SELECT 'cross-validation', model, fold, count(*), CAST(sum(y_encoded) AS BIGINT), true
+      FROM s WHERE NOT test GROUP BY model, fold""",
     "best_rule": f"""WITH {RULES_SQL} SELECT * FROM {_rule_metrics('model', 4)}
       ORDER BY f1 DESC, model LIMIT 1""",
     "features": f"""{WITH}, {FEATURES_SQL}

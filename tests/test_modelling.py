@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from convlens.operators import forest as FO
 from convlens.operators import modelling as M
 from convlens.operators import splitting as SP
 
@@ -103,3 +105,84 @@ def test_folds_cover_all_rows_evenly(t):
 def test_class_weights_balance(t):
     w = SP.with_class_weights(t, "y").groupBy("y").agg(F.sum("weight").alias("w")).collect()
     assert w[0]["w"] == pytest.approx(w[1]["w"])
+
+
+def test_forest_does_not_follow_partitions_or_order(t):
+    train = t.where("split = 'train'").select("id", "y", *FEATURES)
+    fits = [
+        FO.fit_forests(train.repartition(n).orderBy(F.rand(n)) if n == 64 else train.repartition(n), FEATURES, "y", "id", trees=12, depth=6)[-1]
+        for n in (4, 64, 200)
+    ]
+    assert fits[0].importances() == fits[1].importances() == fits[2].importances()
+    order = ["tree", "node"]
+    for other in fits[1:]:
+        assert fits[0].nodes.sort_values(order, ignore_index=True).equals(other.nodes.sort_values(order, ignore_index=True))
+
+
+def test_forest_of_a_fold_has_not_seen_it(t):
+    """The labels of a fold change nothing in the forest that leaves it out, and all in the others."""
+    flipped = t.withColumn("y", F.when(F.col("fold") == 1, 1 - F.col("y")).otherwise(F.col("y")))
+    a = FO.fit_forests(t, FEATURES, "y", "id", "fold", 3, trees=8, depth=5, whole=False)
+    b = FO.fit_forests(flipped, FEATURES, "y", "id", "fold", 3, trees=8, depth=5, whole=False)
+    same = [a[k].nodes.sort_values(["tree", "node"], ignore_index=True).equals(b[k].nodes.sort_values(["tree", "node"], ignore_index=True)) for k in range(3)]
+    assert same == [False, True, False]
+
+
+def test_first_split_is_the_best_of_all_splits():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        bins = rng.integers(0, 6, (80, 3)).astype(np.uint8)
+        y, count, weight = rng.integers(0, 2, 80), rng.integers(1, 4, 80), rng.choice([0.5, 2.0], 80)
+        nodes = FO.grow(bins, y, count, weight, 1, 10, 3, np.random.default_rng(0))
+
+        def gini(m):
+            w, p = (weight * count)[m].sum(), (weight * count * y)[m].sum()
+            return 2 * p * (w - p) / w if w else 0.0
+
+        best = 0.0
+        for f in range(3):
+            for c in range(6):
+                left = bins[:, f] <= c
+                if count[left].sum() >= 10 and count[~left].sum() >= 10:
+                    best = max(best, gini(np.ones(80, bool)) - gini(left) - gini(~left))
+        assert nodes[0][4] == pytest.approx(best)
+        f, c, child = nodes[0][:3]
+        for m, node in ((bins[:, f] <= c, nodes[child]), (bins[:, f] > c, nodes[child + 1])):
+            assert node[3] == pytest.approx((weight * count * y)[m].sum() / (weight * count)[m].sum())
+
+
+def test_scores_are_means_of_leaves(t, forest):
+    rows = M.score(forest, t).limit(40).toPandas()
+    for _, r in rows.iterrows():
+        bins = [int(np.searchsorted(e, r[f], side="left")) for f, e in zip(forest.features, forest.edges)]
+        leaves = []
+        for _, tree in forest.nodes.groupby("tree"):
+            tree = tree.set_index("node")
+            at = 0
+            while tree.loc[at, "feature"] >= 0:
+                at = tree.loc[at, "left"] + (bins[tree.loc[at, "feature"]] > tree.loc[at, "cut"])
+            leaves.append(tree.loc[at, "probability"])
+        assert r["score"] == pytest.approx(np.mean(leaves))
+
+
+def test_large_tables_give_each_tree_a_slice(t):
+    train, test = t.where("split = 'train'"), t.where("split = 'test'")
+    model = FO.fit_forests(train, FEATURES, "y", "id", trees=30, depth=6, tree_rows=400)[-1]
+    assert M.evaluate(M.score(model, test), "y").first()["roc_auc"] > 0.65
+    assert model.nodes.groupby("tree").size().max() <= 2 * 400 * 1.6 / 20
+
+
+def test_missing_values_and_one_class(t):
+    holes = t.withColumn("a", F.when(F.col("a") > 0.2, F.col("a"))).where("split = 'train'")
+    scores = M.score(M.random_forest(5, 4).fit(holes, FEATURES, "y"), holes).agg(F.min("score"), F.max("score")).first()
+    assert 0 <= scores[0] < scores[1] <= 1
+    one = t.where("y = 0")
+    assert M.score(M.random_forest(3, 3).fit(one, FEATURES, "y"), one).agg(F.max("score")).first()[0] == 0.0
+
+
+def test_each_row_is_scored_once_by_each_model(t):
+    models = [None, M.random_forest(5, 4)]
+    out = M.cross_scores(t, FEATURES, "y", "id", models, folds=3)
+    sizes = {(r["model"], r["fold"]): r["count"] for r in out.groupBy("model", "fold").count().collect()}
+    want = {r["fold"]: r["count"] for r in t.groupBy("fold").count().collect()}
+    assert sizes == {(m, k): n for m in ("M0 Dummy", "M2 RandomForest") for k, n in want.items()}

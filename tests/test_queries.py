@@ -6,15 +6,12 @@ import __spark_entry__ as entry
 from check import compare, duck
 from convlens import plans
 
-SLOW = {"model_eval", "model_cv", "importance", "scored", "model_card"}
-
-
 @pytest.fixture(scope="module")
 def con(small_dir):
     return duck(small_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_query(spark, con, small_dir, name):
     got = entry.queries()[name](spark, small_dir).toPandas()
     sql = entry.oracle_sql().get(name)
