@@ -1,9 +1,9 @@
 """Exact percentiles and medians without a global sort.
 
-A sketch first brackets each wanted rank between two values; only rows inside the
-bracket are then grouped and counted, everything below is a plain conditional count.
-The answer is exact: the bracket is checked against the true ranks, and widened to the
-whole column if the sketch missed.
+A column of few values is counted by value. For others a sketch brackets each wanted rank
+between two values; only rows inside the bracket are then grouped and counted, everything
+below is a plain conditional count. The answer is exact: the bracket is checked against the
+true ranks, and widened to the whole column if the sketch missed.
 """
 
 from __future__ import annotations
@@ -16,10 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.functions.columns import count_where, quoted, round_half_up
-from convlens.operators.slicing import VALUES_PER_SLICE, plan_cuts, running_sums
+from convlens.operators.slicing import (
+    VALUES_PER_SLICE,
+    plan_cuts,
+    running_sums,
+    sketch_error,
+    sketched_quantiles,
+)
 
-# Rank error of the sketch is below n / SKETCH; the bracket is four times as wide.
-SKETCH = 10_000
+# The bracket reaches two rank errors of the sketch to either side.
+MARGIN = 2 * sketch_error()
+# Up to so many distinct values are counted one by one.
+FEW = 100_000
 
 
 @dataclass
@@ -47,41 +55,40 @@ def percentiles(
 ) -> dict[str, list[float | None]]:
     """Percentiles with linear interpolation, for all columns in the same passes.
 
-    Returns ``len(cols) * len(probs)`` numbers to the driver. The named columns are read
-    three times (sketch, counts, values inside the brackets), and nothing is shuffled but
-    the values inside the brackets.
+    Returns ``len(cols) * len(probs)`` numbers to the driver. Columns of few values are read
+    twice (distinct count, counts by value), others three times more (sketch, counts, values
+    inside the brackets), and nothing is shuffled but counted values.
     """
-    margin = 2.0 / SKETCH
-    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
     names = [f"v{i}" for i in range(len(cols))]
     values = t.select(*[_value(c).alias(n) for c, n in zip(cols, names)])
     head = values.agg(
         *[F.count(n).alias(f"n_{n}") for n in names],
-        *[F.percentile_approx(n, edges, SKETCH).alias(f"s_{n}") for n in names],
+        *[F.approx_count_distinct(n).alias(f"d_{n}") for n in names],
     ).first()
+    few = [n for n in names if 0 < head[f"d_{n}"] <= FEW]
+    many = [n for n in names if head[f"d_{n}"] > FEW]
+    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-MARGIN, MARGIN)})
+    sketch = sketched_quantiles(values, {n: F.col(n) for n in many}, edges) if many else {}
 
-    wanted = []
-    for n in names:
-        rows, sketch = head[f"n_{n}"], head[f"s_{n}"]
-        if not rows:
-            continue
-        at = dict(zip(edges, sketch))
-        for p in probs:
-            position = p * (rows - 1)
-            low_p, high_p = max(0.0, p - margin), min(1.0, p + margin)
-            wanted.append(
-                _Wanted(
-                    n,
-                    p,
-                    math.floor(position),
-                    math.ceil(position),
-                    position - math.floor(position),
-                    -math.inf if low_p == 0.0 else at[low_p],
-                    math.inf if high_p == 1.0 else at[high_p],
-                )
-            )
-    found = _select(values, wanted, values_per_slice)
-    missed = [w for w in wanted if (w.column, w.prob) not in found]
+    def wanted(n: str, p: float) -> _Wanted:
+        position = p * (head[f"n_{n}"] - 1)
+        low, high = max(0.0, p - MARGIN), min(1.0, p + MARGIN)
+        at = dict(zip(edges, sketch.get(n, [])))
+        whole = n not in sketch
+        return _Wanted(
+            n,
+            p,
+            math.floor(position),
+            math.ceil(position),
+            position - math.floor(position),
+            -math.inf if low == 0.0 or whole else at[low],
+            math.inf if high == 1.0 or whole else at[high],
+        )
+
+    found = _counted(values, [wanted(n, p) for n in few for p in probs], values_per_slice)
+    bracketed = [wanted(n, p) for n in many for p in probs]
+    found.update(_select(values, bracketed, values_per_slice))
+    missed = [w for w in bracketed if (w.column, w.prob) not in found]
     if missed:
         for w in missed:
             w.low, w.high = -math.inf, math.inf
@@ -91,6 +98,28 @@ def percentiles(
     }
 
 
+def _counted(
+    values: DataFrame, wanted: Sequence[_Wanted], values_per_slice: int
+) -> dict[tuple[str, float], float]:
+    """Order statistics of columns of few values, from the counts of all their values."""
+    if not wanted:
+        return {}
+    names = list(dict.fromkeys(w.column for w in wanted))
+    cells = F.array(*[F.struct(F.lit(i).alias("id"), F.col(n).alias("v")) for i, n in enumerate(names)])
+    counts = values.select(F.inline(cells)).where("v is not null").groupBy("id", "v").agg(F.count(F.lit(1)).alias("rows"))
+    cuts = plan_cuts(counts, "v", values_per_slice) if len(names) * FEW > values_per_slice else []
+    ranked = running_sums(counts, ["id"], "v", {"upto": "rows"}, cuts)
+
+    def at(w: _Wanted, rank: int):
+        return F.min(F.when((F.col("id") == names.index(w.column)) & (F.col("upto") > rank), F.col("v")))
+
+    row = ranked.agg(
+        *[at(w, w.low_rank).alias(f"l{i}") for i, w in enumerate(wanted)],
+        *[at(w, w.high_rank).alias(f"h{i}") for i, w in enumerate(wanted)],
+    ).first()
+    return {(w.column, w.prob): row[f"l{i}"] + (row[f"h{i}"] - row[f"l{i}"]) * w.fraction for i, w in enumerate(wanted)}
+
+
 def order_statistic(
     t: DataFrame,
     col: str,
@@ -107,12 +136,10 @@ def order_statistic(
         rows = values.agg(F.count("v0")).first()[0]
     if not 0 <= rank < rows:
         return None
-    share, margin = rank / rows, 2.0 / SKETCH
-    edges = values.agg(
-        F.percentile_approx("v0", [max(0.0, share - margin), min(1.0, share + margin)], SKETCH)
-    ).first()[0]
-    low = -math.inf if share <= margin else edges[0]
-    high = math.inf if share >= 1.0 - margin else edges[1]
+    share = rank / rows
+    edges = sketched_quantiles(values, {"v0": F.col("v0")}, [max(0.0, share - MARGIN), min(1.0, share + MARGIN)])["v0"]
+    low = -math.inf if share <= MARGIN else edges[0]
+    high = math.inf if share >= 1.0 - MARGIN else edges[1]
     wanted = _Wanted("v0", 0.0, rank, rank, 0.0, low, high)
     found = _select(values, [wanted], values_per_slice)
     if not found:

@@ -55,6 +55,24 @@ def sample_levels(t: DataFrame, cols: Sequence[str], k: int = 8) -> DataFrame:
     )
 
 
+def distinct_counts(t: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """column, n_unique: the number of different values, missing ones left out.
+
+    Two phases: the different values of each column, and how many there are. A long value is
+    represented by its digest.
+    """
+
+    def value(c: str) -> Column:
+        kind = t.schema[c].dataType
+        v = quoted(c) + F.lit(0.0) if isinstance(kind, (T.FloatType, T.DoubleType)) else quoted(c)
+        text = v.cast("string")
+        return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in cols])
+    found = t.select(F.inline(cells)).where("value is not null").distinct()
+    return found.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+
+
 def data_dictionary(
     t: DataFrame,
     meta: Mapping[str, tuple[str, str]] | None = None,
@@ -65,17 +83,18 @@ def data_dictionary(
 ) -> DataFrame:
     """One row per column: type, role, distinct and missing values, range, mean, samples.
 
-    Distinct counts are exact unless ``approximate`` is set, which saves expanding every
-    row once per column.
+    Distinct counts are exact unless ``approximate`` is set. Exact ones are counted apart, as
+    rows of (column, value) that are combined before the shuffle; no row is expanded by it.
     """
     meta = meta or {}
     numeric = set(numeric_columns(t))
     kinds = {f.name: f.dataType.simpleString() for f in t.schema.fields}
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(t.columns):
         v = quoted(c)
-        aggregates += [distinct(v).alias(f"u{i}"), count_where(v.isNull()).alias(f"z{i}")]
+        aggregates.append(count_where(v.isNull()).alias(f"z{i}"))
+        if approximate:
+            aggregates.append(F.approx_count_distinct(v).alias(f"u{i}"))
         if c in unknown_in:
             aggregates.append(F.max(v == unknown).alias(f"k{i}"))
         if c in numeric:
@@ -94,7 +113,7 @@ def data_dictionary(
             "dtype": kinds[c],
             "category": role,
             "description": text,
-            "n_unique": F.col(f"u{i}"),
+            "n_unique": F.col(f"u{i}") if approximate else _null("bigint"),
             "null_count": F.col(f"z{i}"),
             "null_pct": F.col("rows"),
             "has_unknown_label": known,
@@ -108,6 +127,10 @@ def data_dictionary(
             **{name: round_half_up(name, 4) for name in STATISTICS.values()},
         }
     )
+    if not approximate:
+        counted = distinct_counts(t, t.columns).withColumnRenamed("n_unique", "_n")
+        out = out.join(counted, "column", "left")
+        out = out.withColumn("n_unique", F.coalesce("_n", F.lit(0))).drop("_n")
     texts = categorical_columns(t)
     if not texts:
         return out.withColumn("sample_values", F.lit(""))
@@ -119,26 +142,22 @@ def data_dictionary(
 def moments(t: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     """Count, mean, deviation, range, and bias-corrected skewness and excess kurtosis."""
     cols = list(cols or numeric_columns(t))
-    aggregates = []
-    for i, c in enumerate(cols):
-        v = quoted(c).cast("double")
-        aggregates += [
-            F.count(v).alias(f"n{i}"),
-            F.avg(v).alias(f"m{i}"),
-            F.stddev(v).alias(f"s{i}"),
-            F.min(v).alias(f"lo{i}"),
-            F.max(v).alias(f"hi{i}"),
-            F.skewness(v).alias(f"g{i}"),
-            F.kurtosis(v).alias(f"k{i}"),
+    # one small aggregate over (column, value): a wide one over all columns at once is too much
+    # code for the compiler of the JVM and several times slower
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("v"))
+            for c in cols
         ]
-    parts = {"n": "count", "m": "mean", "s": "std", "lo": "min", "hi": "max", "g": "g", "k": "k"}
-    long = lengthen(
-        t.agg(*aggregates),
-        [
-            {"column": c, **{name: F.col(f"{p}{i}") for p, name in parts.items()}}
-            for i, c in enumerate(cols)
-        ],
     )
+    long = t.select(F.inline(cells)).groupBy("column").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
+        F.skewness("v").alias("g"), F.kurtosis("v").alias("k"),
+    )
+    # a table without rows has all columns still
+    names = t.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    long = names.join(long, "column", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     n = F.col("count").cast("double")
     skewness = F.when(n > 2, F.col("g") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
     kurtosis = F.when(

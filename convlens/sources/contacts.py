@@ -20,6 +20,7 @@ from convlens.operators.slicing import (
     MAX_SLICES,
     VALUES_PER_SLICE,
     heavy_values,
+    sketched_quantiles,
     with_slice,
 )
 from convlens.sources.staging import stage
@@ -141,16 +142,13 @@ def _sliced_history(
         }
     )
     probs = [i / slices for i in range(1, slices)]
-    cuts = orders.agg(
-        F.percentile_approx("_date", probs, 10 * slices).alias("dates"),
-        F.percentile_approx("_key", probs, 10 * slices).alias("keys"),
-    ).first()
+    cuts = sketched_quantiles(orders, {"dates": F.col("_date"), "keys": F.col("_key")}, probs)
     hot_dates = [r["_date"] for r in heavy_values(orders, ["_date"], share, min_rows)]
 
     # (_slice, _late, _part) grows with (date, key): a hot date starts a slice of its own
     # and is cut again by key, the later dates of that slice come after it
-    t = with_slice(orders, "_date", sorted({*(cuts["dates"] or []), *hot_dates}))
-    t = with_slice(t, "_key", cuts["keys"] or [], "_part")
+    t = with_slice(orders, "_date", sorted({*cuts["dates"], *hot_dates}))
+    t = with_slice(t, "_key", cuts["keys"], "_part")
     on_hot = F.col("_date").isin(hot_dates) if hot_dates else F.lit(False)
     t = t.withColumns(
         {
