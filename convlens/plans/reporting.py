@@ -16,6 +16,10 @@ from convlens.operators import routing as R
 from convlens.operators.percentiles import median_by
 from convlens.operators.profiling import duplicate_groups
 from convlens.operators.statistics import corr_pairs
+from convlens.operators import splitting as SP
+from convlens.operators import statistics as ST
+from convlens.operators.conversion import N, RATE, extremes
+from convlens.plans import learning
 from convlens.plans.learning import _model_input
 from convlens.plans import segments as G
 from convlens.plans.segments import MEASURES, WITH, _multi, contact_zone, pct, rnd
@@ -96,6 +100,93 @@ def insights(spark: SparkSession, folder: str) -> DataFrame:
     return I.insights(C.multi_conversion(t, [*DIMENSIONS, "month"]), C.overview(t))
 
 
+#: Numeric columns whose correlation with the label is reported; the duration is known too late.
+REPORTED = ["age", "campaign", "previous", "pdays", "price", "balance"]
+
+
+def _figures(t: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """One row of all numbers and names that the cards and answers state."""
+    one = lambda p: percent(count_where(p & (F.col("y_encoded") == 1)), count_where(p), 1)
+    share = lambda p: percent(count_where(p), F.count(F.lit(1)), 1)
+    success, low = F.col("poutcome") == "success", F.col("balance") < 2000.0
+    test = SP.hash_number("id", SP.SEED, digits=8) < F.lit(int(0.2 * 16**8))
+    row = t.agg(
+        F.count(F.lit(1)).alias("n"), count_where(F.col("y_encoded") == 1).alias("sold"),
+        one(F.lit(True)).alias("rate"), one(success).alias("success"),
+        count_where(success).alias("success_n"),
+        one(F.col("campaign") == 1).alias("first"), one(F.col("campaign") > 6).alias("late"),
+        share(F.col("campaign") > 6).alias("late_share"),
+        one(low).alias("low"), one(~low).alias("high"), share(low).alias("low_share"),
+        count_where(test).alias("held_out"),
+    )
+
+    def ends(dim: str) -> dict:
+        res = C.conversion(t, [dim])
+        row = extremes(res, dim).select(
+            F.struct("best", round_half_up("best_rate", 1).alias("best_rate"), "worst", round_half_up("worst_rate", 1).alias("worst_rate")).alias("e")
+        )
+        return row.scalar()
+
+    months = C.conversion(t, ["month"])
+    busiest = months.agg(F.max_by(F.struct("month", N, round_half_up(RATE, 1).alias("rate")), F.struct(N, "month")).alias("m"))
+    r = ST.target_corr(t, REPORTED, "y_encoded", 3).select("feature", "pearson_r", "abs_r")
+    ranked = r.agg(F.array_sort(F.collect_list(F.struct((-F.col("abs_r")).alias("o"), "feature", F.col("pearson_r").alias("r")))).alias("c"))
+    best = M.best_model(evaluation).select(F.struct("model", "f1", "roc_auc", "pr_auc", "precision", "recall").alias("b"))
+    return row.select(
+        "*", ends("segment").alias("segment"), ends("contact").alias("contact"), ends("month").alias("month"), ends("poutcome").alias("poutcome"),
+        busiest.scalar().alias("busy"), ranked.scalar().alias("corr"), best.scalar().alias("model"),
+        round_half_up((F.col("n") - F.col("sold")) / F.col("sold"), 1).alias("imbalance"),
+    )
+
+
+# Fixed formats: kind of insight or answer, its sentence, and the figures in it.
+CARDS = [
+    ("prior success", "Contacts with a prior success convert at %.1f%% (n=%d), overall %.1f%%", ["success", "success_n", "rate"]),
+    ("contact count", "First contacts convert at %.1f%%, those beyond the sixth at %.1f%% (%.1f%% of all)", ["first", "late", "late_share"]),
+    ("channel", "%s converts at %.1f%%, %s at %.1f%%", ["contact.best", "contact.best_rate", "contact.worst", "contact.worst_rate"]),
+    ("timing", "%s has most contacts (%d) at %.1f%%; %s converts best at %.1f%%", ["busy.month", "busy.total_clients", "busy.rate", "month.best", "month.best_rate"]),
+    ("segment", "%s converts at %.1f%%, %s at %.1f%%", ["segment.best", "segment.best_rate", "segment.worst", "segment.worst_rate"]),
+    ("model", "%s: F1 %.4f, ROC-AUC %.4f, PR-AUC %.4f, recall %.4f", ["model.model", "model.f1", "model.roc_auc", "model.pr_auc", "model.recall"]),
+    ("threshold", "Balances below 2000 (%.1f%% of all) convert at %.1f%%, others at %.1f%%", ["low_share", "low", "high"]),
+]
+ANSWERS = [
+    ("conversion_rate", "%.1f%% of %d contacts subscribed, %.1f no for each yes", ["rate", "n", "imbalance"]),
+    ("customer_groups", "Highest: %s (%.1f%%), lowest: %s (%.1f%%)", ["segment.best", "segment.best_rate", "segment.worst", "segment.worst_rate"]),
+    ("campaign", "Months: %s (%.1f%%) to %s (%.1f%%); channels: %s (%.1f%%) to %s (%.1f%%); first contact %.1f%%",
+     ["month.best", "month.best_rate", "month.worst", "month.worst_rate", "contact.best", "contact.best_rate", "contact.worst", "contact.worst_rate", "first"]),
+    ("poutcome", "Highest: %s (%.1f%%), lowest: %s (%.1f%%)", ["poutcome.best", "poutcome.best_rate", "poutcome.worst", "poutcome.worst_rate"]),
+    ("features", "Strongest correlations: %s %.3f, %s %.3f, %s %.3f", [f"corr[{i}].{f}" for i in range(3) for f in ("feature", "r")]),
+    ("recommendations", "Call prior successes first (%.1f%%); use %s (%.1f%%); stop after 6 contacts (%.1f%% beyond); call in %s (%.1f%%); start with %s (%.1f%%)",
+     ["success", "contact.best", "contact.best_rate", "late", "month.best", "month.best_rate", "segment.best", "segment.best_rate"]),
+    ("model", "Best by F1: %s with F1 %.4f, ROC-AUC %.4f, PR-AUC %.4f, precision %.4f, recall %.4f",
+     ["model.model", "model.f1", "model.roc_auc", "model.pr_auc", "model.precision", "model.recall"]),
+    ("model_limitations", "The duration is left out, as it is known after the call only; %.1f no for each yes; the threshold of 0.5 is not tuned; measured on %d held-out contacts",
+     ["imbalance", "held_out"]),
+    (R.DEFAULT, "%d contacts; please ask about rates, groups, campaigns, prior outcomes, features, models or recommendations", ["n"]),
+]
+
+
+def _sentences(figures: DataFrame, entries: list, name: str, text: str) -> DataFrame:
+    """One row per entry, from the one row of figures."""
+    rows = F.array(*[F.struct(F.lit(kind).alias(name), F.format_string(spec, *[F.expr(c) for c in columns]).alias(text)) for kind, spec, columns in entries])
+    return figures.select(F.inline(rows))
+
+
+def insight_cards(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven kinds of insight; the models are the two fixed scoring rules."""
+    figures = _figures(contacts_once(spark, folder), learning.rule_eval(spark, folder))
+    return _sentences(figures, CARDS, "kind", "insight")
+
+
+def answers(t: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """category, answer: one computed answer per category of questions."""
+    return _sentences(_figures(t, evaluation), ANSWERS, "category", "answer")
+
+
+def all_answers(spark: SparkSession, folder: str) -> DataFrame:
+    return answers(contacts_once(spark, folder), learning.rule_eval(spark, folder))
+
+
 def zone_summary(spark: SparkSession, folder: str) -> DataFrame:
     res = C.conversion(contacts(spark, folder), {"contact_count": F.col("campaign")})
     return I.tier_summary(res.withColumn("contact_zone", contact_zone()), "contact_zone")
@@ -132,18 +223,26 @@ def _results(t: DataFrame) -> dict[str, tuple[DataFrame, str]]:
 
 
 def _bundle_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All sections and the insights; rows of model metrics can be added as further ones."""
+    """The 15 sections: results, flags, both tables of model metrics and the insights."""
     t = contacts_once(spark, folder)
     parts = {name: res for name, (res, _) in _results(t).items()}
     dims = {"returnflag": F.col("l_returnflag"), "linestatus": F.col("l_linestatus")}
     lines = read(spark, folder, "lineitem").withColumn("y_encoded", flag(F.col("l_quantity") >= 40))
     parts["by_flags"] = C.multi_conversion(lines, dims)
+    parts["model_eval"], parts["model_cv"] = _model_results(spark, folder)
     parts["insights"] = I.insights(C.multi_conversion(t, [*DIMENSIONS, "month"]), C.overview(t))
     return parts
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
-    return I.facts(_results(contacts_once(spark, folder)))
+    """Facts of all results, of all dimensions at once, of correlations and of the scoring rules."""
+    t = contacts_once(spark, folder)
+    more = {
+        "by_dimension": (C.multi_conversion(t, [*DIMENSIONS, "month"]), "concat(dimension, '=', category)"),
+        "correlations": (ST.target_corr(t, REPORTED, "y_encoded"), "feature"),
+        "models": (learning.rule_card(spark, folder), "model"),
+    }
+    return I.facts(_results(t) | more)
 
 
 def bundle(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +250,13 @@ def bundle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bundle_document(spark: SparkSession, folder: str) -> DataFrame:
-    return I.bundle_document(_bundle_parts(spark, folder))
+    """The bundle as the numbered lines of one JSON document."""
+    return I.document_lines(_bundle_parts(spark, folder))
+
+
+def bundle_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of each section."""
+    return bundle(spark, folder).groupBy("section").agg(F.count(F.lit(1)).alias("records"))
 
 
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,7 +316,8 @@ def reconcile(spark: SparkSession, folder: str) -> DataFrame:
           SELECT {key} FROM {view} GROUP BY {key} HAVING count(*) > 1)"""
     )
     spark.catalog.dropTempView(view)
-    return I.reconcile(a, b, 0.01)
+    counts = ["total rows", "cellular contacts", "zero durations", "duplicate rows"]
+    return I.reconcile(a, b, 0.01, dict.fromkeys(counts, 0.0) | {"mean duration": 0.05})
 
 
 def route_questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,29 +327,8 @@ def route_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def route_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Each user turn with an answer computed from the contact table."""
-    columns = ["y_encoded", "segment", "month", "poutcome"]
-    t = contacts_once(spark, folder, columns)
-    texts = {
-        "conversion_rate": C.overview(t).select(
-            F.format_string("%.2f%% of %d contacts subscribed", "subscription_rate_pct",
-                            "total_clients").alias("answer")
-        ),
-        "customer_groups": I.extremes_text(C.conversion(t, ["segment"]), "segment"),
-        "campaign": I.extremes_text(C.conversion(t, ["month"]), "month"),
-        "poutcome": I.extremes_text(C.conversion(t, ["poutcome"]), "poutcome"),
-        R.DEFAULT: C.overview(t).select(
-            F.format_string("%d contacts; please ask about rates, groups, campaigns or models",
-                            "total_clients").alias("answer")
-        ),
-    }
-    answers = C.stack_results(
-        *[
-            res.select(F.lit(category).alias("category"), F.col(res.columns[0]).alias("answer"))
-            for category, res in texts.items()
-        ]
-    )
     q = read(spark, folder, "conversations").where(F.col("role") == "user")
-    out = R.answer(R.route(q, "text"), answers, "text")
+    out = R.answer(R.route(q, "text"), all_answers(spark, folder), "text")
     return out.select("conv_id", "turn", "category", "answer", "source")
 
 
@@ -252,15 +337,18 @@ def route_summary(spark: SparkSession, folder: str) -> DataFrame:
     return R.route_summary(t, ["role", "category"])
 
 
-def model_card(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out and cross-validated metrics of all models side by side."""
+def _model_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Held-out and cross-validated metrics of the baseline, the regression and the forest."""
     t, columns = _model_input(spark, folder)
     train, test = t.where("split = 'train'"), t.where("split = 'test'")
     models = [None, M.logistic_regression(), M.random_forest()]
     evaluation = M.compare(train, test, columns, "y_encoded", "id", models)
-    return M.model_card(
-        evaluation, M.cross_validate(train, columns, "y_encoded", "id", models)
-    )
+    return evaluation, M.cross_validate(train, columns, "y_encoded", "id", models)
+
+
+def model_card(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out and cross-validated metrics of all models side by side."""
+    return M.model_card(*_model_results(spark, folder))
 
 
 QUERIES = {
@@ -268,10 +356,13 @@ QUERIES = {
     for f in [
         findings,
         insights,
+        insight_cards,
+        all_answers,
         zone_summary,
         facts,
         bundle,
         bundle_document,
+        bundle_sections,
         reconcile,
         route_questions,
         route_answers,
@@ -313,9 +404,12 @@ OTHER_RATE_SQL = pct("count(*) - sum(y_encoded)", "count(*)")
 def _facts_of(section: str) -> str:
     """The numbers of a section's own SQL, turned into rows."""
     _, key, query = SECTIONS[section]
+    return _facts_from(section, key, SEGMENT_SQL[query])
+
+
+def _facts_from(section: str, key: str, sql: str) -> str:
     return f"""SELECT '{section}' AS section, key, metric, value
-      FROM (SELECT {key} AS key, COLUMNS(lambda c: c IN ({METRICS}))::DOUBLE
-            FROM ({SEGMENT_SQL[query]}))
+      FROM (SELECT {key} AS key, COLUMNS(lambda c: c IN ({METRICS}))::DOUBLE FROM ({sql}))
       UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE key)))"""
 
 
@@ -329,19 +423,53 @@ METRICS = ", ".join(
         "previously_contacted", "avg_prior_contacts", "conv_index", "pct_of_calls", "clients",
         "avg_duration_sec", "avg_duration_min", "min_sec", "max_sec", "approx_median_sec",
         "avg_contacts_this_campaign", "total_calls", "conv_percent_rank", "segment_rank",
+        "pearson_r", "abs_r", "tp", "fp", "fn", "tn", *M.METRICS,
+        *[f"test_{m}_{part}" for m in M.METRICS for part in ("mean", "std")],
     ]
 )
 
-_ANSWERS = f"""a AS (
-  SELECT 'conversion_rate' AS category,
-         (SELECT printf('%.2f%% of %d contacts subscribed', {RATE_SQL}, count(*)) FROM contacts)
-           AS answer
-  UNION ALL SELECT 'customer_groups', {_extremes_from("segment")}
-  UNION ALL SELECT 'campaign', {_extremes_from("month")}
-  UNION ALL SELECT 'poutcome', {_extremes_from("poutcome")}
-  UNION ALL SELECT 'default',
-    (SELECT printf('%d contacts; please ask about rates, groups, campaigns or models', count(*))
-     FROM contacts))"""
+def _ends(dim: str) -> str:
+    best = f"first({dim} ORDER BY conv_rate_pct DESC, {dim}) AS best, {rnd('max(conv_rate_pct)', 1)} AS best_rate"
+    worst = f"first({dim} ORDER BY conv_rate_pct, {dim}) AS worst, {rnd('min(conv_rate_pct)', 1)} AS worst_rate"
+    return f"{dim} AS (SELECT {best}, {worst} FROM (SELECT {dim}, {MEASURES} FROM contacts GROUP BY {dim}))"
+
+
+_CORR = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {rnd(f'(covar_pop({c}, y_encoded) / nullif(stddev_pop({c}) * stddev_pop(y_encoded), 0))', 3)} AS r FROM contacts"
+    for c in REPORTED
+)
+FIGURES_SQL = f"""{", ".join(_ends(d) for d in ("segment", "contact", "month", "poutcome"))},
+  busy AS (SELECT month, total_clients, {rnd("conv_rate_pct", 1)} AS rate
+           FROM (SELECT month, {MEASURES} FROM contacts GROUP BY month)
+           ORDER BY total_clients DESC, month DESC LIMIT 1),
+  corr AS (SELECT list(struct_pack(feature := feature, r := r) ORDER BY abs(r) DESC, feature) AS c FROM ({_CORR})),
+  model AS (SELECT * FROM ({learning.ORACLE["best_rule"]})),
+  o AS (SELECT count(*) AS n, {pct("sum(y_encoded)", "count(*)", 1)} AS rate,
+               {rnd("((count(*) - sum(y_encoded)) / sum(y_encoded))", 1)} AS imbalance,
+               {_rate("poutcome = 'success'", 1)} AS success,
+               count(*) FILTER (WHERE poutcome = 'success') AS success_n,
+               {_rate("campaign = 1", 1)} AS first, {_rate("campaign > 6", 1)} AS late,
+               {pct("count(*) FILTER (WHERE campaign > 6)", "count(*)", 1)} AS late_share,
+               {_rate("balance < 2000", 1)} AS low, {_rate("NOT balance < 2000", 1)} AS high,
+               {pct("count(*) FILTER (WHERE balance < 2000)", "count(*)", 1)} AS low_share,
+               count(*) FILTER (WHERE {learning.HASH} < '33333333') AS held_out
+        FROM contacts)"""
+
+
+def _sentence_sql(entries: list, name: str, text: str) -> str:
+    def value(c: str) -> str:
+        if c.startswith("corr["):
+            return f"corr.c[{int(c[5]) + 1}].{c.split('.')[1]}"
+        return c if "." in c else f"o.{c}"
+
+    return " UNION ALL ".join(
+        f"SELECT '{kind}' AS {name}, printf('{spec}', {', '.join(value(c) for c in columns)}) AS {text} "
+        "FROM o, segment, contact, month, poutcome, busy, corr, model"
+        for kind, spec, columns in entries
+    )
+
+
+_ANSWERS = f"""{FIGURES_SQL}, a AS ({_sentence_sql(ANSWERS, "category", "answer")})"""
 
 
 def _route_case(text: str) -> str:
@@ -399,7 +527,24 @@ ORACLE = {
                  ELSE 'OVER-CONTACTED' END AS contact_zone, y_encoded FROM contacts)
       SELECT contact_zone, count(DISTINCT campaign) AS groups, {MEASURES}
       FROM g GROUP BY contact_zone""",
-    "facts": " UNION ALL ".join(_facts_of(section) for section in SECTIONS),
+    "insight_cards": f"{WITH}, {FIGURES_SQL} {_sentence_sql(CARDS, 'kind', 'insight')}",
+    "all_answers": f"{WITH}, {_ANSWERS} SELECT * FROM a",
+    "facts": " UNION ALL ".join(
+        [_facts_of(section) for section in SECTIONS]
+        + [
+            _facts_from("by_dimension", "concat(dimension, '=', category)", WITH + _multi("contacts", {x: x for x in [*DIMENSIONS, "month"]})),
+            _facts_from("correlations", "feature", WITH + " UNION ALL ".join(
+                f"SELECT '{c}' AS feature, {learning._r(c, 'y_encoded')} AS pearson_r, abs({learning._r(c, 'y_encoded')}) AS abs_r FROM contacts"
+                for c in REPORTED)),
+            _facts_from("models", "model", learning.ORACLE["rule_card"]),
+        ]
+    ),
+    "bundle_sections": " UNION ALL ".join(
+        [f"SELECT '{name}' AS section, count(*) AS records FROM ({SEGMENT_SQL[query]})" for name, (_, _, query) in SECTIONS.items()]
+        + [f"SELECT '{name}', 3" for name in ("model_eval", "model_cv")]
+        + [f"SELECT 'insights', {len(DIMENSIONS) + 1}",
+           "SELECT 'by_flags', count(DISTINCT l_returnflag) + count(DISTINCT l_linestatus) FROM lineitem"]
+    ),
     "reconcile": f"""{WITH}, v AS (
         {" UNION ALL ".join([
             _check("total rows", "count(*)"),

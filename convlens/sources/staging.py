@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written by this driver and not dropped yet.
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a local session may do without."""
@@ -30,4 +33,23 @@ def stage(t: DataFrame, label: str) -> DataFrame:
     spark = t.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     t.write.parquet(path)
+    _written.append(path)
+    # the shuffles behind the table are done with; Spark deletes their files once the driver's JVM has
+    # collected what refers to them, which a large heap puts off for long
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(t.schema).parquet(path)
+
+
+def staged() -> list[str]:
+    """Paths of the tables staged so far."""
+    return list(_written)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables; nothing may read them any more."""
+    context = spark.sparkContext
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _written:
+            _written.remove(path)

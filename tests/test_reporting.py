@@ -69,15 +69,20 @@ def test_findings_and_facts(t):
     assert got["a", "subscribed"] == 3.0 and len(got) == 6
 
 
-def test_bundle_is_valid_json_without_nan(spark, t):
+def test_bundle_is_valid_json_without_nan(spark, t, tmp_path):
     odd = spark.createDataFrame([("x", float("nan")), ("y", float("inf")), ("z", 1.5)], "k string, v double")
-    parts = {"by_g": C.conversion(t, ["g"]), "odd": odd, "none": odd.limit(0)}
-    assert I.bundle(parts).count() == 5
-    document = json.loads(I.bundle_document(parts).first()["document"])
+    many = spark.range(5000).select((F.col("id") % 700).alias("n")).repartition(13)
+    parts = {"by_g": C.conversion(t, ["g"]), "odd": odd, "none": odd.limit(0), "many": many}
+    assert I.bundle({k: parts[k] for k in ("by_g", "odd", "none")}).count() == 5
+    lines = I.document_lines(parts).collect()
+    assert len({r["position"] for r in lines}) == len(lines)
+    document = json.loads("".join(r["line"] for r in sorted(lines, key=lambda r: r["position"])))
+    assert list(document) == list(parts)
     assert document["odd"] == [{"k": "x", "v": None}, {"k": "y", "v": None}, {"k": "z", "v": 1.5}]
-    assert len(document["by_g"]) == 2
-    with pytest.raises(ValueError, match="JSON lines"):
-        I.bundle_document(parts, max_records=3)
+    assert len(document["by_g"]) == 2 and document["none"] == [] and len(document["many"]) == 5000
+    I.write_document(parts, str(tmp_path / "bundle"))
+    files = sorted((tmp_path / "bundle").glob("part-*"))
+    assert len(files) > 1 and json.loads("".join(f.read_text() for f in files)) == document
 
 
 def test_reconcile_reports_what_differs(spark):
@@ -87,6 +92,13 @@ def test_reconcile_reports_what_differs(spark):
     assert got == {"n": "PASS", "r": "FAIL", "only_a": "FAIL", "only_b": "FAIL"}
 
 
+def test_tolerances_of_single_checks(spark):
+    a = spark.createDataFrame([("n", 10.0), ("m", 1.0), ("r", 5.0)], "check string, value double")
+    b = spark.createDataFrame([("n", 10.005), ("m", 1.04), ("r", 5.005)], "check string, value double")
+    got = {r["check"]: r["passed"] for r in I.reconcile(a, b, 0.01, {"n": 0.0, "m": 0.05}).collect()}
+    assert got == {"n": "FAIL", "m": "PASS", "r": "PASS"}
+
+
 def test_tiers_are_rolled_up_from_sums(t):
     res = C.conversion(t, ["g"]).withColumn("tier", F.lit("all"))
     r = I.tier_summary(res, "tier").first()
