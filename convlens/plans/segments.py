@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from convlens.functions.columns import flag, ordinal, round_half_up, tier
 from convlens.operators import conversion as C
 from convlens.operators.percentiles import approx_median
+from convlens.operators.ranking import Standing
 from convlens.sources.contacts import (
     CONTACTS_SQL,
     contacts,
@@ -25,6 +26,7 @@ AGE_EDGES = [17, 25, 35, 45, 55, 65, 100]
 AGE_LABELS = ["18-25", "26-35", "36-45", "46-55", "56-65", "66+"]
 MIN_SEGMENT = 30
 TOP_SEGMENTS = 20
+LARGE_ORDER = 300_000
 
 
 def age_band():
@@ -151,7 +153,7 @@ def top_segment_result(t: DataFrame) -> DataFrame:
         "avg_contacts": round_half_up(F.avg("campaign"), 2),
     }
     res = C.conversion(t, dims, extras=averages, min_n=MIN_SEGMENT)
-    res = C.with_share(C.with_rank(res, name="segment_rank"))
+    res = Standing(res).rank(name="segment_rank").share().table
     return (
         res.withColumnRenamed("total_clients", "clients")
         .orderBy("segment_rank", *dims)
@@ -161,8 +163,7 @@ def top_segment_result(t: DataFrame) -> DataFrame:
 
 def temporal_result(t: DataFrame) -> DataFrame:
     res = C.multi_conversion(t, ["month", "day_of_week"])
-    res = C.with_share(res, name="pct_of_calls", by=["dimension"])
-    res = C.with_percent_rank(res, by=["dimension"])
+    res = Standing(res, ["dimension"]).share(name="pct_of_calls").percent_rank().table
     return res.withColumnsRenamed(
         {"dimension": "time_dimension", "category": "period", "total_clients": "total_calls"}
     ).orderBy("time_dimension", F.col("conv_rate_pct").desc(), "period")
@@ -263,6 +264,25 @@ def temporal_events(spark: SparkSession, folder: str) -> DataFrame:
     return C.with_percent_rank(res, by=["dimension"]).orderBy("dimension", "category")
 
 
+def _spending(spark: SparkSession, folder: str, dims: list[str]) -> DataFrame:
+    t = read(spark, folder, "orders").withColumn("y_encoded", flag(F.col("o_totalprice") >= LARGE_ORDER))
+    return C.conversion(t, dims, extras={"spend": round_half_up(F.sum("o_totalprice"), 2)})
+
+
+def customer_standing(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer's place among all; there is no bound on their number."""
+    place = Standing(_spending(spark, folder, ["o_custkey"]))
+    place.rank().rank("spend", "spend_rank").percent_rank("spend", "spend_percent_rank", 4)
+    return place.share("spend", "pct_of_spend", 4).vs_mean("diff").vs_mean("index", digits=4).table
+
+
+def customer_standing_by_priority(spark: SparkSession, folder: str) -> DataFrame:
+    """The same within each order priority."""
+    place = Standing(_spending(spark, folder, ["o_orderpriority", "o_custkey"]), ["o_orderpriority"])
+    place.rank().rank("spend", "spend_rank").percent_rank("spend", "spend_percent_rank", 4)
+    return place.share("spend", "pct_of_spend", 4).vs_mean("diff").vs_mean("index", digits=4).table
+
+
 def kpi_cube(spark: SparkSession, folder: str) -> DataFrame:
     return C.kpi_cube(contacts(spark, folder, history=False), ["segment", "priority", "region"])
 
@@ -336,6 +356,8 @@ QUERIES = {
     "top_segments": top_segments,
     "temporal": temporal,
     "temporal_events": temporal_events,
+    "customer_standing": customer_standing,
+    "customer_standing_by_priority": customer_standing_by_priority,
     "kpi_cube": kpi_cube,
     "month_by_weekday": month_by_weekday,
     "best_worst": best_worst,
@@ -365,6 +387,22 @@ MEASURES = f"{N} AS total_clients, {HITS} AS subscribed, {pct(HITS, N)} AS conv_
 SHARE = pct("total_clients", "sum(total_clients) OVER ()")
 
 
+def _standing_sql(dims: list[str], by: str = "") -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    keys = ", ".join(dims)
+    return f"""WITH t AS (
+        SELECT *, CASE WHEN o_totalprice >= {LARGE_ORDER} THEN 1 ELSE 0 END AS y_encoded FROM orders),
+      g AS (SELECT {keys}, {MEASURES}, {rnd("sum(o_totalprice)")} AS spend FROM t GROUP BY {keys})
+      SELECT *, rank() OVER ({part} ORDER BY conv_rate_pct DESC) AS rank_by_conv,
+             rank() OVER ({part} ORDER BY spend DESC) AS spend_rank,
+             {rnd(f"(100.0 * percent_rank() OVER ({part} ORDER BY spend))", 4)} AS spend_percent_rank,
+             {pct("spend", f"sum(spend) OVER ({part})", 4)} AS pct_of_spend,
+             {rnd(f"(conv_rate_pct - avg(conv_rate_pct) OVER ({part}))")} AS diff_from_mean_pp,
+             {rnd(f"(conv_rate_pct / nullif(avg(conv_rate_pct) OVER ({part}), 0))", 4)} AS conv_index
+      FROM g"""
+
+
+
 def _multi(source: str, dims: dict[str, str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{name}' AS dimension, CAST({c} AS VARCHAR) AS category, {MEASURES} "
@@ -503,6 +541,8 @@ ORACLE = {
       g AS ({_multi("t", {"weekday": "weekday", "hour": "hour_of_day"})})
       SELECT *, {DIMENSION_SHARE} AS pct_of_calls, {PERCENT_RANK_SQL} AS conv_percent_rank
       FROM g""",
+    "customer_standing": _standing_sql(["o_custkey"]),
+    "customer_standing_by_priority": _standing_sql(["o_orderpriority", "o_custkey"], "o_orderpriority"),
     "kpi_cube": f"""{WITH}
       SELECT segment, priority, region,
              CAST(grouping(segment, priority, region) AS BIGINT) AS filter_id, {MEASURES}

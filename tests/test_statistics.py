@@ -113,3 +113,25 @@ def test_one_hot_leaves_out_the_first_level(spark):
 
 def test_drop_ignores_absent_columns(t):
     assert drop_columns(t, ["x", "nothing"]).columns == ["z", "holes", "flat", "y", "g"]
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-6, 1e7])
+def test_kernels_do_not_depend_on_the_number_of_distinct_values(spark, spread):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 20_000, p=[0.8, 0.2]), "v": rng.normal(3, 1, 20_000) * spread})
+    pdf.loc[0, "v"] = 400 * spread  # far out
+    pdf.loc[pdf["g"] == "b", "v"] *= 20  # another bandwidth
+    t = spark.createDataFrame(pdf)
+    odd = spark.createDataFrame([("a", None), ("b", float("nan")), ("a", float("inf")), ("c", 1.0), ("c", 1.0)], t.schema)
+    got = ST.kernel_density(t.unionByName(odd), "g", "v", points=100, digits=15).toPandas().sort_values("point")
+    assert set(got["g"]) == {"a", "b"}
+    for g, part in got.groupby("g"):
+        v = pdf.loc[pdf["g"] == g, "v"].to_numpy()
+        h = v.std(ddof=1) * len(v) ** -0.2
+        x = np.linspace(v.min() - np.ptp(v) / 2, v.max() + np.ptp(v) / 2, 100)
+        want = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+        np.testing.assert_allclose(part["density"], want, atol=1e-11 * want.max() + 1e-15)
+
+
+def test_kernels_of_an_empty_table(spark):
+    assert ST.kernel_density(spark.createDataFrame([], "g string, v double"), "g", "v").count() == 0
