@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convlens.functions.columns import band, text_key
 from convlens.operators import cleaning as K
 from convlens.operators import profiling as P
 from convlens.operators.conversion import conversion
 from convlens.plans.segments import AGE_EDGES, AGE_LABELS, WITH, pct, rnd
+from convlens.sources import quarantine as Q
 from convlens.sources.contacts import contacts, contacts_once, read
+from convlens.sources.staging import shared_folder
+from convlens.sources.tables import load_result, write_table
 
 CUSTOMER_META = {
     "c_custkey": ("Numerical", "Customer key"),
@@ -182,6 +188,58 @@ def missing_values(spark: SparkSession, folder: str) -> DataFrame:
     return conversion(t, {"age_band": band(age, AGE_EDGES, AGE_LABELS)})
 
 
+# What an export of orders has to hold.
+ORDER_CONTRACT = Q.Contract(
+    T.StructType(
+        [
+            T.StructField("o_orderkey", T.LongType(), False),
+            T.StructField("o_custkey", T.LongType(), False),
+            T.StructField("o_orderstatus", T.StringType(), True),
+            T.StructField("o_totalprice", T.DoubleType(), True),
+            T.StructField("o_orderpriority", T.StringType(), False),
+        ]
+    ),
+    {
+        "price below zero": "o_totalprice >= 0",
+        "status unknown": "o_orderstatus IN ('O', 'F', 'P')",
+    },
+    key=["o_orderkey"],
+)
+
+
+def _order_export(spark: SparkSession, folder: str) -> str:
+    """Orders as a CSV folder with damage in it: unreadable and negative prices, customers left out,
+    unknown states, repeated orders, and quotes and commas that are no damage. All rows are in it."""
+    t = read(spark, folder, "orders").drop("o_orderdate")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    t = t.select(
+        "o_orderkey",
+        F.when(key % 89 != 5, F.col("o_custkey")).alias("o_custkey"),
+        F.when(key % 71 == 2, "?").when(key % 13 != 4, F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(key % 97 == 3, "n/a").otherwise(F.when(key % 83 == 7, -price).otherwise(price).cast("string")).alias("o_totalprice"),
+        F.concat("o_orderpriority", F.when(key % 2 == 0, ', "x"').otherwise("")).alias("o_orderpriority"),
+    )
+    t = t.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(key % 101 == 9, 2).otherwise(1)))).drop("_copy")
+    path = f"{shared_folder(spark).rstrip('/')}/orders-{uuid.uuid4().hex}"
+    write_table(t, f"{path}/export.csv", "csv")
+    return path
+
+
+def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a damaged export by reason, and what was written apart, read again."""
+    path = _order_export(spark, folder)
+    counts = Q.load(spark, f"{path}/export.csv", ORDER_CONTRACT, path)
+    again = load_result(spark, path, "rejected").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.unionByName(again.select(F.lit("read again").alias("reason"), "rows"))
+
+
+def csv_accepted(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the export that keep the contract, after writing and reading them again."""
+    path = _order_export(spark, folder)
+    Q.load(spark, f"{path}/export.csv", ORDER_CONTRACT, path)
+    return load_result(spark, path, "accepted")
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -205,6 +263,8 @@ QUERIES = {
         quality_summary,
         validate_ranges,
         missing_values,
+        csv_quarantine,
+        csv_accepted,
     ]
 }
 
@@ -431,7 +491,30 @@ BAND_SQL = """CASE WHEN a IS NULL OR a < 17 THEN NULL WHEN a <= 25 THEN '18-25'
  WHEN a <= 45 THEN '36-45' WHEN a <= 55 THEN '46-55' WHEN a <= 65 THEN '56-65'
  WHEN a <= 100 THEN '66+' END"""
 
+EXPORT_SQL = """WITH e AS (
+    SELECT o_orderkey, CASE WHEN o_orderkey % 89 <> 5 THEN o_custkey END AS o_custkey,
+           CASE WHEN o_orderkey % 71 = 2 THEN '?' WHEN o_orderkey % 13 <> 4 THEN o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderkey % 83 = 7 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice,
+           o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ', "x"' ELSE '' END AS o_orderpriority,
+           o_orderkey % 97 = 3 AS malformed, unnest(range(CASE WHEN o_orderkey % 101 = 9 THEN 2 ELSE 1 END)) AS copy
+    FROM orders),
+  r AS (
+    SELECT *, CASE WHEN malformed THEN ['malformed'] ELSE [x FOR x IN [
+             CASE WHEN o_custkey IS NULL THEN 'missing o_custkey' END,
+             CASE WHEN o_totalprice < 0 THEN 'price below zero' END,
+             CASE WHEN o_orderstatus = '?' THEN 'status unknown' END,
+             CASE WHEN o_orderkey % 101 = 9 THEN 'repeated key' END] IF x IS NOT NULL] END AS reasons
+    FROM e)"""
+
 ORACLE = {
+    "csv_quarantine": f"""{EXPORT_SQL}
+      SELECT reason, count(*) AS rows FROM (
+        SELECT CASE WHEN len(reasons) = 0 THEN 'accepted' ELSE 'rejected' END AS reason FROM r
+        UNION ALL SELECT unnest(reasons) FROM r
+        UNION ALL SELECT 'read again' FROM r WHERE len(reasons) > 0) GROUP BY reason""",
+    "csv_accepted": f"""{EXPORT_SQL}
+      SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+      FROM r WHERE len(reasons) = 0""",
     "data_dictionary": " UNION ALL ".join(
         _dictionary_row(c, dtype, *CUSTOMER_META[c], numeric, c == "c_mktsegment")
         for c, dtype, numeric in [
