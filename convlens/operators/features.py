@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlens.functions.columns import cap, count_where, quoted
 from convlens.operators.cleaning import percentile_cap
 from convlens.operators.shape import lengthen
+from convlens.sources.staging import stage
 from convlens.sources.tables import drop_columns, numeric_columns
 
 
@@ -50,7 +52,7 @@ def category_levels(t: DataFrame, cols: Sequence[str], max_levels: int = 1000) -
     """Sorted levels of each column, for all columns in one job.
 
     The levels become column names, so there must be few of them: a column with more than
-    ``max_levels`` is refused.
+    ``max_levels`` is refused, and ``one_hot_sparse`` is the form for it.
     """
     about = t.agg(*[F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(cols)])
     wide = [c for c, n in zip(cols, about.first()) if n > max_levels * 1.2]
@@ -89,6 +91,47 @@ def one_hot(
     return t.select(*keep, *new)
 
 
+def level_positions(t: DataFrame, col: str) -> tuple[DataFrame, int]:
+    """Sorted levels of a column with the place of each in the sparse vector, and their number.
+
+    Levels are numbered where a range sort leaves them, and one count per partition is carried over,
+    so neither the driver nor one task holds them. The first level comes last: it is the one left out.
+    """
+    level = quoted(col).cast("string").alias("_level")
+    found = t.select(level).where(F.col("_level").isNotNull()).distinct().orderBy("_level")
+    found = found.select("_level", F.monotonically_increasing_id().alias("_id"))
+    found = stage(found.select("_level", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_nr")), "levels")
+    parts = found.groupBy("_part").agg(F.count(F.lit(1)).alias("_levels"))
+    # one row per partition of the sort
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_levels").over(before), F.lit(0)).alias("_before"))
+    n = found.count()
+    place = F.col("_before") + F.col("_nr") - 1
+    numbered = found.join(parts, F.col("_part") == F.col("_of")).select("_level", F.when(place >= 0, place).otherwise(n - 1).alias("_place"))
+    return numbered, n
+
+
+def one_hot_sparse(
+    t: DataFrame, cols: Sequence[str], levels: Mapping[str, tuple[DataFrame, int]] | None = None
+) -> DataFrame:
+    """Each column as a sparse vector ``<column>_one_hot``, for columns with any number of levels.
+
+    The vector holds what ``one_hot`` puts into columns: 0/1 for all levels but the first in sorted
+    order. A missing value, or a level that ``levels`` (of ``level_positions``) lacks, is all zeros; its row stays.
+    """
+    for c in cols:
+        known, n = (levels or {}).get(c) or level_positions(t, c)
+        size = max(n, 2)  # the encoder wants two
+        joined = t.join(known, quoted(c).cast("string") == F.col("_level"), "left")
+        about = {"ml_attr": {"type": "nominal", "num_vals": size}}
+        place = F.coalesce("_place", F.lit(size - 1)) if n > 1 else F.lit(size - 1)
+        joined = joined.withColumn("_index", place.cast("double")).withMetadata("_index", about)
+        encoder = OneHotEncoder(inputCols=["_index"], outputCols=[f"{c}_one_hot"])
+        encoded = encoder.fit(joined).transform(joined)
+        t = encoded.select(*[quoted(k) for k in t.columns if k != c], quoted(f"{c}_one_hot"))
+    return t
+
+
 def build_features(t: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Drop, cap, derive, encode -- in this order."""
     for name, (col, q) in (spec.capped or {}).items():

@@ -351,10 +351,21 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("id", "y_encoded", "prediction", round_half_up("score", 4).alias("score"))
 
 
+def one_hot_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each position of two sparse encodings, of customers (any number) and priorities."""
+    t = read(spark, folder, "orders").select("o_custkey", "o_orderpriority")
+    cols = ["o_custkey", "o_orderpriority"]
+    t = FE.one_hot_sparse(t, cols)
+    both = F.array(*[F.struct(F.lit(c).alias("column"), F.unwrap_udt(f"{c}_one_hot").alias("v")) for c in cols])
+    t = t.select(F.inline(both)).select("column", F.col("v.size").alias("size"), F.explode_outer("v.indices").alias("position"))
+    return t.groupBy("column", "size", "position").agg(F.count(F.lit(1)).alias("rows"))
+
+
 QUERIES = {
     f.__name__: f
     for f in [
         features,
+        one_hot_sparse,
         feature_dictionary,
         features_valid,
         corr_matrix,
@@ -592,7 +603,15 @@ def _fold_summary() -> str:
     )
 
 
+def _positions_sql(col: str) -> str:
+    return f"""SELECT '{col}' AS "column", max(r) OVER () - 1 AS size, CASE WHEN r > 1 THEN r - 2 END AS position, rows
+      FROM (SELECT dense_rank() OVER (ORDER BY CAST({col} AS VARCHAR)) AS r, count(*) AS rows
+            FROM orders GROUP BY {col})"""
+
+
 ORACLE = {
+    "one_hot_sparse": f"""SELECT "column", CAST(size AS INTEGER) AS size, CAST(position AS INTEGER) AS position, rows
+      FROM ({_positions_sql("o_custkey")} UNION ALL {_positions_sql("o_orderpriority")})""",
     "rule_eval": f"WITH {RULES_SQL} SELECT * FROM {_rule_metrics('model', 4)}",
     "rule_card": f"""WITH {RULES_SQL}
       SELECT * FROM {_rule_metrics('model', 4)} JOIN (

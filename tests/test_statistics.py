@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from convlens.operators import features as FE
 from convlens.operators import profiling as P
@@ -135,3 +136,33 @@ def test_kernels_do_not_depend_on_the_number_of_distinct_values(spark, spread):
 
 def test_kernels_of_an_empty_table(spark):
     assert ST.kernel_density(spark.createDataFrame([], "g string, v double"), "g", "v").count() == 0
+
+
+def _active(t, col):
+    """key -> (size, active positions) of a column of sparse vectors."""
+    rows = t.select("id", F.unwrap_udt(f"`{col}`").alias("v")).select("id", "v.size", "v.indices").collect()
+    return {r["id"]: (r["size"], r["indices"]) for r in rows}
+
+
+def test_sparse_vectors_equal_the_wide_form(spark):
+    rows = [(i, None if i % 9 == 0 else "klmnop"[i * i % 6], f"w{i % 4}") for i in range(60)]
+    t = spark.createDataFrame(rows, "id int, `v.x` string, w string")
+    wide = FE.one_hot(t, ["v.x", "w"])
+    got = FE.one_hot_sparse(t, ["v.x", "w"])
+    assert got.columns == ["id", "v.x_one_hot", "w_one_hot"]
+    for c in ("v.x", "w"):
+        names = [k for k in wide.columns if k.startswith(f"{c}_")]
+        want = {r["id"]: (len(names), [i for i, k in enumerate(names) if r[k]]) for r in wide.collect()}
+        assert _active(got, f"{c}_one_hot") == want
+
+
+def test_sparse_vectors_of_many_few_and_unseen_levels(spark):
+    t = spark.range(0, 100_000).select("id", F.format_string("l%06d", "id").alias("v"))
+    levels = {"v": FE.level_positions(t, "v")}
+    assert levels["v"][1] == 100_000
+    new = spark.createDataFrame([(0, "l000000"), (1, "l000001"), (2, "l099999"), (3, "other"), (4, None)], "id int, v string")
+    got = _active(FE.one_hot_sparse(new, ["v"], levels), "v_one_hot")
+    assert got == {0: (99_999, []), 1: (99_999, [0]), 2: (99_999, [99_998]), 3: (99_999, []), 4: (99_999, [])}
+    one = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    assert _active(FE.one_hot_sparse(one, ["v"]), "v_one_hot") == {1: (1, []), 2: (1, [])}
+    assert FE.one_hot_sparse(one.limit(0), ["v"]).count() == 0
