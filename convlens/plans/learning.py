@@ -358,6 +358,7 @@ def one_hot_sparse(spark: SparkSession, folder: str) -> DataFrame:
     t = FE.one_hot_sparse(t, cols)
     both = F.array(*[F.struct(F.lit(c).alias("column"), F.unwrap_udt(f"{c}_one_hot").alias("v")) for c in cols])
     t = t.select(F.inline(both)).select("column", F.col("v.size").alias("size"), F.explode_outer("v.indices").alias("position"))
+    t = t.withColumn("position", F.coalesce("position", F.lit(-1)))  # all zeros
     return t.groupBy("column", "size", "position").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -604,7 +605,7 @@ def _fold_summary() -> str:
 
 
 def _positions_sql(col: str) -> str:
-    return f"""SELECT '{col}' AS "column", max(r) OVER () - 1 AS size, CASE WHEN r > 1 THEN r - 2 END AS position, rows
+    return f"""SELECT '{col}' AS "column", max(r) OVER () - 1 AS size, r - 2 AS position, rows
       FROM (SELECT dense_rank() OVER (ORDER BY CAST({col} AS VARCHAR)) AS r, count(*) AS rows
             FROM orders GROUP BY {col})"""
 
