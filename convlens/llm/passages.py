@@ -9,7 +9,8 @@ many texts at once.
 
 Windows of one signature are joined by interval: around the shared shingle, both sides as far as the
 two windows reach (T - 1 shingles at most; longer passages have more windows). Windows equal over
-that interval hold the same passage. Of the others each meets every one before it in its signature
+that interval hold the same passage. The others are first compared by bits, narrow rows that bound the number of shared
+shingles from above; only those that may share enough with another one fetch their shingles. Of these each meets every one before it in its signature
 that shares enough shingles with it, and the pair is verified: the shingle sets of some two passages
 around the shared one, of at least ``MIN_WORDS`` words, need a Jaccard similarity of ``PERCENT``. ``HASHES`` functions are joined that way; a passage
 counts once any of them finds it, since every find is verified.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +47,7 @@ MIN_WORDS = 50
 PERCENT = 80
 HASHES = 3
 T = MIN_WORDS - WORDS + 1
+SKETCH = 512  # bits that stand for the shingles of an interval (at most 2 T - 1) until a pair may share a passage
 BLOCK = 1024  # windows of a signature compared with as many others in one task
 _BITS = 21
 _LOW = np.uint64((1 << _BITS) - 1)
@@ -138,10 +141,11 @@ def _pack(c: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _windows(keyed: DataFrame, hashes: int) -> DataFrame:
-    """key, sig, h, pos; source, source_pos: an equal window before it in the same batch, if any."""
+    """key, sig, h, pos, source_pos. A window that equals one before it in its batch has that one's place
+    as source_pos and its key as h; its own sig is a number that no other window has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "sig", "h", "pos", "source", "source_pos"]
+        names = ["key", "sig", "h", "pos", "source_pos"]
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), _texts(batch.column(1))
             parts, group, held = [], [], 0
@@ -160,11 +164,12 @@ def _windows(keyed: DataFrame, hashes: int) -> DataFrame:
             key, sig, h, pos = key[order], sig[order], h[order], pos[order]
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])])
             first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            columns = [pa.array(key), pa.array(sig.view(np.int64)), pa.array(h.view(np.int64)), pa.array(pos)]
-            columns += [pa.array(key[first], mask=new), pa.array(pos[first], mask=new)]
+            alone = mix(key.view(np.uint64) ^ mix(sig + pos.view(np.uint64)))
+            sig, h = np.where(new, sig, alone).view(np.int64), np.where(new, h.view(np.int64), key[first])
+            columns = [pa.array(key), pa.array(sig), pa.array(h), pa.array(pos), pa.array(pos[first], mask=new)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return keyed.select("key", "text").mapInArrow(run, "key long, sig long, h long, pos long, source long, source_pos long")
+    return keyed.select("key", "text").mapInArrow(run, "key long, sig long, h long, pos long, source_pos long")
 
 
 def _span(pos: str, end: bool = False):
@@ -181,25 +186,99 @@ def _equal_spans(rows: DataFrame) -> DataFrame:
     return rows.where(apart).select("key", "source", _span("pos").alias("begin"), _span("pos", end=True).alias("end"))
 
 
+def _with_texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: key, sig, pos. One row per text that is wanted: key, text, own (sig, pos)."""
+    per_text = wanted.groupBy("key").agg(F.collect_set(F.struct("sig", "pos")).alias("own"))
+    return keyed.select("key", "text").dropDuplicates(["key"]).join(per_text, "key").select("key", "text", "own")
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of rows of ``_with_texts``, in groups: key, sig, pos, (shingles, first, number) of the intervals."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            words, at = hashed_words(_texts(part.column(1)), lower=True)
+            shingles = shingle_hashes(words, WORDS) if len(words) >= WORDS else np.zeros(0, np.uint64)
+            own = part.column(2)
+            count = np.asarray(pa.compute.list_value_length(own))
+            fields = own.flatten()
+            sig, pos = (np.asarray(fields.field(i)) for i in range(2))
+            owner = np.repeat(np.arange(part.num_rows), count)
+            key = part.column(0).to_numpy()[owner]
+            left, right = (pos >> 8) & 255, pos & 255
+            yield key, sig, pos, shingles, at[owner] + (pos >> 16) - left, left + right + 1
+
+
 def _slices(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: key, sig, pos. The same with the shingles of the interval, as 64-bit hashes."""
-    per_text = wanted.groupBy("key").agg(F.collect_set(F.struct("sig", "pos")).alias("own"))
-    rows = keyed.select("key", "text").dropDuplicates(["key"]).join(per_text, "key").select("key", "text", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sig, pos, shingles, first, number in _intervals(batches):
+            data = [shingles[a : a + n].tobytes() for a, n in zip(first, number)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig), pa.array(pos), pa.array(data, pa.binary())], names=["key", "sig", "pos", "shingles"])
+
+    return _with_texts(keyed, wanted).mapInArrow(run, "key long, sig long, pos long, shingles binary")
+
+
+def interval_bits(shingles: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(SKETCH bits in 64-bit words, shingles beyond the bits set) of intervals. Two intervals share no more shingles than
+    bits, and the smaller of their second numbers besides."""
+    row = np.repeat(np.arange(len(first)), number)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(number) - number - first, number)
+    bits = np.zeros((len(first), SKETCH), bool)
+    bits[row, (mix(shingles[at]) >> np.uint64(32)) % np.uint64(SKETCH)] = True
+    return np.packbits(bits, axis=1).view(np.uint64), number - bits.sum(axis=1)
+
+
+def sharing(sig: np.ndarray, bits: np.ndarray, beyond: np.ndarray, least: int) -> np.ndarray:
+    """Which rows may share ``least`` shingles with another of their signature; rows in order of it."""
+    may = np.zeros(len(sig), bool)
+    for d in range(1, len(sig)):
+        same = np.flatnonzero(sig[d:] == sig[:-d])
+        if not len(same):
+            break
+        shared = np.bitwise_count(bits[same] & bits[same + d]).sum(axis=1) + np.minimum(beyond[same], beyond[same + d])
+        found = same[shared >= least]
+        may[found] = may[found + d] = True
+    return may
+
+
+def _sharing(keyed: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """wanted: key, sig, pos, at most ``BLOCK`` of a signature. Those that may share a passage with another
+    one, judged by bits in place of shingles: none that does is left out."""
+    least = T * percent // 100
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sig, pos, shingles, first, number in _intervals(batches):
+            for start in range(0, len(key), 8192):
+                own = slice(start, start + 8192)
+                bits, beyond = interval_bits(shingles, first[own], number[own])
+                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH // 8), len(bits), [None, pa.py_buffer(bits.tobytes())])
+                columns = [pa.array(key[own]), pa.array(sig[own]), pa.array(pos[own]), pa.array(beyond, pa.int32()), data.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "sig", "pos", "beyond", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def met(rows: pa.Table) -> pa.RecordBatch:
+            key, sig, pos, beyond = (rows.column(c).to_numpy() for c in range(4))
+            bits = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(len(key), -1)
+            may = sharing(sig, bits, beyond, least)
+            return pa.RecordBatch.from_arrays([pa.array(x[may]) for x in (key, sig, pos)], names=["key", "sig", "pos"])
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                words, at = hashed_words(_texts(part.column(1)), lower=True)
-                key, sig, pos, data = [], [], [], []
-                for i, (k, own) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                    s = shingle_hashes(words[at[i] : at[i + 1]], WORDS)
-                    for w in own:
-                        c, left, right = w["pos"] >> 16, (w["pos"] >> 8) & 255, w["pos"] & 255
-                        key.append(k), sig.append(w["sig"]), pos.append(w["pos"]), data.append(s[c - left : c + right + 1].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sig, pa.int64()), pa.array(pos, pa.int64()), pa.array(data, pa.binary())], names=["key", "sig", "pos", "shingles"])
+            rows = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, rows]) if held is not None else rows
+            sig = held.column(1).to_numpy()
+            whole = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0  # the last one may go on
+            if whole:
+                yield met(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield met(held)
 
-    return rows.mapInArrow(run, "key long, sig long, pos long, shingles binary")
+    rows = _with_texts(keyed, wanted).mapInArrow(sketches, "key long, sig long, pos long, beyond int, bits binary")
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "key long, sig long, pos long")
 
 
 def _side(x: list[int], y: list[int], ix: int, iy: int, step: int) -> tuple[np.ndarray, ...]:
@@ -255,6 +334,9 @@ def shared_passage(x: list[int], ix: int, y: list[int], iy: int, percent: int =
     less_x, less_y = len(x) - len(set(x)), len(y) - len(set(y))
     if (100 + percent) * len(both) < percent * (2 * width - less_x - less_y) and not verbatim:
         return None
+    for z, centre, less in ((x, ix, less_x), (y, iy, less_y)):
+        if not less and not verbatim and not _dense(np.array([[v in both for v in z]]), centre, percent, width)[0]:
+            return None
     lx, dlx, ly, dly, on_left = _side(x, y, ix, iy, -1)
     rx, drx, ry, dry, on_right = _side(x, y, ix, iy, 1)
     size_x, size_y = lx[:, None] + rx + 1, ly[:, None] + ry + 1
@@ -307,6 +389,16 @@ def _shared_counts(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.
     return np.split(number[column], np.cumsum(sizes)[:-1]), has, counts
 
 
+def _dense(shared: np.ndarray, centre: int, percent: int, width: int = T) -> np.ndarray:
+    """shared: rows of flags along an interval. Whether ``percent`` of some ``width`` or more of them around the
+    centre are set, as a passage without repeated shingles needs for its similarity."""
+    sums = np.zeros((len(shared), shared.shape[1] + 1), np.int32)
+    np.cumsum(np.where(shared, 100 - percent, -percent), axis=1, out=sums[:, 1:])
+    ends = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]  # the largest sum from here on
+    begin = np.arange(min(centre, shared.shape[1] - width) + 1)
+    return (ends[:, np.maximum(begin + width, centre + 1)] >= sums[:, begin]).any(axis=1)
+
+
 def group_spans(rows: list[tuple], blocks: list[int], percent: int) -> list[tuple]:
     """(key, source, begin, end) of the windows of one signature, or of two of its blocks. rows: (key,
     first shingle, place of the centre, shingles) in order of key and place.
@@ -315,8 +407,14 @@ def group_spans(rows: list[tuple], blocks: list[int], percent: int) -> list[tupl
     first; a pair is left out only if what it shares lies in passages of the row verified before.
     """
     out: list[tuple] = []
-    columns, has, counts = _shared_counts(rows)
     least = T * percent // 100
+    if len(rows) == 2:
+        other, own = rows
+        found = shared_passage(own[3], own[2], other[3], other[2], percent)
+        if found and (own[0] != other[0] or other[1] + found[3] + WORDS <= own[1] + found[0]):
+            out.append((own[0], other[0], own[1] + found[0], own[1] + found[1] + WORDS))
+        return out
+    columns, has, counts = _shared_counts(rows)
     across = blocks[0] != blocks[-1] or len(set(blocks)) > 1
     block = np.array(blocks)
     for i, own in enumerate(rows):
@@ -324,6 +422,9 @@ def group_spans(rows: list[tuple], blocks: list[int], percent: int) -> list[tupl
         if across:
             open_ &= block[:i] != block[i]
         candidates = np.flatnonzero(open_)
+        if len(candidates) and len(set(own[3])) == len(own[3]):
+            at = columns[i]
+            candidates = candidates[_dense(has[np.ix_(candidates, at)] & (at >= 0), own[2], percent)]
         covered = np.zeros(len(own[3]), bool)
         while len(candidates):
             left = np.unique(columns[i][~covered])
@@ -369,7 +470,7 @@ def _in_blocks(slices: DataFrame, signatures: DataFrame, percent: int) -> DataFr
     # the sum over shingles of a signature, not a join: a shingle of all windows is one row per task
     common = single.groupBy("sig", "shingle").count().where("count > 1").select("sig", "shingle")
     fine = single.join(common, ["sig", "shingle"]).groupBy("sig", "key", "pos").count().where(F.col("count") >= T * percent // 100)
-    fine = stage(fine.select("sig", "key", "pos"), "passages-sharing")
+    fine = stage(fine.select("sig", "key", "pos"), "passages-long")
     blocks = fine.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     long = long.join(fine, ["sig", "key", "pos"]).join(blocks, "sig")
     long = long.withColumn("block", F.pmod(F.xxhash64("key", "pos"), F.col("blocks")).cast("int"))
@@ -419,18 +520,21 @@ def passage_spans(keyed: DataFrame, hashes: int = HASHES, percent: int = PERCENT
     windows = _windows(keyed.where(F.octet_length("text") >= 2 * MIN_WORDS - 1), hashes)
     by_sig = W.partitionBy("sig").orderBy("h", "key", "pos")
     by_window = W.partitionBy("sig", "h").orderBy("key", "pos")
-    once = windows.where("source is null").select("key", "sig", "h", "pos")
-    met = once.select(
+    met = windows.select(
         "*", F.lag("sig").over(by_sig).alias("a"), F.lead("sig").over(by_sig).alias("b"), F.first(F.struct("key", "pos")).over(by_window).alias("one")
     )
-    met = stage(met.where("a is not null or b is not null").select("key", "sig", "pos", "one"), "passages-met")
+    collapsed = F.col("source_pos").isNotNull()
+    source = F.when(collapsed, F.struct(F.col("h").alias("key"), F.col("source_pos").alias("pos"))).otherwise(F.col("one"))
+    met = met.where(collapsed | F.col("a").isNotNull() | F.col("b").isNotNull())
+    met = stage(met.select("key", "sig", "pos", source.alias("one")), "passages-met")
     is_first = (F.col("key") == F.col("one.key")) & (F.col("pos") == F.col("one.pos"))
-    firsts = met.where(is_first)
+    firsts = met.where(is_first).select("key", "sig", "pos")
     several = stage(firsts.groupBy("sig").count().where("count > 1"), "passages-signatures")
-    slices = _slices(keyed, firsts.join(several, "sig").select("key", "sig", "pos"))
-    spans = _equal_spans(windows.where("source is not null"))
-    spans = spans.unionByName(_equal_spans(met.where(~is_first).select("key", "pos", F.col("one.key").alias("source"), F.col("one.pos").alias("source_pos"))))
-    return spans.unionByName(_compared(slices, several, percent))
+    few = _sharing(keyed, firsts.join(several.where(F.col("count") <= BLOCK), "sig").select("key", "sig", "pos"), percent)
+    many = firsts.join(several.where(F.col("count") > BLOCK), "sig").select("key", "sig", "pos")
+    wanted = stage(few.unionByName(many), "passages-sharing")
+    spans = _equal_spans(met.where(~is_first).select("key", "pos", F.col("one.key").alias("source"), F.col("one.pos").alias("source_pos")))
+    return spans.unionByName(_compared(_slices(keyed, wanted), several, percent))
 
 
 def merged_spans(spans: DataFrame, *keys: str) -> DataFrame:

@@ -232,3 +232,33 @@ def test_recall_at_the_threshold(spark):
     found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     caught = {r["doc_id"] // 2 for r in found}
     assert len(caught) >= 0.97 * n, len(caught)
+
+
+def test_bits_never_leave_out_a_pair():
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        size = int(rng.integers(2, 30))
+        pool = rng.integers(0, 2**63, int(rng.integers(30, 400))).astype(np.uint64)  # repeats in small pools
+        rows = [rng.choice(pool, int(rng.integers(45, 92))) for _ in range(size)]
+        sig = np.sort(rng.integers(0, 5, size))
+        number = np.array([len(r) for r in rows])
+        bits, beyond = passages.interval_bits(np.concatenate(rows), np.cumsum(number) - number, number)
+        may = passages.sharing(sig, bits, beyond, 36)
+        for i in range(size):
+            most = max([len(set(rows[i]) & set(rows[j])) for j in range(size) if j != i and sig[j] == sig[i]], default=0)
+            assert may[i] or most < 36
+    far = [rng.integers(0, 2**63, 91).astype(np.uint64) for _ in range(40)]
+    bits, beyond = passages.interval_bits(np.concatenate(far), np.arange(40) * 91, np.full(40, 91))
+    assert not passages.sharing(np.zeros(40, np.int64), bits, beyond, 36).any()
+
+
+def test_density_around_the_centre():
+    rng = np.random.default_rng(9)
+    for trial in range(300):
+        n, width = int(rng.integers(8, 25)), 8
+        flags, centre = rng.random(n) < rng.uniform(0.5, 1), int(rng.integers(0, n))
+        want = any(
+            100 * flags[a : b + 1].sum() >= 80 * (b + 1 - a)
+            for a in range(centre + 1) for b in range(max(centre, a + width - 1), n)
+        )
+        assert passages._dense(flags[None], centre, 80, width)[0] == want
