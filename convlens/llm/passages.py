@@ -312,6 +312,13 @@ def _side(x: list[int], y: list[int], ix: int, iy: int, step: int) -> tuple[np.n
     return np.array(at_x)[ex], ex, np.array(at_y)[ey], ey, both
 
 
+def _outermost(x: list[int], y: list[int], ix: int, iy: int) -> tuple[int, int]:
+    """First and last place of x, around ix, of a shingle that y holds on the same side of iy; none is repeated."""
+    before, behind = set(y[:iy]), set(y[iy + 1 :])
+    first = next((i for i in range(ix) if x[i] in before), ix)
+    return first, next((i for i in range(len(x) - 1, ix, -1) if x[i] in behind), ix)
+
+
 def shared_passage(x: list[int], ix: int, y: list[int], iy: int, percent: int = PERCENT, width: int = T) -> tuple[int, int, int, int] | None:
     """Ends (inclusive) of the widest passages of x and y around the shingle they share at ix and iy that
     have at least ``width`` shingles and the similarity, or None.
@@ -334,9 +341,20 @@ def shared_passage(x: list[int], ix: int, y: list[int], iy: int, percent: int =
     less_x, less_y = len(x) - len(set(x)), len(y) - len(set(y))
     if (100 + percent) * len(both) < percent * (2 * width - less_x - less_y) and not verbatim:
         return None
-    for z, centre, less in ((x, ix, less_x), (y, iy, less_y)):
-        if not less and not verbatim and not _dense(np.array([[v in both for v in z]]), centre, percent, width)[0]:
+    if not less_x and not less_y and not verbatim:
+        # the similarity asks for (100 + percent) * shared >= percent * (size of x + size of y), and shared is at
+        # most the mean of the shared ones on both sides
+        best = [_most(np.array([[v in both for v in z]]), k, 100 - percent, -2 * percent, width)[0] for z, k in ((x, ix), (y, iy))]
+        if sum(best) < 0:
             return None
+    if not less_x and not less_y:
+        a, c, b, d = *_outermost(x, y, ix, iy), *_outermost(y, x, iy, ix)
+        if min(c - a, d - b) + 1 >= width:
+            if verbatim and c - a <= left + right:
+                return verbatim
+            n = len(set(x[a : c + 1]) & set(y[b : d + 1]))
+            if 100 * n >= percent * (c - a + d - b + 2 - n):
+                return a, c, b, d
     lx, dlx, ly, dly, on_left = _side(x, y, ix, iy, -1)
     rx, drx, ry, dry, on_right = _side(x, y, ix, iy, 1)
     size_x, size_y = lx[:, None] + rx + 1, ly[:, None] + ry + 1
@@ -389,14 +407,20 @@ def _shared_counts(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.
     return np.split(number[column], np.cumsum(sizes)[:-1]), has, counts
 
 
-def _dense(shared: np.ndarray, centre: int, percent: int, width: int = T) -> np.ndarray:
-    """shared: rows of flags along an interval. Whether ``percent`` of some ``width`` or more of them around the
-    centre are set, as a passage without repeated shingles needs for its similarity."""
+def _most(shared: np.ndarray, centre: int, hit: int, miss: int, width: int) -> np.ndarray:
+    """shared: rows of flags along an interval. The largest sum of some ``width`` or more of them in a
+    row around the centre, where a set one counts ``hit`` and another one ``miss``."""
     sums = np.zeros((len(shared), shared.shape[1] + 1), np.int32)
-    np.cumsum(np.where(shared, 100 - percent, -percent), axis=1, out=sums[:, 1:])
+    np.cumsum(np.where(shared, hit, miss), axis=1, out=sums[:, 1:])
     ends = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]  # the largest sum from here on
     begin = np.arange(min(centre, shared.shape[1] - width) + 1)
-    return (ends[:, np.maximum(begin + width, centre + 1)] >= sums[:, begin]).any(axis=1)
+    return (ends[:, np.maximum(begin + width, centre + 1)] - sums[:, begin]).max(axis=1)
+
+
+def _dense(shared: np.ndarray, centre: int, percent: int, width: int = T) -> np.ndarray:
+    """Whether ``percent`` of the flags of some stretch are set, as a passage without repeated shingles
+    needs for its similarity."""
+    return _most(shared, centre, 100 - percent, -percent, width) >= 0
 
 
 def group_spans(rows: list[tuple], blocks: list[int], percent: int) -> list[tuple]:
@@ -444,17 +468,17 @@ def group_spans(rows: list[tuple], blocks: list[int], percent: int) -> list[tupl
     return out
 
 
-def _in_blocks(slices: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(keyed: DataFrame, wanted: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """sig, b1, b2, block, key, pos, shingles: the windows of each signature, those of a long one once
     for each pair of its blocks. Of a long one, windows that share too few shingles with all others
-    together to share a passage with any are left out before."""
+    together to share a passage with any are left out before. Only long ones are staged."""
     hot = signatures.where(F.col("count") > BLOCK).select("sig")
     columns = ("sig", "b1", "b2", "block", "key", "pos", "shingles")
     zero = [F.lit(0).alias(c) for c in ("b1", "b2", "block")]
     if hot.isEmpty():
-        return slices.select("sig", *zero, "key", "pos", "shingles")
-    slices = stage(slices, "passages-slices")
-    short = slices.join(hot, "sig", "left_anti").select("sig", *zero, "key", "pos", "shingles")
+        return _slices(keyed, wanted).select("sig", *zero, "key", "pos", "shingles")
+    short = _slices(keyed, wanted.join(hot, "sig", "left_anti")).select("sig", *zero, "key", "pos", "shingles")
+    long = stage(_slices(keyed, wanted.join(hot, "sig", "left_semi")), "passages-slices")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,7 +489,6 @@ def _in_blocks(slices: DataFrame, signatures: DataFrame, percent: int) -> DataFr
                 own = [part.column(c).take(row) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(sets))], names=["sig", "key", "pos", "shingle"])
 
-    long = slices.join(hot, "sig")
     single = long.select("sig", "key", "pos", "shingles").mapInArrow(run, "sig long, key long, pos long, shingle long")
     # the sum over shingles of a signature, not a join: a shingle of all windows is one row per task
     common = single.groupBy("sig", "shingle").count().where("count > 1").select("sig", "shingle")
@@ -479,7 +502,7 @@ def _in_blocks(slices: DataFrame, signatures: DataFrame, percent: int) -> DataFr
     return short.select(*columns).unionByName(long.select(*columns))
 
 
-def _compared(slices: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def _compared(keyed: DataFrame, wanted: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Word spans of passages near to one before them in their signature; see group_spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,7 +534,7 @@ def _compared(slices: DataFrame, signatures: DataFrame, percent: int) -> DataFra
         if out:
             yield table()
 
-    dealt = _in_blocks(slices, signatures, percent).repartition("sig", "b1", "b2").sortWithinPartitions("sig", "b1", "b2", "key", "pos")
+    dealt = _in_blocks(keyed, wanted, signatures, percent).repartition("sig", "b1", "b2").sortWithinPartitions("sig", "b1", "b2", "key", "pos")
     return dealt.mapInArrow(run, "key long, source long, begin long, end long")
 
 
@@ -534,7 +557,7 @@ def passage_spans(keyed: DataFrame, hashes: int = HASHES, percent: int = PERCENT
     many = firsts.join(several.where(F.col("count") > BLOCK), "sig").select("key", "sig", "pos")
     wanted = stage(few.unionByName(many), "passages-sharing")
     spans = _equal_spans(met.where(~is_first).select("key", "pos", F.col("one.key").alias("source"), F.col("one.pos").alias("source_pos")))
-    return spans.unionByName(_compared(_slices(keyed, wanted), several, percent))
+    return spans.unionByName(_compared(keyed, wanted, several, percent))
 
 
 def merged_spans(spans: DataFrame, *keys: str) -> DataFrame:
