@@ -56,6 +56,31 @@ def test_importances_sum_to_one_and_rank_noise_last(t, forest):
     assert M.feature_importance(forest, t, 2).count() == 2
 
 
+def test_leaves_found_tree_by_tree_are_those_of_a_walk(t, forest):
+    roots, feature, cut, left, _, depth = forest.arrays
+    bins = np.random.default_rng(5).integers(0, FO.BINS, (200, len(FEATURES))).astype(np.uint8)
+    at = np.repeat(roots[None, :], len(bins), 0)
+    for _ in range(40):
+        at = left[at] + (bins[np.arange(len(bins))[:, None], feature[at]] > cut[at])
+    assert (FO._leaves(bins, roots, feature, cut, left, depth) == at).all()
+    assert depth.max() <= 6 and len(depth) == len(roots) == 20
+
+
+def test_features_are_assembled_once_for_all_folds(t, monkeypatch):
+    """Folds share the staged vectors, and give the scores of fits that assemble their own."""
+    from pyspark.ml.feature import VectorAssembler
+
+    calls, own = [], VectorAssembler._transform
+    monkeypatch.setattr(VectorAssembler, "_transform", lambda self, d: calls.append(1) or own(self, d))
+    train = t.where("split = 'train'")
+    crossed = M.cross_scores(train, FEATURES, "y", "id", [M.logistic_regression(30)], folds=3)
+    assert len(calls) == 1
+    alone = M.logistic_regression(30).fit(train.where("fold != 1"), FEATURES, "y")
+    assert M.feature_list(alone) == FEATURES
+    want = sorted(r["score"] for r in M.score(alone, train.where("fold = 1")).collect())
+    assert sorted(r["score"] for r in crossed.where("fold = 1").collect()) == pytest.approx(want, abs=1e-6)
+
+
 def test_missing_feature_is_an_error(t, forest):
     with pytest.raises(ValueError, match="noise"):
         M.score(forest, t.drop("noise"))
