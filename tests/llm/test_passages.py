@@ -262,3 +262,67 @@ def test_density_around_the_centre():
             for a in range(centre + 1) for b in range(max(centre, a + width - 1), n)
         )
         assert passages._dense(flags[None], centre, 80, width)[0] == want
+
+
+def near_copies(n, seed, every=14):
+    """Shingles of n texts of one passage, each with other words changed, and windows around one shingle that all hold."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(110)]
+    rows = []
+    for k in range(n):
+        own = [f"x{k}_{i}" if rng.random() < 1 / every and not 50 <= i < 60 else w for i, w in enumerate(base)]
+        words = hashed_words([" ".join(own).encode()], True)[0]
+        cut = rng.randint(0, 20)
+        rows.append((k, cut, 52 - cut, shingle_hashes(words, 5).tolist()[cut : 106 - rng.randint(0, 20)][:91]))
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_no_shared_shingle_of_a_pair_is_left_out(blocks):
+    seen = 0
+    for seed in range(12):
+        rows = near_copies(25, seed, every=(14, 30)[seed % 2])
+        if seed % 3 == 0:  # some that repeat shingles, some in another order
+            rows = [(k, f, c, [*s[10:20], *s[10:]] if k % 4 == 0 and c > 20 else [*s[:70], *s[80:85], *s[70:80], *s[85:]]) for k, f, c, s in rows]
+        block = [k % blocks for k in range(len(rows))]
+        found = {}
+        for r in passages.group_spans(rows, block, 80):
+            found[r[0]] = (r[2], r[3] - passages.WORDS, r[1])
+        for i, x in enumerate(rows):
+            for j in range(i):
+                pair = passages.shared_passage(x[3], x[2], rows[j][3], rows[j][2], 80)
+                if pair is None or (blocks > 1 and block[i] == block[j]):
+                    continue
+                a, b, c, d = pair
+                other = set(rows[j][3][c : d + 1])
+                both = [p for p in range(a, b + 1) if x[3][p] in other]
+                assert x[0] in found and found[x[0]][0] <= x[1] + both[0] and x[1] + both[-1] <= found[x[0]][1]
+                assert all(s < x[0] for s in found[x[0]][2])
+                seen += 1
+    assert seen > 300
+
+
+def test_copies_are_verified_in_proportion_to_their_number(monkeypatch):
+    """Every one of n near copies is verified with a few others, not with all before it, and gives one row."""
+    calls, verify = [], passages.shared_passage
+    monkeypatch.setattr(passages, "shared_passage", lambda *a: calls.append(1) or verify(*a))
+    rows = near_copies(150, 1, every=30)
+    found = passages.group_spans(rows, [0] * len(rows), 80)
+    assert len({r[0] for r in found}) == len(found) > 100
+    assert len(calls) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_one_row_for_each_text_of_a_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(passages, "BLOCK", block)
+    passage = prose(70, 31)
+    rows = [(i, f"{prose(60, 100 + i)} {passage} {prose(60, 600 + i)}") for i in range(40)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len({r["doc_id"] for r in found}) == 39
+    assert all(r["n_words"] >= 70 and r["source_doc_id"] in r["source_doc_ids"] and r["doc_id"] not in r["source_doc_ids"] for r in found)
+    linked = {i: i for i in range(40)}  # all are reached by the links
+    for r in found:
+        for s in r["source_doc_ids"]:
+            a, b = linked[r["doc_id"]], linked[s]
+            linked = {k: a if v == b else v for k, v in linked.items()}
+    assert len(set(linked.values())) == 1
