@@ -8,8 +8,10 @@ there. Contexts (runs of strings with one anchor) that are equal as a whole are
 Only contexts that share an anchor and differ, the edges of shared passages, are fetched, and their
 strings are suffix-sorted within anchor and offset.
 
-An anchor with more than ``LARGE`` different contexts is not sorted in one task: its strings become
-rows and are counted by anchor, offset and a 128-bit hash, which splits it as finely as it gets.
+An anchor with more than ``LARGE`` different contexts is not sorted in one task. Its contexts are cut into
+segments of ``STEP`` offsets, settled as contexts are: strings of a segment are equal only where its core is, the
+bytes that all of them hold, and segments equal as a whole are counted. Only the strings of segments that share a
+core and differ become rows, counted by anchor, offset and a 128-bit hash, which splits an anchor as finely as it gets.
 
 Defined results: a null text counts as empty; texts shorter than the string length lose nothing; a
 string is removed wherever it starts twice, also within one text and across rows that repeat a whole
@@ -33,6 +35,7 @@ from convlens.sources.staging import stage
 
 SIZE = 400
 LARGE = 64
+STEP = 32
 SORT_BYTES = 4 << 20  # bytes sorted together in a task
 
 
@@ -132,26 +135,69 @@ def _sorted_spans(found: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, begin long, end long")
 
 
-def _counted_spans(found: DataFrame, size: int) -> DataFrame:
-    """The same for anchors with very many contexts: one row per string, counted."""
+def _segments(found: DataFrame, size: int) -> DataFrame:
+    """key, ah, copies, first, low, high (strings of the context, numbered from 0), seg, c1, c2 (core), u1, u2 (all bytes)."""
+    step = max(1, min(STEP, size // 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "ah", "copies", "first", "low", "high", "seg", "c1", "c2", "u1", "u2"]
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                rows = list(zip(*(c.to_pylist() for c in batch.slice(start, 64).columns)))
-                key, ah, copies, first, n, rel, data = zip(*rows)
-                ids = _digests([d[i : i + size] for d, m in zip(data, n) for i in range(m)])
-                n_ = np.array(n)
-                owner = np.repeat(np.arange(len(rows)), n_)
-                step = np.arange(n_.sum()) - np.repeat(np.cumsum(n_) - n_, n_)
-                columns = [np.array(key)[owner], np.array(ah)[owner], step - np.array(rel)[owner], np.array(copies)[owner], np.array(first)[owner] + step, ids[:, 0], ids[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "ah", "off", "copies", "at", "w1", "w2"])
+            for start in range(0, batch.num_rows, 256):
+                rows, cores, whole = [], [], []
+                for key, ah, copies, first, n, rel, data in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)):
+                    for seg in range(-rel // step, (n - 1 - rel) // step + 1):
+                        begin = seg * step + rel
+                        low, high = max(0, begin), min(n, begin + step) - 1
+                        rows.append((key, ah, copies, first, low, high, seg, low - begin))
+                        cores.append(data[begin + step - 1 : begin + size])
+                        whole.append(data[low : high + size])
+                columns = [np.array(c, np.int64) for c in zip(*rows)]
+                c, u = _digests(cores), _digests(whole)
+                # where the strings begin in the segment belongs to it: equal bytes from another offset on are not equal
+                columns = [*columns[:7], c[:, 0], c[:, 1], u[:, 0] + columns[7], u[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=names)
 
     columns = found.select("key", "ah", "copies", "first", "n", "rel", "bytes")
-    strings = stage(columns.mapInArrow(run, "key long, ah long, off long, copies long, at long, w1 long, w2 long"), "exactdup-strings")
+    return columns.mapInArrow(run, "key long, ah long, copies long, first long, low long, high long, seg long, c1 long, c2 long, u1 long, u2 long")
+
+
+def _strings(found: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """wanted: key, first, copies, low, high. One row per string of these: key, ah, off, copies, at, w1, w2."""
+    per_context = wanted.groupBy("key", "first").agg(F.collect_list(F.struct("copies", "low", "high")).alias("own"))
+    rows = found.join(per_context, ["key", "first"]).select("key", "ah", "first", "rel", "bytes", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "ah", "off", "copies", "at", "w1", "w2"]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                out, strings = [], []
+                for key, ah, first, rel, data, own in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns)):
+                    for w in own:
+                        for i in range(w["low"], w["high"] + 1):
+                            out.append((key, ah, i - rel, w["copies"], first + i))
+                            strings.append(data[i : i + size])
+                ids = _digests(strings)
+                columns = [*(np.array(c, np.int64) for c in zip(*out)), ids[:, 0], ids[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+
+    return rows.mapInArrow(run, "key long, ah long, off long, copies long, at long, w1 long, w2 long")
+
+
+def _counted_spans(found: DataFrame, size: int) -> DataFrame:
+    """The same for anchors with very many contexts: segments counted, then one row per string of those left."""
+    segments = stage(_segments(found, size), "exactdup-segments")
+    core = ["ah", "seg", "c1", "c2"]
+    name = [*core, "u1", "u2"]
+    kinds = stage(segments.groupBy(*name).agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "first", "low", "high")).alias("one")), "exactdup-segment-kinds")
+    repeated = kinds.where("copies > 1").select(*name)
+    whole = segments.where("copies = 1").join(repeated, name).select("key", (F.col("first") + F.col("low")).alias("begin"), (F.col("first") + F.col("high") + size).alias("end"))
+    open_ = kinds.groupBy(*core).agg(F.count(F.lit(1)).alias("d"), F.min("copies").alias("least")).where("d > 1 and least = 1").select(*core)
+    wanted = kinds.join(open_, core).select("copies", "one.*")
+    strings = stage(_strings(found, wanted, size), "exactdup-strings")
     name = ["ah", "off", "w1", "w2"]
     twice = strings.groupBy(*name).agg(F.sum("copies").alias("c")).where("c > 1").drop("c")
-    return strings.where("copies = 1").join(twice, name).select("key", F.col("at").alias("begin"), (F.col("at") + size).alias("end"))
+    single = strings.where("copies = 1").join(twice, name).select("key", F.col("at").alias("begin"), (F.col("at") + size).alias("end"))
+    return whole.unionByName(single)
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

@@ -80,3 +80,23 @@ def test_empty_and_odd_tables(no_docs, odd_docs, corpus):
     got = exactdup.remove_repeats(odd_docs).drop("spans").collect()
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in odd_docs.collect()]
     assert sorted(map(tuple, got), key=str) == brute(rows, 400)
+
+
+@pytest.mark.parametrize("step", [32, 7])
+def test_strings_of_frequent_anchors_are_settled_by_segments(spark, monkeypatch, step):
+    """Many texts with one line in common, some of them with its surroundings: few strings become rows of their own."""
+    monkeypatch.setattr(exactdup, "STEP", step)
+    monkeypatch.setattr(exactdup.repeated_spans, "__defaults__", (exactdup.SIZE, 8))
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, before, behind = noise(200), noise(150), noise(150)
+    rows = [(i, noise(300) + line + noise(300)) for i in range(90)]
+    rows += [(100 + i, noise(200) + before[i:] + line + behind[: 150 - 2 * i] + noise(200)) for i in range(40)]
+    rows += [(200 + i, noise(200) + before + line + behind + noise(200)) for i in range(20)]
+    made = []
+    monkeypatch.setattr(exactdup, "stage", lambda t, label, own=exactdup.stage: made.append((label, own(t, label))) or made[-1][1])
+    got = exactdup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("spans").collect()
+    assert sorted(map(tuple, got), key=str) == brute([(i, t.encode()) for i, t in rows], 400)
+    assert sum(r[2] > 0 for r in got) > 20
+    edges = dict(made)["exactdup-edges"].where("large").agg({"n": "sum"}).first()[0]
+    assert edges > 3000 and dict(made)["exactdup-strings"].count() < edges / 3
