@@ -22,10 +22,12 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ TOKENIZER = "byte_bpe_50k.json"
 MEAN_CHUNK_BITS = 10  # chunks of about 1 KB
 CHUNK_CACHE = 24 << 20  # bytes in each worker
 WORD_CACHE = 150_000  # pieces in each of two generations
+TOGETHER = 8192  # new pieces given to the tokenizer at a time: what it returns for a piece is far larger than its ids
 SEGMENT = 4 << 20  # bytes hashed at a time
 
 
@@ -111,19 +114,25 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.chunk_cache, self.held, self.word_cache = chunk_cache, 0, word_cache
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        # ids of a piece, and the decoded text of the few that do not decode to themselves
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.altered: dict[bytes, bytes] = {}
 
     def _encode_pieces(self, new: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for raw, own, text in zip(new, ids, back):
-            decoded = text.encode("utf-8")
-            self.words[raw] = np.array(own, dtype="<u4").tobytes(), raw if decoded == raw else decoded
+        for start in range(0, len(new), TOGETHER):
+            part = new[start : start + TOGETHER]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in part], add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            for raw, own, text in zip(part, ids, back):
+                self.words[raw] = struct.pack(f"<{len(own)}I", *own)
+                if (decoded := text.encode("utf-8")) != raw:
+                    self.altered[raw] = decoded
 
     def _learn(self, new: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         if len(self.words) > self.word_cache:
             self.words, self.older = {}, self.words
+            self.altered = {x: y for x, y in self.altered.items() if x in self.older}
         split = [_BETWEEN.split(x) for x in new]
         unknown = []
         for word in {w for own in split for w in own}:
@@ -135,11 +144,10 @@ class ChunkEncoder:
                     self.words[word] = known
         if unknown:
             self._encode_pieces(unknown)
-        made, words = {}, self.words
+        made, words, altered = {}, self.words, self.altered
         for raw, own in zip(new, split):
-            parts = [words[w] for w in own]
-            decoded = b"".join([p[1] for p in parts])
-            made[raw] = b"".join([p[0] for p in parts]), raw if decoded == raw else decoded
+            decoded = b"".join([altered.get(w, w) for w in own]) if altered else raw
+            made[raw] = b"".join([words[w] for w in own]), raw if decoded == raw else decoded
         return made
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -168,17 +176,17 @@ def encoder_of(spec: str) -> ChunkEncoder:
     return _ENCODERS.get(spec) or _ENCODERS.setdefault(spec, ChunkEncoder(spec))
 
 
-def groups_of(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[int]]:
-    """Consecutive rows of about ``limit`` bytes together."""
-    own, size = [], 0
-    for i, x in enumerate(texts):
-        own.append(i)
-        size += len(x)
-        if size >= limit:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+def groups_of(sizes: Iterable[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive rows of about ``limit`` bytes together."""
+    first, number, held = 0, 0, 0
+    for size in sizes:
+        number += 1
+        held += size
+        if held >= limit:
+            yield first, number
+            first, number, held = first + number, 0, 0
+    if number:
+        yield first, number
 
 
 def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -191,16 +199,18 @@ def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", tokenizer
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(spec)
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            for rows in groups_of(texts):
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
+            for first, number in groups_of(sizes.to_pylist()):
+                # the texts of a group alone become Python objects, not those of the whole batch
+                texts = [x or b"" for x in batch.column(1).slice(first, number).cast(pa.binary()).to_pylist()]
                 count, ids_sha, text_sha, all_ids = [], [], [], []
-                for ids, decoded in encoder.encode([texts[i] for i in rows]):
+                for ids, decoded in encoder.encode(texts):
                     count.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(decoded).hexdigest())
                     if with_ids:
                         all_ids.append(np.frombuffer(ids, "<u4").astype(np.int32))
-                out = [batch.column(0).take(pa.array(rows)), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                out = [batch.column(0).slice(first, number), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     out, names = [*out, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]

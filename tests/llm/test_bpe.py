@@ -73,3 +73,22 @@ def test_segments_agree_with_the_whole(monkeypatch):
 def test_empty_and_odd_tables(no_docs, odd_docs):
     assert bpe.encode(no_docs).count() == 0
     assert sorted(r["n_tokens"] == 0 for r in bpe.encode(odd_docs).collect()) == [False] * 4 + [True] * 3
+
+
+def test_new_pieces_reach_the_tokenizer_in_portions(whole, monkeypatch):
+    """What the tokenizer returns for a piece is far larger than its ids, so not all new ones of a group are given at once."""
+    monkeypatch.setattr(bpe, "TOGETHER", 50)
+    coder, most = bpe.ChunkEncoder(bpe.tokenizer_json()), []
+
+    class Counting:
+        def encode_batch_fast(self, new, **options):
+            most.append(len(new))
+            return own.encode_batch_fast(new, **options)
+
+        def decode_batch(self, ids, **options):
+            return own.decode_batch(ids, **options)
+
+    own, coder.tokenizer = coder.tokenizer, Counting()
+    text = " ".join(f"word{i * i}" for i in range(700)) + " <|endoftext|> é" * 3
+    assert list(coder.encode([text.encode()])) == [expected(whole, text)]
+    assert max(most) <= 50 and sum(most) > 600
