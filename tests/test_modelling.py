@@ -211,3 +211,53 @@ def test_each_row_is_scored_once_by_each_model(t):
     sizes = {(r["model"], r["fold"]): r["count"] for r in out.groupBy("model", "fold").count().collect()}
     want = {r["fold"]: r["count"] for r in t.groupBy("fold").count().collect()}
     assert sizes == {(m, k): n for m in ("M0 Dummy", "M2 RandomForest") for k, n in want.items()}
+
+
+def test_every_tree_and_bin_of_a_large_table_comes_from_all_rows(spark):
+    """More rows than one tree used to see, and than the sample that used to set the bins."""
+    rows = spark.range(0, 60_000, numPartitions=5).withColumn("y", (F.pmod(F.hash("id"), F.lit(10)) < 3).cast("int"))
+    rows = rows.withColumn("a", F.pmod(F.hash("id", F.lit(1)), F.lit(100_000)) / 7.0).withColumn("few", F.col("id") % 3)
+    model = FO.fit_forests(rows, ["a", "few"], "y", "id", trees=3, depth=2)[-1]
+    values = np.sort(rows.toPandas()["a"].to_numpy())
+    assert model.edges[0].tolist() == np.unique(values[(np.arange(1, FO.BINS) * len(values)) // FO.BINS]).tolist()
+    assert model.edges[1].tolist() == [0.0, 1.0]
+    drawn = FO._unit(F.lit("bag-42"), F.col("id"), F.col("tree"))
+    often = sum((drawn >= F.lit(p)).cast("int") for p in FO.POISSON)
+    weight = {r["y"]: 60_000 / (2 * r["count"]) for r in rows.groupBy("y").count().collect()}
+    bags = rows.withColumn("tree", F.explode(F.array(*[F.lit(i) for i in range(3)]))).groupBy("tree", "y").agg(F.sum(often).alias("n")).collect()
+    for tree in range(3):
+        mass = {r["y"]: weight[r["y"]] * r["n"] for r in bags if r["tree"] == tree}
+        root = model.nodes.query("tree == @tree and node == 0").iloc[0]
+        assert root["probability"] == pytest.approx(mass[1] / (mass[0] + mass[1]), rel=1e-12)
+
+
+def test_bin_limits_are_exact_for_any_number_of_values(spark, monkeypatch):
+    from convlens.operators import percentiles as P
+
+    monkeypatch.setattr(P, "FEW", 50)
+    t = spark.range(0, 5000, numPartitions=7).select(
+        (F.pmod(F.hash("id"), F.lit(900)) / 3.0).alias("many"), F.when(F.col("id") > 9, F.pmod("id", F.lit(40))).alias("some"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 4).alias("few"), F.lit(1).alias("one"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") % 50 == 0, F.lit(float("inf"))).otherwise(F.col("id") % 40).alias("endless"),
+    )
+    found, table = P.bin_limits(t, t.columns, 32), t.toPandas()
+    for c in ("many", "some"):
+        x = np.sort(table[c].dropna().to_numpy(np.float64))
+        assert found[c] == np.unique(x[(np.arange(1, 32) * len(x)) // 32]).tolist()
+    assert (found["few"], found["one"], found["none"]) == ([0.0, 1.0, 2.0], [], [])
+    assert found["endless"][0] == 1.0 and len(found["endless"]) == 31
+
+
+def test_blocks_and_files_change_no_tree(monkeypatch):
+    rng = np.random.default_rng(8)
+    bins, y, count = rng.integers(0, 9, (3000, 4)).astype(np.uint8), rng.integers(0, 2, 3000), rng.integers(1, 5, 3000)
+    weight = np.array([0.7, 1.9])[y]
+    trees = [FO.grow(bins, y, count, weight, 8, 5, 2, np.random.default_rng(1))]
+    monkeypatch.setattr(FO, "BLOCK", 170)
+    monkeypatch.setattr(FO, "HELD", 500)
+    monkeypatch.setattr(FO, "SEARCHED", 3)
+    monkeypatch.setattr(FO, "SORTED", 4)
+    trees.append(FO.grow(bins, y, count, weight, 8, 5, 2, np.random.default_rng(1)))
+    mixed = rng.permutation(3000)
+    trees.append(FO.grow(bins[mixed], y[mixed], count[mixed], weight[mixed], 8, 5, 2, np.random.default_rng(1)))
+    assert trees[0] == trees[1] == trees[2] and len(trees[0]) > 100
