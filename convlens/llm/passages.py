@@ -48,6 +48,7 @@ PERCENT = 80
 HASHES = 3
 T = MIN_WORDS - WORDS + 1
 SKETCH = 512  # bits that stand for the shingles of an interval (at most 2 T - 1) until a pair may share a passage
+AHEAD = 32  # candidates of a window looked at together, those that share most first
 BLOCK = 1024  # windows of a signature compared with as many others in one task
 _BITS = 21
 _LOW = np.uint64((1 << _BITS) - 1)
@@ -232,11 +233,13 @@ def interval_bits(shingles: np.ndarray, first: np.ndarray, number: np.ndarray) -
 
 def sharing(sig: np.ndarray, bits: np.ndarray, beyond: np.ndarray, least: int) -> np.ndarray:
     """Which rows may share ``least`` shingles with another of their signature; rows in order of it."""
-    may = np.zeros(len(sig), bool)
+    may, near = np.zeros(len(sig), bool), np.arange(len(sig))
     for d in range(1, len(sig)):
-        same = np.flatnonzero(sig[d:] == sig[:-d])
-        if not len(same):
+        near = near[: np.searchsorted(near, len(sig) - d)]
+        near = near[sig[near] == sig[near + d]]
+        if not len(near):
             break
+        same = near[~(may[near] & may[near + d])]  # of two that may, nothing is left to find
         shared = np.bitwise_count(bits[same] & bits[same + d]).sum(axis=1) + np.minimum(beyond[same], beyond[same + d])
         found = same[shared >= least]
         may[found] = may[found + d] = True
@@ -350,12 +353,13 @@ def shared_passage(x: list[int], ix: int, y: list[int], iy: int, percent: int =
     while right < most and x[ix + right + 1] == y[iy + right + 1]:
         right += 1
     verbatim = (ix - left, ix + right, iy - left, iy + right) if left + right + 1 >= width else None
-    both = set(x) & set(y)
+    sx, sy = set(x), set(y)
+    both = sx & sy
     if len(both) < width * percent // 100 and not verbatim:
         return None
     if verbatim and both <= set(x[ix - left : ix + right + 1]):
         return verbatim
-    less_x, less_y = len(x) - len(set(x)), len(y) - len(set(y))
+    less_x, less_y = len(x) - len(sx), len(y) - len(sy)
     if (100 + percent) * len(both) < percent * (2 * width - less_x - less_y) and not verbatim:
         return None
     if not less_x and not less_y and not verbatim:
@@ -405,12 +409,12 @@ def _filled(first: int, last: int, n: int, width: int) -> list[tuple[int, int]]:
     return [(a, a + width - 1) for a in range(max(0, last - width + 1), min(first, n - width) + 1)]
 
 
-def _shared_counts(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _shared_counts(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(columns of the places of each row, -1 for a shingle of one row only; rows by columns: where in the row, -1 if
-    nowhere; shingles that two rows share) of rows whose fourth field holds shingles."""
+    nowhere; shingles that two rows share; whether a row repeats none) of rows whose fourth field holds shingles."""
     sizes = np.array([len(r[3]) for r in rows])
     row = np.repeat(np.arange(len(rows)), sizes)
-    _, column = np.unique(np.concatenate([np.array(r[3], np.uint64) for r in rows]), return_inverse=True)
+    _, column = np.unique(np.concatenate([np.asarray(r[3], np.uint64) for r in rows]), return_inverse=True)
     pairs, at = np.unique(column * len(rows) + row, return_index=True)
     several = np.bincount(pairs // len(rows)) > 1
     number = np.where(several, np.cumsum(several) - 1, -1)
@@ -422,7 +426,8 @@ def _shared_counts(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.
     for start in range(0, place.shape[1], 4096):
         part = (place[:, start : start + 4096] >= 0).astype(np.float32)
         counts += part @ part.T
-    return np.split(number[column], np.cumsum(sizes)[:-1]), place, counts
+    distinct = np.bincount(pairs % len(rows), minlength=len(rows)) == sizes
+    return np.split(number[column], np.cumsum(sizes)[:-1]), place, counts, distinct
 
 
 def _most(shared: np.ndarray, centre: int, hit: int, miss: int, width: int) -> np.ndarray:
@@ -485,15 +490,21 @@ def group_spans(rows: list[tuple], blocks: list[int], percent: int) -> list[tupl
     Each row meets every one before it that shares enough shingles, those with most uncovered ones
     first; a pair is left out only if no passage of it can hold a shared shingle beyond those verified before.
     """
+    lists: dict[int, list[int]] = {}  # shingles of the rows that are verified
+
+    def listed(i: int) -> list[int]:
+        if i not in lists:
+            lists[i] = np.asarray(rows[i][3], np.uint64).tolist()
+        return lists[i]
+
     if len(rows) == 2:
         other, own = rows
-        found = shared_passage(own[3], own[2], other[3], other[2], percent)
+        found = shared_passage(listed(1), own[2], listed(0), other[2], percent)
         if found and (own[0] != other[0] or other[1] + found[3] + WORDS <= own[1] + found[0]):
             return [(own[0], [other[0]], own[1] + found[0], own[1] + found[1] + WORDS)]
         return []
     out: list[tuple] = []
-    columns, places, counts = _shared_counts(rows)
-    distinct = np.array([len(set(r[3])) == len(r[3]) for r in rows])
+    columns, places, counts, distinct = _shared_counts(rows)
     # two stretches of T or more without repeated shingles share more than others have to
     open_ = np.tril(counts >= np.where(distinct[:, None] & distinct, -(-2 * percent * T // (100 + percent)), T * percent // 100), -1)
     if len(set(blocks)) > 1:
@@ -501,35 +512,58 @@ def group_spans(rows: list[tuple], blocks: list[int], percent: int) -> list[tupl
     for i in np.flatnonzero(open_.any(axis=1)):
         own, at = rows[i], columns[i]
         candidates = np.flatnonzero(open_[i])
-        place = places[np.ix_(candidates, at)]
-        place[:, at < 0] = -1
-        shared = place >= 0
-        if distinct[i]:
-            low, high, holds = _both_reach(place, own[2], percent)
-            holds &= distinct[candidates]
-            other = np.flatnonzero(~holds)
-            if len(other):
-                low[other], high[other] = _reach(shared[other], own[2], percent)
-                high[other[~_dense(shared[other], own[2], percent)]] = 0
-            inside = np.arange(len(at))
-            shared &= (inside >= low[:, None]) & (inside < high[:, None])
+
+        def flags(chosen: np.ndarray, own: tuple = own, at: np.ndarray = at, plain: bool = distinct[i]) -> np.ndarray:
+            """Which shingles of the row a passage shared with each of the chosen rows may hold."""
+            place = places[np.ix_(chosen, at)]
+            place[:, at < 0] = -1
+            shared = place >= 0
+            if plain:
+                low, high, holds = _both_reach(place, own[2], percent)
+                holds &= distinct[chosen]
+                other = np.flatnonzero(~holds)
+                if len(other):
+                    low[other], high[other] = _reach(shared[other], own[2], percent)
+                    high[other[~_dense(shared[other], own[2], percent)]] = 0
+                inside = np.arange(len(at))
+                shared &= (inside >= low[:, None]) & (inside < high[:, None])
+            return shared
+
+        # flags cost more than a comparison: of many candidates only those get them that may share more than the
+        # best one that has them. What others share is at most the counts, later what lies beyond the verified
+        candidates = candidates[np.argsort(-counts[i, candidates], kind="stable")]
+        some = AHEAD if distinct[i] else len(candidates)
+        held, rest = candidates[:some], candidates[some:]
+        shared, bound = flags(held), counts[i, rest]
         sources: list[int] = []
         first, last = len(at), -1
-        while len(candidates):
+        while True:
             # all passages hold the centre, so those verified are one stretch
             new = shared[:, :first].sum(axis=1) + shared[:, max(first, last + 1) :].sum(axis=1)
-            best = int(np.argmax(new))
-            if not new[best]:
+            most = int(new.max(initial=0))
+            best = int(np.where(new == most, held, len(rows)).argmin()) if len(held) else 0
+            if len(rest):
+                open_yet = (bound > most) | ((bound == most) & (rest < held[best])) if most else bound > 0
+                if open_yet.any():
+                    more = np.flatnonzero(open_yet)[: max(AHEAD, len(held))]
+                    held, shared = np.concatenate([held, rest[more]]), np.concatenate([shared, flags(rest[more])])
+                    rest, bound = np.delete(rest, more), np.delete(bound, more)
+                    continue
+            if not most:
                 break
-            other = rows[candidates[best]]
+            other = rows[held[best]]
+            found = shared_passage(listed(i), own[2], listed(held[best]), other[2], percent)
             left = new > 0
             left[best] = False
-            candidates, shared = candidates[left], shared[left]
-            found = shared_passage(own[3], own[2], other[3], other[2], percent)
+            held, shared = held[left], shared[left]
             if found and (own[0] != other[0] or other[1] + found[3] + WORDS <= own[1] + found[0]):
                 if other[0] not in sources:
                     sources.append(other[0])
                 first, last = min(first, found[0]), max(last, found[1])
+                if len(rest):
+                    beyond = np.concatenate([at[:first], at[last + 1 :]])
+                    bound = (places[np.ix_(rest, beyond[beyond >= 0])] >= 0).sum(axis=1)
+                    rest, bound = rest[bound > 0], bound[bound > 0]
         if sources:
             out.append((own[0], sources, own[1] + first, own[1] + last + WORDS))
     return out
@@ -559,7 +593,7 @@ def _compared(keyed: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
                     out += spans()
                     rows, blocks, group = [], [], (sig, b1, b2)
                 c, left = pos >> 16, (pos >> 8) & 255
-                rows.append((key, c - left, left, np.frombuffer(data, np.uint64).tolist()))
+                rows.append((key, c - left, left, np.frombuffer(data, np.uint64)))
                 blocks.append(block)
             if out:
                 yield table()

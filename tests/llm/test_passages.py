@@ -326,3 +326,37 @@ def test_one_row_for_each_text_of_a_large_group(spark, monkeypatch, block):
             a, b = linked[r["doc_id"]], linked[s]
             linked = {k: a if v == b else v for k, v in linked.items()}
     assert len(set(linked.values())) == 1
+
+
+def windows_of_copies(n, seed):
+    """Rows of one signature: stretches of one text of 91 shingles around its middle, of other lengths and with other words."""
+    rng = np.random.default_rng(seed)
+    base, rows = np.arange(1, 92), []
+    for key in range(n):
+        own = base.copy()
+        hit = rng.choice(np.delete(np.arange(91), 45), rng.integers(0, 14), replace=False)
+        own[hit] = 1000 * (key + 1) + hit
+        if key % 7 == 0:
+            own[rng.integers(0, 45)] = own[50]  # repeats a shingle
+        a, b = rng.integers(0, 30), rng.integers(76, 92)
+        rows.append((int(key), 0, int(45 - a), own[a:b].tolist()))
+    return rows
+
+
+def test_windows_looked_at_in_order_of_shares_give_what_all_of_them_give(monkeypatch):
+    rows = windows_of_copies(160, 4)
+    blocks = [k % 2 for k in range(160)]
+    every = []
+    for ahead in (10_000, 32, 1):
+        monkeypatch.setattr(passages, "AHEAD", ahead)
+        every.append((passages.group_spans(rows, [0] * 160, 80), passages.group_spans(rows, blocks, 80)))
+    assert every[0] == every[1] == every[2] and len(every[0][0]) > 100
+
+
+def test_a_group_of_copies_does_not_look_at_every_pair_in_full(monkeypatch):
+    looked, own = [], passages._both_reach
+    monkeypatch.setattr(passages, "_both_reach", lambda place, *a: looked.append(len(place)) or own(place, *a))
+    base = list(range(1, 92))
+    rows = [(k, 0, 45, [*base[:89], 10_000 + k, 20_000 + k]) for k in range(300)]
+    assert len(passages.group_spans(rows, [0] * 300, 80)) == 299
+    assert sum(looked) <= 299 * passages.AHEAD  # 44,850 pairs
